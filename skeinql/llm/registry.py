@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinql.llm import op10_url_filter
+from skeinql.llm import op02_language_id, op06_mixing, op09_decontaminate, op10_url_filter
 
-QUERIES = {"op10_url_filter": op10_url_filter.query}
-ORACLES = {"op10_url_filter": op10_url_filter.ORACLE}
+QUERIES = {"op2_language_id": op02_language_id.query, "op6_mixing": op06_mixing.query, "op9_decontaminate": op09_decontaminate.query, "op10_url_filter": op10_url_filter.query}
+ORACLES = {"op9_decontaminate": op09_decontaminate.ORACLE, "op10_url_filter": op10_url_filter.ORACLE}
