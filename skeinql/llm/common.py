@@ -85,7 +85,7 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         roots = label.join(hooked.withColumnRenamed("component", "new"), "node").groupBy(F.col("component").alias("node")).agg(F.min("new").alias("new"))
         step = hooked.join(roots, "node", "left").select("node", F.least("component", F.coalesce("new", "component")).alias("component"))
         step = written(step, f"{tag}-{i}a")
-        up = step.withColumnsRenamed({"node": "component", "component": "up"})
+        up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = step.join(up, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
         new = written(new, f"{tag}-{i}")
         changed = new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skeinql.llm import op02_language_id, op04_token_store, op05_token_counts, op06_mixing, op09_decontaminate, op10_url_filter
+from skeinql.llm import op01_near_dedup, op02_language_id, op04_token_store, op05_token_counts, op06_mixing, op09_decontaminate, op10_url_filter
 
 QUERIES = {
+    "op1_near_dedup": op01_near_dedup.query,
     "op2_language_id": op02_language_id.query,
     "op4_token_store": op04_token_store.query,
     "op5_token_counts": op05_token_counts.query,
