@@ -72,7 +72,7 @@ S("between_in", "part", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND
 S("is_null", "orders customer", "SELECT c_custkey, o_orderkey IS NULL AS without_order FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL OR c_custkey < 20")
 S("like_patterns", "part", "SELECT p_partkey, p_name LIKE '%a%' AS has_a, p_name NOT LIKE 'b_%' AS not_b FROM part")
 S("ilike_patterns", "part", "SELECT p_partkey, p_name ILIKE '%A%' AS has_a FROM part")
-S("arithmetic", "lineitem", "SELECT l_orderkey, l_linenumber, round(l_extendedprice + l_tax, 6) AS a, round(l_extendedprice - l_tax, 6) AS b, round(l_extendedprice * l_tax, 6) AS c, round(l_extendedprice / l_quantity, 6) AS d, l_orderkey % 7 AS e, -l_linenumber AS f FROM lineitem WHERE l_orderkey < 2000")
+S("arithmetic", "lineitem", "SELECT l_orderkey, l_linenumber, round(l_extendedprice + l_tax, 6) AS a, round(l_extendedprice - l_tax, 6) AS b, round(l_extendedprice * l_tax, 6) AS c, round(l_extendedprice / l_quantity, 9) AS d, l_orderkey % 7 AS e, -l_linenumber AS f FROM lineitem WHERE l_orderkey < 2000")
 S("comparisons", "lineitem", "SELECT l_linenumber, count(*) AS n, sum(CASE WHEN l_quantity = 10 THEN 1 ELSE 0 END) AS eq, sum(CASE WHEN l_quantity <> 10 THEN 1 ELSE 0 END) AS ne, sum(CASE WHEN l_quantity <= 10 THEN 1 ELSE 0 END) AS le, sum(CASE WHEN l_quantity > 10 AND NOT (l_tax >= 0.05 OR l_discount < 0.02) THEN 1 ELSE 0 END) AS logic FROM lineitem GROUP BY l_linenumber")
 S("three_valued_logic", "orders customer", "SELECT count(*) AS n, count(CASE WHEN o_totalprice > 0 AND NULL IS NULL THEN 1 END) AS a, count(CASE WHEN (o_totalprice > 100000) OR (CAST(NULL AS BOOLEAN)) THEN 1 END) AS b, count(CASE WHEN NOT ((o_totalprice > 100000) AND CAST(NULL AS BOOLEAN)) THEN 1 END) AS c FROM orders")
 S("cast_types", "orders", "SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS whole, CAST(o_orderkey AS VARCHAR(20)) AS text, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey < 300", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS whole, CAST(o_orderkey AS VARCHAR) AS text, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey < 300")
@@ -143,7 +143,7 @@ S("agg_median_mode", "lineitem", "SELECT l_returnflag, round(median(l_extendedpr
 S("agg_mode", "part", "SELECT p_brand, mode() WITHIN GROUP (ORDER BY p_size) AS m FROM part GROUP BY p_brand", "SELECT p_brand, (SELECT p_size FROM part q WHERE q.p_brand = p.p_brand GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1) AS m FROM part p GROUP BY p_brand")
 S("agg_string_agg", "nation", "SELECT n_regionkey, listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 S("agg_array_agg", "nation", "SELECT n_regionkey, array_join(sort_array(array_agg(n_nationkey)), '-') AS ids FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(list(n_nationkey)), '-') AS ids FROM nation GROUP BY n_regionkey")
-S("agg_json", "nation", "SELECT n_regionkey, to_json(sort_array(collect_list(n_name))) AS names, to_json(map_from_entries(sort_array(collect_list(struct(n_name, n_nationkey))))) AS by_name FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(to_json(list_sort(list(n_name))) AS VARCHAR) AS names, '{' || string_agg('"' || n_name || '":' || n_nationkey, ',' ORDER BY n_name) || '}' AS by_name FROM nation GROUP BY n_regionkey")
+S("agg_json", "nation", "SELECT n_regionkey, to_json(sort_array(collect_list(n_name))) AS names, to_json(map_from_entries(sort_array(collect_list(struct(n_name, n_nationkey))))) AS by_name FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(to_json(list_sort(list(n_name))) AS VARCHAR) AS names, chr(123) || string_agg(chr(34) || n_name || chr(34) || ':' || n_nationkey, ',' ORDER BY n_name) || chr(125) AS by_name FROM nation GROUP BY n_regionkey")
 S("agg_first_last", "orders", "SELECT o_custkey, min_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS first_order, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY o_custkey", "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_order, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS last_order FROM orders GROUP BY o_custkey")
 S("agg_filter", "lineitem", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS big, round(sum(CASE WHEN l_discount > 0.05 THEN l_extendedprice ELSE 0 END), 2) AS discounted, count_if(l_tax > 0.04) AS taxed FROM lineitem GROUP BY l_returnflag")
 S("agg_rollup", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag) AS g1, grouping_id(l_returnflag, l_linestatus) AS gid FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag) AS g1, grouping_id(l_returnflag, l_linestatus) AS gid FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
