@@ -34,3 +34,11 @@ def register(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFra
         out[name] = spark.read.parquet(f"{folder}/{name}.parquet")
         out[name].createOrReplaceTempView(name)
     return out
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder under the one that driver and executors share (spark.checkpoint.dir)."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/skeinql"
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
