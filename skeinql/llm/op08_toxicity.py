@@ -1,7 +1,7 @@
 """Toxicity as an ordinal severity: cumulative-link regression on sparse words.
 
 P(grade <= k) = sigmoid(cut_k - w . x): one weight for each feature, shared by all ordered cuts. Features
-are log(1 + count) of lower-cased words and of their first 4 to 7 bytes. The result of a text is its expected grade and P(grade >= 1).
+are log(1 + count) of lower-cased words and of their first 4 to 7 bytes, hashed to 2^20 buckets. The result of a text is its expected grade and P(grade >= 1).
 
 Labels say toxic or not; severity is graded from the training sample itself: a toxic text's marked features
 are those features that are much more frequent in toxic texts (a smoothed log-odds ratio above ``MARKED``), and its
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from skeinql.llm.common import table_of
 
-SAMPLE = 4000
+SAMPLE = 2500
 LEAST_DOCS = 3
 LEAST_Z = 3.5
 MARKED = 3.0
@@ -41,6 +41,7 @@ RIDGE = 1e-3
 RATE = 0.05
 PREFIXES = (4, 5, 6, 7)
 CACHE_WORDS = 300_000
+BUCKETS = 1 << 20
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -50,43 +51,48 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-def features_of(words: list[bytes]) -> Iterator[bytes]:
-    """Each word, marked by a space at its end, and its first 4 to 7 bytes, so that inflected forms share a feature."""
-    for w in words:
-        yield w + b" "
-        for n in PREFIXES:
-            if len(w) >= n:
-                yield w[:n]
+def features_of(word: bytes) -> list[int]:
+    """Buckets of a word, marked by a space at its end, and of its first 4 to 7 bytes, so that inflected forms share some."""
+    import xxhash
+
+    forms = [word + b" ", *(word[:n] for n in PREFIXES if len(word) >= n)]
+    return [xxhash.xxh32_intdigest(f) % BUCKETS for f in forms]
 
 
 class _Known(dict):
-    """Word -> numbers of its features in a vocabulary; a bounded cache."""
+    """Word -> the places of its features in a model; a bounded cache."""
 
-    def __init__(self, vocabulary: dict[bytes, int]) -> None:
+    def __init__(self, places: np.ndarray) -> None:
         super().__init__()
-        self.vocabulary = vocabulary
+        self.places = places
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > CACHE_WORDS:
             self.clear()
-        found = self[word] = tuple(self.vocabulary[f] for f in features_of([word]) if f in self.vocabulary)
+        found = self[word] = tuple(p for p in self.places[features_of(word)].tolist() if p >= 0)
         return found
 
 
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets ascending, counts) of a text."""
+    ids = np.fromiter((b for w, n in Counter(words_of(text)).items() for b in features_of(w) * n), np.int32)
+    return np.unique(ids, return_counts=True)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
 @dataclass
 class OrdinalModel:
-    """Word weights and ordered cuts; without cuts everything has severity 0."""
+    """Feature weights and ordered cuts; without cuts everything has severity 0. places: bucket -> number of its weight, or -1."""
 
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
+    places: np.ndarray = field(default_factory=lambda: np.full(BUCKETS, -1, np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
     cuts: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     def __post_init__(self) -> None:
-        self._known = _Known(self.vocabulary)
+        self._known = _Known(self.places)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """w . x of each text."""
@@ -102,26 +108,23 @@ class OrdinalModel:
         return _sigmoid(self.score(texts)[:, None] - self.cuts[None, :])
 
 
-def contrasts(words: list[list[bytes]], toxic: np.ndarray) -> dict[bytes, tuple[float, float]]:
-    """Word -> (smoothed log-odds ratio of being in a toxic text, the same in standard errors), of words in LEAST_DOCS texts."""
-    seen: list[Counter] = [Counter(), Counter()]
-    for w, t in zip(words, toxic):
-        seen[int(t)].update(set(w))
-    n0, n1 = (int((toxic == t).sum()) for t in (0, 1))
-    out = {}
-    for w in seen[0].keys() | seen[1].keys():
-        c0, c1 = seen[0][w], seen[1][w]
-        if c0 + c1 >= LEAST_DOCS:
-            cells = np.array([c1, n1 - c1, c0, n0 - c0]) + 0.5
-            ratio = float(np.log(cells[0] * cells[3] / (cells[1] * cells[2])))
-            out[w] = (ratio, ratio / float(np.sqrt((1 / cells).sum())))
-    return out
+def contrasts(found: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket the smoothed log-odds ratio of being in a toxic text, and the same in standard errors (0 for rare ones)."""
+    n = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+    for (own, _), t in zip(found, toxic):
+        n[int(t)][own] += 1
+    n0, n1 = int((toxic == 0).sum()), int((toxic == 1).sum())
+    cells = [x + 0.5 for x in (n[1], n1 - n[1], n[0], n0 - n[0])]
+    ratio = np.log(cells[0] * cells[3] / (cells[1] * cells[2]))
+    ratio[n[0] + n[1] < LEAST_DOCS] = 0
+    return ratio, ratio / np.sqrt(sum(1 / c for c in cells))
 
 
-def severity_grades(words: list[list[bytes]], toxic: np.ndarray) -> np.ndarray:
+def severity_grades(found: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
     """Grades 0 to 3 of a labelled sample."""
-    marked = {w for w, (ratio, z) in contrasts(words, toxic).items() if ratio > MARKED and z >= LEAST_Z}
-    count = np.array([sum(x in marked for x in w) for w in words])
+    ratio, z = contrasts(found, toxic)
+    marked = (ratio > MARKED) & (z >= LEAST_Z)
+    count = np.array([n[marked[own]].sum() for own, n in found])
     cut = np.quantile(count[toxic == 1], [1 / 3, 2 / 3], method="lower")
     return np.where(toxic == 0, 0, 1 + (count > cut[0]) + (count > cut[1]))
 
@@ -130,41 +133,39 @@ def fit_ordinal(texts: list[str], toxic: np.ndarray) -> OrdinalModel:
     """Fit by gradient steps (Adam) on the mean log likelihood, classes weighted alike, with a ridge on the weights."""
     if len(set(toxic.tolist())) < 2:
         return OrdinalModel()
-    words = [list(features_of(words_of(t))) for t in texts]
-    grade = severity_grades(words, toxic)
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, (_, z) in contrasts(words, toxic).items() if abs(z) >= LEAST_Z))}
-    row, col, val = [], [], []
-    for n, own in enumerate(words):
-        for w, c in Counter(own).items():
-            if w in vocabulary:
-                row.append(n)
-                col.append(vocabulary[w])
-                val.append(np.log1p(c))
-    row, col, val = np.array(row, np.int64), np.array(col, np.int64), np.array(val)
+    found = [counted(t) for t in texts]
+    grade = severity_grades(found, toxic)
+    chosen = np.flatnonzero(np.abs(contrasts(found, toxic)[1]) >= LEAST_Z)
+    places = np.full(BUCKETS, -1, np.int32)
+    places[chosen] = np.arange(len(chosen))
+    kept = [(places[own] >= 0) for own, _ in found]
+    row = np.repeat(np.arange(len(found)), [k.sum() for k in kept])
+    col = np.concatenate([places[own[k]] for (own, _), k in zip(found, kept)]).astype(np.int64)
+    val = np.log1p(np.concatenate([n[k] for (_, n), k in zip(found, kept)]))
     present = sorted(set(grade.tolist()) - {0})  # a cut below each grade that occurs
     y = np.searchsorted([0, *present], grade)
     k = len(present)
     share = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
     # cuts are a first one and positive steps, so they stay ordered
-    p = np.concatenate([np.zeros(len(vocabulary)), [1.0], np.zeros(k - 1)])
+    p = np.concatenate([np.zeros(len(chosen)), [1.0], np.zeros(k - 1)])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, EPOCHS + 1):
-        w, first, steps = p[: len(vocabulary)], p[len(vocabulary)], np.exp(p[len(vocabulary) + 1 :])
+        w, first, steps = p[: len(chosen)], p[len(chosen)], np.exp(p[len(chosen) + 1 :])
         cuts = first + np.concatenate([[0.0], np.cumsum(steps)])
-        s = np.bincount(row, val * w[col], len(words))
+        s = np.bincount(row, val * w[col], len(found))
         upper = np.concatenate([cuts, [np.inf]])[y] - s
         lower = np.concatenate([[-np.inf], cuts])[y] - s
         hi, lo = _sigmoid(upper), _sigmoid(lower)
         mass = np.maximum(hi - lo, 1e-12)
         d_hi, d_lo = hi * (1 - hi) / mass * share, lo * (1 - lo) / mass * share
-        g_w = np.bincount(col, val * (d_hi - d_lo)[row], len(vocabulary)) + RIDGE * w
+        g_w = np.bincount(col, val * (d_hi - d_lo)[row], len(chosen)) + RIDGE * w
         g_cut = -np.bincount(y, d_hi, k + 1)[:k] + np.bincount(y, d_lo, k + 1)[1:]
         tail = np.cumsum(g_cut[::-1])[::-1]
         g = np.concatenate([g_w, [tail[0]], tail[1:] * steps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    cuts = p[len(vocabulary)] + np.concatenate([[0.0], np.cumsum(np.exp(p[len(vocabulary) + 1 :]))])
-    return OrdinalModel(vocabulary, p[: len(vocabulary)], cuts)
+    cuts = p[len(chosen)] + np.concatenate([[0.0], np.cumsum(np.exp(p[len(chosen) + 1 :]))])
+    return OrdinalModel(places, p[: len(chosen)], cuts)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
