@@ -134,10 +134,8 @@ class Catalog:
     def insert(self, name: str, rows: DataFrame | Sequence[dict]) -> None:
         """INSERT VALUES (dicts) or INSERT SELECT; missing columns take their default."""
         if not isinstance(rows, DataFrame):
-            schema = self.table(name).schema
-            named = {k for r in rows for k in r}
-            part = StructType([f for f in schema if f.name in named])
-            rows = self.spark.createDataFrame([tuple(r.get(f.name) for f in part) for r in rows], StructType([StructField(f.name, f.dataType, True) for f in part]))
+            schema, defaults = self.table(name).schema, self._read_meta(name)["defaults"]
+            rows = self.spark.createDataFrame([tuple(r.get(f.name, defaults.get(f.name)) for f in schema) for r in rows], StructType([StructField(f.name, f.dataType, True) for f in schema]))
         new = self._shaped(name, rows)
         self._change(name, self.table(name).unionByName(new), "insert", new)
 

@@ -287,6 +287,7 @@ def ml_registry(spark: SparkSession, d: str) -> DataFrame:
     r = L.ModelRegistry(spark, scratch(spark, "models"))
     r.register("price", m, note="first")
     a, b = L.predict(m, test), L.predict(r.load("price"), test)
-    same = a.select("l_orderkey", "l_linenumber", F.col("prediction").alias("p")).join(b, ["l_orderkey", "l_linenumber"]).agg(F.bool_and(F.abs(F.col("p") - F.col("prediction")) < 1e-6).alias("same"))
+    keys = ["l_orderkey", "l_linenumber", "l_quantity", "prediction"]
+    same = a.select(keys).exceptAll(b.select(keys)).agg((F.count("*") == 0).alias("same"))
     both = train.join(test, ["l_orderkey", "l_linenumber"]).agg((F.count("*") == 0).alias("apart"))
     return same.crossJoin(both)
