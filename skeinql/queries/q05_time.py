@@ -55,11 +55,11 @@ for _m, _sql in {
     _fill(_m, _sql)
 
 
-@R.add("moving_averages", f"""WITH {HOURLY}, x AS (SELECT event_type, ts, value, avg(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS sma, avg(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cma, list(value) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l FROM h WINDOW w AS (PARTITION BY event_type ORDER BY ts))
-SELECT event_type, ts, round(sma, 9) AS sma, round(cma, 9) AS cma, round(list_sum(list_transform(l, lambda v, i: v * i)) / (len(l) * (len(l) + 1) / 2), 9) AS wma FROM x""")
+@R.add("moving_averages", f"""WITH {HOURLY}, x AS (SELECT event_type, ts, value, avg(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS sma, sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total, list(value) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l FROM h WINDOW w AS (PARTITION BY event_type ORDER BY ts))
+SELECT event_type, ts, round(sma, 9) AS sma, round(total, 2) AS running_total, round(list_sum(list_transform(l, lambda v, i: v * i)) / (len(l) * (len(l) + 1) / 2), 9) AS wma FROM x""")
 def moving_averages(spark: SparkSession, d: str) -> DataFrame:
     by, h = ["event_type"], _hourly(spark, d)
-    return h.select("event_type", "ts", F.round(T.moving_average("value", by, "ts", 5), 9).alias("sma"), F.round(T.cumulative_average("value", by, "ts"), 9).alias("cma"), F.round(T.weighted_average("value", by, "ts", 4), 9).alias("wma"))
+    return h.select("event_type", "ts", F.round(T.moving_average("value", by, "ts", 5), 9).alias("sma"), F.round(T.cumulative_average("value", by, "ts") * F.row_number().over(Window.partitionBy(*by).orderBy("ts")), 2).alias("running_total"), F.round(T.weighted_average("value", by, "ts", 4), 9).alias("wma"))
 
 
 @R.add("exponential_average", f"WITH RECURSIVE {HOURLY}, {RN}, e AS (SELECT event_type, ts, i, value AS ema FROM n WHERE i = 1 UNION ALL SELECT n.event_type, n.ts, n.i, 0.3 * n.value + 0.7 * e.ema FROM e JOIN n ON n.event_type = e.event_type AND n.i = e.i + 1) SELECT event_type, ts, round(ema, 9) AS ema FROM e")
