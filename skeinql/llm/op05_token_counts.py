@@ -18,6 +18,7 @@ special tokens are ordinary text; repeated rows each get their row; extra column
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,9 @@ from skeinql.llm.common import table_of
 LIMIT = 4096
 CACHE_CHUNKS = 400_000
 CACHE_PAIRS = 1_000_000
+GROUP = 256
 SPACE = "▁"
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -48,8 +51,12 @@ class PrefixCounter:
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece has a space inside: chunks would not be independent")
         self.longest = max(map(len, self.score))
+        # between a letter and a mark that no piece has after a letter, merges never cross either
+        marks = [m for m in string.punctuation + "\n" if not any(re.search(_LETTER + re.escape(m), p) for p in self.score if m in p)]
+        self.cut = re.compile(f"(?<={_LETTER})(?=[{re.escape(''.join(marks))}])") if marks else None
         self.pairs: dict[tuple[str, str], bool] = {}
         self.totals: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
 
     @classmethod
     def of(cls, path: str) -> "PrefixCounter":
@@ -83,20 +90,42 @@ class PrefixCounter:
 
     def chunk_counts(self, chunk: str) -> list[int]:
         """Tokens of chunk[:i], for i from 0 to its length."""
-        score, longest, follows = self.score, self.longest, self._follows
-        counts, last = [0], [""]
-        for i in range(1, len(chunk) + 1):
-            for j in range(max(0, i - longest), i):
+        return self._extended(chunk, [0], [""])
+
+    def _extended(self, chunk: str, counts: list[int], last: list[str]) -> list[int]:
+        """Carries counts and last tokens of some prefix of the chunk on to all of it."""
+        score, longest, pairs = self.score, self.longest, self.pairs
+        for i in range(len(counts), len(chunk) + 1):
+            # exactly one token ends the encoding of a prefix; short ones are the likeliest, so they are tried first
+            for j in range(i - 1, max(0, i - longest) - 1, -1):
                 token = chunk[j:i]
-                if token in score and follows(last[j], token):
-                    counts.append(counts[j] + 1)
-                    last.append(token)
-                    break
+                if token in score:
+                    fits = pairs.get((last[j], token))
+                    if fits or fits is None and self._follows(last[j], token):
+                        counts.append(counts[j] + 1)
+                        last.append(token)
+                        break
             else:  # bytes; what comes next merges with nothing before
                 counts.append(counts[-1] + len(chunk[i - 1].encode("utf-8", "surrogatepass")))
                 last.append("")
         return counts
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Totals of new chunks. In sorted order each shares a prefix with the one before, whose counts hold for it as well."""
+        parts = {c: [c] if self.cut is None or c[1:].isalpha() else self.cut.split(c) for c in chunks}
+        counts, last, before = [0], [""], ""
+        for part in sorted({p for ps in parts.values() for p in ps}.difference(self.parts)):
+            same = 0
+            for x, y in zip(before, part):
+                if x != y:
+                    break
+                same += 1
+            del counts[same + 1 :], last[same + 1 :]
+            self.parts[part] = self._extended(part, counts, last)[-1]
+            before = part
+        for c, ps in parts.items():
+            self.totals[c] = sum([self.parts[p] for p in ps])
+
     def prefix_counts(self, text: str | None) -> list[int]:
         """Tokens of text[:i], for i from 0 to its length. The space that stands before the text counts with its first character."""
         if not text:
@@ -107,22 +136,29 @@ class PrefixCounter:
             out += [before + n for n in self.chunk_counts(chunk)[2 if k == 0 else 1 :]]
         return out
 
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        if text[0] != " " and "  " not in text and SPACE not in text:
+            return [SPACE + w for w in text.split(" ")]
+        return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
+
+    def prepare(self, texts: list[str | None]) -> None:
+        """Learn the chunks of some texts at once; the more of them, the more prefixes they share."""
+        for cache in (self.totals, self.parts):
+            if len(cache) > CACHE_CHUNKS:
+                cache.clear()
+        self._learn(set().union(*[self.chunks(t) for t in texts if t]).difference(self.totals))
+
     def total(self, text: str | None) -> int:
         """Tokens of the whole text."""
         if not text:
             return 0
-        if text[0] != " " and "  " not in text and SPACE not in text:
-            chunks = [SPACE + w for w in text.split(" ")]
-        else:
-            chunks = _CHUNK.findall(SPACE + text.replace(" ", SPACE))
+        chunks = self.chunks(text)
         totals = self.totals
         try:
             return sum(map(totals.__getitem__, chunks))
         except KeyError:
-            if len(totals) > CACHE_CHUNKS:
-                totals.clear()
-            for c in set(chunks).difference(totals):
-                totals[c] = self.chunk_counts(c)[-1]
+            self.prepare([text])
             return sum(map(totals.__getitem__, chunks))
 
     def longest_prefix(self, text: str | None, budget: int) -> int:
@@ -159,7 +195,10 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, model: str | None = None,
         counter = PrefixCounter.of(path)
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            tokens = [counter.total(t) for t in texts]
+            tokens = []
+            for at in range(0, len(texts), GROUP):
+                counter.prepare(texts[at : at + GROUP])
+                tokens += [counter.total(t) for t in texts[at : at + GROUP]]
             size = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
             fit = [len(t or "") if n <= limit else counter.longest_prefix(t, limit) for t, n in zip(texts, tokens)]
             yield pa.RecordBatch.from_arrays(
