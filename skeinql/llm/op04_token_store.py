@@ -18,7 +18,9 @@ columns are left behind.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 DICTIONARY_BYTES = 1 << 20
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 600_000
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
@@ -43,17 +45,20 @@ class ChunkEncoder:
 
     _own: dict[str, "ChunkEncoder"] = {}  # one for each Python worker, over its tasks
 
-    #: A chunk that ends in these after a letter splits there, as the tokenizer does.
-    _TAIL = re.compile(r"(.*\w)([.,!?;:]+)", re.S)
+    #: Texts with none of these are composed as they stand, and lower case changes them character by character.
+    _OTHER = re.compile("[^\x00-\u012F\u0131-\u024F]")
+    #: Punctuation after a letter or digit begins a piece of its own, so a space may stand before it.
+    _MARKS = re.compile(r"([.,!?;:])(?<=[^\W_].)")
     #: Stands between chunks that are encoded in one call; a piece of its own.
     _BETWEEN = ","
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as little-endian 32-bit integers")
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[str, bytes] = {}
-        self.base: dict[str, bytes] = {}
         self.between = self._one(self._BETWEEN)
 
     @classmethod
@@ -65,46 +70,43 @@ class ChunkEncoder:
     def _one(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _parts(self, chunk: str) -> tuple[str, ...]:
-        """What a chunk's ids are put together from."""
-        found = self._TAIL.fullmatch(chunk)
-        if found and found[1][-1].isalpha() and len(found[1][-1].lower()) == 1 and "<|" not in chunk:
-            parts = (found[1], found[2])
-        else:
-            parts = (chunk,)
-        return tuple(p.lower() if p.isascii() and "<|" not in p else p for p in parts)
-
     def _fill(self, chunks: set[str]) -> None:
         """Learn the ids of new chunks, most of them in one call of the tokenizer."""
-        parts = {c: self._parts(c) for c in chunks}
-        new = {p for ps in parts.values() for p in ps if p not in self.base}
-        plain = [p for p in new if p.isascii() and p.isalnum()]
-        if plain:
-            text = f" {self._BETWEEN} ".join(plain)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        rest = []
+        tokenize = self.tokenizer.model.tokenize
+        for c in chunks:
+            if c.isascii() and c.isalpha() and c.islower():  # one piece as it stands, so the model alone encodes it
+                self.seen[c] = array("I", [t.id for t in tokenize(c)]).tobytes()
+            else:
+                rest.append(c)
+        joined = [c for c in rest if c and self._BETWEEN not in c and "<|" not in c]
+        if joined:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self._BETWEEN} ".join(joined)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == np.frombuffer(self.between, "<u4")[0])
             starts, ends, raw = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], ids.tobytes()
-            for p, a, b in zip(plain, starts, ends, strict=True):
-                self.base[p] = raw[4 * a : 4 * b]
-        for p in new.difference(plain):
-            self.base[p] = self._one(p)
-        for c, ps in parts.items():
-            self.seen[c] = b"".join([self.base[p] for p in ps])
+            for c, a, b in zip(joined, starts, ends, strict=True):
+                self.seen[c] = raw[4 * a : 4 * b]
+        for c in chunks.difference(self.seen):
+            self.seen[c] = self._one(c)
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+    def _chunks(self, text: str | None) -> list[str]:
         if not text:
-            return b""
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.seen.__getitem__, chunks))
-        except KeyError:
-            if len(self.seen) > CACHE_CHUNKS:
-                self.seen.clear()
-            if len(self.base) > CACHE_CHUNKS:
-                self.base.clear()
-            self._fill(set(chunks).difference(self.seen))
-            return b"".join(map(self.seen.__getitem__, chunks))
+            return []
+        if "<|" not in text and (text.isascii() or not self._OTHER.search(text)):
+            text = self._MARKS.sub(r" \1", text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; what is new in all of them is learnt at once."""
+        chunks = [self._chunks(t) for t in texts]
+        if len(self.seen) > CACHE_CHUNKS:
+            self.seen.clear()
+        self._fill(set().union(*chunks).difference(self.seen))
+        get = self.seen.__getitem__
+        return [b"".join(map(get, c)) for c in chunks]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 def default_tokenizer() -> str:
@@ -130,7 +132,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # so that ids of a few texts are held at a time
                 piece = batch.slice(at, 512)
-                ids = [encoder.encode(t) + end for t in piece.column("text").to_pylist()]
+                ids = [x + end for x in encoder.encode_all(piece.column("text").to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int32)
                 ends = np.cumsum(n, dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
