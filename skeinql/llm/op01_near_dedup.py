@@ -6,9 +6,10 @@
    probability 0.9999. Only documents that share a band go on.
 3. Within a band's bucket the signatures (8 bits a coordinate) estimate each pair's similarity. First each
    document's best partners are compared on their texts, and links (exact weighted Jaccard >= 0.8) give
-   components; then every remaining pair of a bucket that joins two components and isn't estimated far
-   below the threshold (0.68, over 3 standard deviations) is compared. So no link between different
-   components is left out, and a large group costs its members, not their pairs.
+   components; then every remaining pair of a bucket that joins two components is compared, unless it is
+   estimated far below the threshold (0.68, over 3 standard deviations) or cannot reach it because too
+   much of one text occurs in no other candidate. So no link between components is left out, and a large
+   group costs its members, not their pairs.
 4. A bucket of more than ``GROUP`` members is split by each other band; parts that are still too large
    agree on ten coordinates, and are compared in overlapping random tiles.
 
@@ -138,7 +139,10 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _groups(reps: DataFrame) -> DataFrame:
-    """(key, band, id): groups of at most about GROUP representatives among which pairs are sought. band -1: of a split bucket."""
+    """(key, band, id): groups of at most about GROUP representatives among which pairs are sought.
+
+    band: the bucket's band, plus BANDS times (1 + the other band) for a part of a split bucket.
+    """
     rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(rows.join(sizes.hint("merge"), "key"), "near-shared")
@@ -149,14 +153,14 @@ def _groups(reps: DataFrame) -> DataFrame:
         return small
     split = large.select("key", "band", "id").join(reps.select("id", F.col("bands").alias("others")), "id")
     split = split.select("id", "band", "key", F.posexplode("others").alias("other", "inner")).where("other <> band")
-    split = split.select(F.xxhash64("key", "inner").alias("key"), "id")
+    split = split.select(F.xxhash64("key", "inner").alias("key"), (F.col("band") + (F.col("other") + 1) * BANDS).alias("band"), "id")
     again = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     split = split.join(again.hint("merge"), "key")
     # tiles: each member is in two neighbouring ones of the n / (GROUP / 2) of its group
     tiles = F.ceil(F.col("n") / F.lit(GROUP // 2)).cast("int")
     tile = F.pmod(F.xxhash64("id", "key"), tiles).cast("int")
     near = F.when(F.col("n") <= GROUP, F.array(F.lit(-1))).otherwise(F.array(tile, F.pmod(tile + 1, tiles)))
-    split = split.select("id", F.explode(near).alias("tile"), "key").select(F.xxhash64("key", "tile").alias("key"), F.lit(-1).alias("band"), "id")
+    split = split.select("id", "band", F.explode(near).alias("tile"), "key").select(F.xxhash64("key", "tile").alias("key"), "band", "id")
     out = small.unionByName(split)
     out._scratch = shared._scratch
     return out
@@ -172,23 +176,60 @@ def _pair_indices(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     return i, j
 
 
-def _partners(groups: DataFrame, marks: DataFrame, component: DataFrame | None) -> DataFrame:
-    """(a, b) with a < b to compare: each document's best partners in a group, or, given components, every pair across two."""
-    rows = groups.join(marks, "id")
-    if component is not None:
-        rows = rows.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rows = rows.join(mixed.hint("merge"), "key")
-    else:
-        rows = rows.withColumn("component", F.col("id"))
-    best_only = component is None
-    rows = rows.select("key", "band", "id", "marks", "component").repartition("key").sortWithinPartitions("key", "id")
+def _mixed(groups: DataFrame, marks: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows of groups that hold several components, with marks and component."""
+    rows = groups.join(marks, "id").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return rows.join(several.hint("merge"), "key")
+
+
+def _masses(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, total, shared): the weight of each document's elements, and of those that another of these documents has as well.
+
+    What two documents have in common is at most the lesser of their shared weights, which bounds their
+    similarity without looking at the pair. Elements are counted, never gathered.
+    """
+    n = ids.count()
+    texts = docs.join(F.broadcast(ids) if n <= BROADCAST_KEYS else ids, "id", "left_semi").dropDuplicates(["id"])
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_DOCS):
+                piece = batch.slice(at, BATCH_DOCS)
+                of, element, weight = shingles([word_hashes(t) for t in piece.column("text").to_pylist()])
+                own = piece.column("id").to_numpy()[of] if len(of) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(element.view(np.int64), pa.int64()), pa.array(weight, pa.float64())], names=["id", "element", "weight"])
+
+    rows = texts.select("id", "text").mapInArrow(elements, "id long, element long, weight double")
+    once = rows.groupBy("element").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight")).where("n = 1")
+    own = once.groupBy("id").agg(F.sum("weight").alias("own"))
+    totals = texts.select("id", "text").mapInArrow(_totals, "id long, total double")
+    return totals.join(own, "id", "left").select("id", "total", (F.col("total") - F.coalesce("own", F.lit(0.0))).alias("shared"))
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [len(t.lower().split()) for t in batch.column("text").to_pylist()]
+        total = pa.array([float(max(1, k - WORDS + 1)) for k in n])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), total], names=["id", "total"])
+
+
+def _partners(rows: DataFrame, want: str, threshold: float = THRESHOLD) -> DataFrame:
+    """What is found among the pairs of a group that aren't estimated far below the threshold and join two components.
+
+    want: 'best', (a, b) of each document's best partners; 'ids', (a, null) of the documents in any such pair;
+    'pairs', (a, b) of all pairs whose total and shared weights leave the threshold within reach. a < b.
+    """
+    for c in ("total", "shared"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(0.0))
+    rows = rows.select("key", "band", "id", "marks", "component", "total", "shared").repartition("key").sortWithinPartitions("key", "id")
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, band, ids, own = (t.column(c).to_numpy() for c in ("key", "band", "id", "component"))
+            key, band, ids, own, total, shared = (t.column(c).to_numpy() for c in ("key", "band", "id", "component", "total", "shared"))
             marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, K)
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(cuts, len(key)))
@@ -202,11 +243,22 @@ def _partners(groups: DataFrame, marks: DataFrame, component: DataFrame | None)
                 equal = marks[i] == marks[j]
                 share = equal.mean(axis=1)
                 agree = equal.reshape(-1, BANDS, ROWS).all(axis=2)
-                # a pair that shares several bands is looked at in the first
-                ok = (share >= ESTIMATE) & ((band[i] < 0) | (agree.argmax(axis=1) == band[i]))
+                # a pair that shares several bands is looked at in the first, and in a split bucket in the first two
+                first = agree.argmax(axis=1)
+                agree[np.arange(len(first)), first] = False
+                split = band[i] >= BANDS
+                ok = (share >= ESTIMATE) & (first == band[i] % BANDS) & (~split | (agree.argmax(axis=1) == band[i] // BANDS - 1))
                 i, j, share = i[ok], j[ok], share[ok]
-                if best_only and len(i):
-                    order = np.lexsort((-share,))
+                if want == "ids" and len(i):
+                    some = ids[np.unique(np.concatenate([i, j]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.int64())], names=["a", "b"])
+                    continue
+                if want == "pairs":
+                    common = np.minimum(shared[i], shared[j])
+                    ok = common >= threshold * (total[i] + total[j] - common) - 1e-6
+                    i, j = i[ok], j[ok]
+                if want == "best" and len(i):
+                    order = np.argsort(-share, kind="stable")
                     i, j = i[order], j[order]
                     ends = np.stack([i, j], axis=1).ravel()
                     _, first = np.unique(ends, return_index=True)
@@ -271,10 +323,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col
     dropped(shared)
     marks = reps.select("id", "marks")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    best = written(_partners(groups, marks, None), "near-pairs")
+    best = written(_partners(groups.join(marks, "id").withColumn("component", F.col("id")), "best"), "near-pairs")
     links = _links(best, texts, threshold)
     component = connected_components(links, "near-components")
-    rest = written(_partners(groups, marks, component).join(best, ["a", "b"], "left_anti"), "near-rest")
+    mixed = written(_mixed(groups, marks, component), "near-mixed")
+    apart = written(_partners(mixed, "ids").select(F.col("a").alias("id")).distinct(), "near-apart")
+    masses = written(_masses(apart, texts), "near-masses")
+    rest = written(_partners(mixed.join(masses.hint("merge"), "id"), "pairs", threshold).join(best, ["a", "b"], "left_anti"), "near-rest")
+    dropped(mixed, apart, masses)
     more = _links(rest, texts, threshold)
     dropped(best, rest, groups)
     if not more.isEmpty():
