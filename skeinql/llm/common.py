@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,17 +47,6 @@ def dropped(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str, rows: int, bound: int = BROADCAST_KEYS) -> DataFrame:
-    """Join with a narrow table of so many (counted) rows: broadcast up to the bound, else shuffled."""
-    return left.join(F.broadcast(right) if rows <= bound else right.hint("merge"), key, how)
-
-
-def only(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """The named columns; a missing one is null text. Extra columns are left behind, so their names can't clash."""
-    have = set(df.columns)
-    return df.select(*[F.col(quoted(c)) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
-
-
 def quoted(name: str) -> str:
     return "`" + re.sub("`", "``", name) + "`"
 
