@@ -38,8 +38,8 @@ K = BANDS * ROWS
 GROUP = 256
 #: Estimates below this are over 3 standard deviations (0.0365) off the threshold.
 ESTIMATE = 0.68
-CACHE_WORDS = 500_000
-BATCH_WORDS, BATCH_DOCS = 500_000, 1500
+CACHE_WORDS = 200_000
+BATCH_WORDS, BATCH_DOCS = 150_000, 400
 
 
 class _Words(dict):
