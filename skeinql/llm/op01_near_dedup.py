@@ -10,8 +10,10 @@
    estimated far below the threshold (0.68, over 3 standard deviations) or cannot reach it because too
    much of one text occurs in no other candidate. So no link between components is left out, and a large
    group costs its members, not their pairs.
-4. A bucket of more than ``GROUP`` members is split by each other band; parts that are still too large
-   agree on ten coordinates, and are compared in overlapping random tiles.
+4. For the best partners a bucket of more than ``GROUP`` members is split by each other band, and parts that
+   are still too large are dealt into overlapping random tiles: that only joins most of a large group early.
+   Afterwards no pair is left out: such a bucket is cut in blocks of about ``BLOCK`` members, and every two
+   blocks that hold several components are compared in a task of their own.
 
 Defined results: one row for each input row. Null or wordless texts and null ids link with nothing; rows
 with one doc_id are one document (they share a class); the class is the smallest doc_id in it; of a
@@ -36,6 +38,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 GROUP = 256
+BLOCK = 512
+#: Pairs whose signatures are compared at once.
+PAIRS = 50_000
 #: Estimates below this are over 3 standard deviations (0.0365) off the threshold.
 ESTIMATE = 0.68
 CACHE_WORDS = 200_000
@@ -138,18 +143,21 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return src.mapInArrow(run, "id long, same binary, bands array<long>, marks binary")
 
 
-def _groups(reps: DataFrame) -> DataFrame:
-    """(key, band, id): groups of at most about GROUP representatives among which pairs are sought.
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(key, band, id, n): the representatives of each bucket of n > 1 members."""
+    rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(sizes.hint("merge"), "key").select("key", "band", "id", "n")
+
+
+def _first_groups(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, band, id): groups of at most about GROUP members, in which best partners are sought.
 
     band: the bucket's band, plus BANDS times (1 + the other band) for a part of a split bucket.
     """
-    rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(rows.join(sizes.hint("merge"), "key"), "near-shared")
-    small = shared.where(F.col("n") <= GROUP).select("key", "band", "id")
-    large = shared.where(F.col("n") > GROUP)
+    small = buckets.where(F.col("n") <= GROUP).select("key", "band", "id")
+    large = buckets.where(F.col("n") > GROUP)
     if large.isEmpty():
-        small._scratch = shared._scratch
         return small
     split = large.select("key", "band", "id").join(reps.select("id", F.col("bands").alias("others")), "id")
     split = split.select("id", "band", "key", F.posexplode("others").alias("other", "inner")).where("other <> band")
@@ -161,9 +169,7 @@ def _groups(reps: DataFrame) -> DataFrame:
     tile = F.pmod(F.xxhash64("id", "key"), tiles).cast("int")
     near = F.when(F.col("n") <= GROUP, F.array(F.lit(-1))).otherwise(F.array(tile, F.pmod(tile + 1, tiles)))
     split = split.select("id", "band", F.explode(near).alias("tile"), "key").select(F.xxhash64("key", "tile").alias("key"), "band", "id")
-    out = small.unionByName(split)
-    out._scratch = shared._scratch
-    return out
+    return small.unionByName(split)
 
 
 def _pair_indices(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,13 +182,30 @@ def _pair_indices(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     return i, j
 
 
-def _mixed(groups: DataFrame, marks: DataFrame, component: DataFrame) -> DataFrame:
-    """The rows of groups that hold several components, with marks and component."""
-    rows = groups.join(marks, "id").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows of keys that hold several components."""
     several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     return rows.join(several.hint("merge"), "key")
 
 
+def _mixed(buckets: DataFrame, marks: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, band, id, half, component, marks): all members of buckets that hold several components.
+
+    Buckets of more than GROUP members are cut in blocks; a key then is of two blocks, whose members have
+    half 0 and 1 and are compared across, or of one block. half is -1 where all pairs of a key are compared.
+    """
+    rows = buckets.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = _several(rows)
+    out = rows.where(F.col("n") <= GROUP).select("key", "band", "id", F.lit(-1).alias("half"), "component")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    cut = rows.where(F.col("n") > GROUP).withColumn("block", F.pmod(F.xxhash64("id", "key"), blocks).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    half = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int"))
+    key = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    cut = _several(cut.select(key.alias("key"), "band", "id", half.alias("half"), "component"))
+    return out.unionByName(cut).join(marks, "id")
+
+
 def _masses(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, total, shared): the weight of each document's elements, and of those that another of these documents has as well.
 
@@ -220,16 +243,28 @@ def _partners(rows: DataFrame, want: str, threshold: float = THRESHOLD) -> DataF
     want: 'best', (a, b) of each document's best partners; 'ids', (a, null) of the documents in any such pair;
     'pairs', (a, b) of all pairs whose total and shared weights leave the threshold within reach. a < b.
     """
-    for c in ("total", "shared"):
+    for c, value in (("total", 0.0), ("shared", 0.0), ("half", -1)):
         if c not in rows.columns:
-            rows = rows.withColumn(c, F.lit(0.0))
-    rows = rows.select("key", "band", "id", "marks", "component", "total", "shared").repartition("key").sortWithinPartitions("key", "id")
+            rows = rows.withColumn(c, F.lit(value))
+    rows = rows.select("key", "band", "id", "marks", "component", "half", "total", "shared").repartition("key").sortWithinPartitions("key", "id")
+
+    def alike(band: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that are to be looked at here and aren't estimated far below the threshold, with the estimates."""
+        equal = marks[i] == marks[j]
+        share = equal.mean(axis=1)
+        agree = equal.reshape(-1, BANDS, ROWS).all(axis=2)
+        # a pair that shares several bands is looked at in the first, and in a split bucket in the first two
+        first = agree.argmax(axis=1)
+        agree[np.arange(len(first)), first] = False
+        split = band[i] >= BANDS
+        ok = (share >= ESTIMATE) & (first == band[i] % BANDS) & (~split | (agree.argmax(axis=1) == band[i] // BANDS - 1))
+        return i[ok], j[ok], share[ok]
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, band, ids, own, total, shared = (t.column(c).to_numpy() for c in ("key", "band", "id", "component", "total", "shared"))
+            key, band, ids, own, half, total, shared = (t.column(c).to_numpy() for c in ("key", "band", "id", "component", "half", "total", "shared"))
             marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, K)
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(cuts, len(key)))
@@ -238,17 +273,12 @@ def _partners(rows: DataFrame, want: str, threshold: float = THRESHOLD) -> DataF
             for p in np.unique(part):
                 g = part == p
                 i, j = _pair_indices(sizes[g], cuts[g])
-                ok = own[i] != own[j]
+                ok = (own[i] != own[j]) & ((half[i] < 0) | (half[i] != half[j]))
                 i, j = i[ok], j[ok]
-                equal = marks[i] == marks[j]
-                share = equal.mean(axis=1)
-                agree = equal.reshape(-1, BANDS, ROWS).all(axis=2)
-                # a pair that shares several bands is looked at in the first, and in a split bucket in the first two
-                first = agree.argmax(axis=1)
-                agree[np.arange(len(first)), first] = False
-                split = band[i] >= BANDS
-                ok = (share >= ESTIMATE) & (first == band[i] % BANDS) & (~split | (agree.argmax(axis=1) == band[i] // BANDS - 1))
-                i, j, share = i[ok], j[ok], share[ok]
+                near = [alike(band, marks, i[at : at + PAIRS], j[at : at + PAIRS]) for at in range(0, len(i), PAIRS)]
+                if not near:
+                    continue
+                i, j, share = (np.concatenate(c) for c in zip(*near))
                 if want == "ids" and len(i):
                     some = ids[np.unique(np.concatenate([i, j]))]
                     yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.int64())], names=["a", "b"])
@@ -317,22 +347,20 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col
     signed = written(sign(docs, id_col, text_col), "near-signed")
     first = F.min(F.struct("id", "bands", "marks"))
     reps = written(signed.groupBy("same").agg(first.alias("m")).select("same", "m.*"), "near-reps")
-    groups = _groups(reps)
-    shared = groups
-    groups = written(groups, "near-groups")
-    dropped(shared)
+    buckets = written(_buckets(reps), "near-buckets")
+    groups = written(_first_groups(buckets, reps), "near-groups")
     marks = reps.select("id", "marks")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     best = written(_partners(groups.join(marks, "id").withColumn("component", F.col("id")), "best"), "near-pairs")
     links = _links(best, texts, threshold)
     component = connected_components(links, "near-components")
-    mixed = written(_mixed(groups, marks, component), "near-mixed")
+    mixed = written(_mixed(buckets, marks, component), "near-mixed")
     apart = written(_partners(mixed, "ids").select(F.col("a").alias("id")).distinct(), "near-apart")
     masses = written(_masses(apart, texts), "near-masses")
     rest = written(_partners(mixed.join(masses.hint("merge"), "id"), "pairs", threshold).join(best, ["a", "b"], "left_anti"), "near-rest")
     dropped(mixed, apart, masses)
     more = _links(rest, texts, threshold)
-    dropped(best, rest, groups)
+    dropped(best, rest, groups, buckets)
     if not more.isEmpty():
         old = component
         component = connected_components(links.union(more), "near-components")

@@ -80,6 +80,19 @@ def test_near_dedup_large_group_splits(spark, monkeypatch):
     assert got == {i: 0 if i < 100 else i for i in got}
 
 
+def test_near_dedup_pairs_in_template_family(spark, monkeypatch):
+    """Documents of one template do not link; the planted pairs among them all do, though their buckets are large."""
+    monkeypatch.setattr(near, "GROUP", 4)
+    monkeypatch.setattr(near, "BLOCK", 16, raising=False)
+    head = [f"t{i}" for i in range(150)]
+    tail = lambda k: [f"u{k}_{i}" for i in range(26)]
+    rows = [(k, " ".join(head + tail(k))) for k in range(120)] + [(1000 + k, " ".join(["new", *head, *tail(k)])) for k in range(0, 120, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(dict(rows))
+    assert len(set(want.values())) == 120 and all(want[1000 + k] == k for k in range(0, 120, 2))
+    assert {r.doc_id: r.class_id for r in near.near_duplicate_classes(df).collect()} == want
+
+
 def test_near_dedup_odd(odd_documents, no_documents):
     rows = near.near_duplicate_classes(odd_documents).collect()
     assert sorted((r.doc_id or -1, r.class_id or -1, r.kept) for r in rows) == [(-1, -1, True), (1, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True), (6, 1, False)]
