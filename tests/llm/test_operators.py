@@ -93,6 +93,17 @@ def test_near_dedup_pairs_in_template_family(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near.near_duplicate_classes(df).collect()} == want
 
 
+def test_near_dedup_marks_that_agree_by_chance(spark):
+    """A band whose marks agree, but whose darts don't, is not a band that a pair shares."""
+    marks = np.zeros((2, near.K), np.uint8)
+    marks[1, near.ROWS * 2 :] = [0, 0, 0, 0, 1] * (near.BANDS - 2)  # the marks of bands 0 and 1 agree
+    bands = [[100 + b for b in range(near.BANDS)], [200 + b for b in range(near.BANDS)]]
+    bands[1][1] = bands[0][1]  # but only band 1 is shared
+    rows = [(7, 1, i, bytes(marks[i]), bands[i], i) for i in range(2)]
+    df = spark.createDataFrame(rows, "key long, band int, id long, marks binary, bands array<long>, component long")
+    assert [(r.a, r.b) for r in near._partners(df, "best").collect()] == [(0, 1)]
+
+
 def test_near_dedup_odd(odd_documents, no_documents):
     rows = near.near_duplicate_classes(odd_documents).collect()
     assert sorted((r.doc_id or -1, r.class_id or -1, r.kept) for r in rows) == [(-1, -1, True), (1, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True), (6, 1, False)]
