@@ -17,7 +17,7 @@
    blocks that hold several components are compared in a task of their own.
 
 Defined results: one row for each input row. Null or wordless texts and null ids link with nothing; rows
-with one doc_id are one document (they share a class); the class is the smallest doc_id in it; of a
+with one doc_id are one document (they share a class, which has the links of all their texts); the class is the smallest doc_id in it; of a
 class the document with that id is kept; an empty table gives an empty result; extra columns are left
 behind.
 """
@@ -113,43 +113,45 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, same, bands, marks) of every document that has words; same: hash of all its words in order."""
+    """(id, code, same, bands, marks) of every document that has words; code: hash of its text, same: of all its words in order."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    src = src.select("id", F.xxhash64("text").alias("code"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        def done(ids: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        def done(ids: list[int], codes: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
             of, element, weight = shingles(parts)
             sig = signatures(of, element, weight, len(parts), K)
             same = [xxhash.xxh3_128_digest(p.tobytes()) for p in parts]
             marks = np.ascontiguousarray(sig.astype(np.uint8))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band_keys(sig).ravel()))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), bands, pa.array([m.tobytes() for m in marks], pa.binary())], names=["id", "same", "bands", "marks"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.int64()), pa.array(same, pa.binary()), bands, pa.array([m.tobytes() for m in marks], pa.binary())], names=["id", "code", "same", "bands", "marks"])
 
-        ids, parts, size = [], [], 0
+        ids, codes, parts, size = [], [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            for i, code, text in zip(*(batch.column(c).to_pylist() for c in ("id", "code", "text"))):
                 p = word_hashes(text)
                 if not len(p):
                     continue
                 ids.append(i)
+                codes.append(code)
                 parts.append(p)
                 size += len(p)
                 if size >= BATCH_WORDS or len(ids) >= BATCH_DOCS:
-                    yield done(ids, parts)
-                    ids, parts, size = [], [], 0
+                    yield done(ids, codes, parts)
+                    ids, codes, parts, size = [], [], [], 0
         if ids:
-            yield done(ids, parts)
+            yield done(ids, codes, parts)
 
-    return src.mapInArrow(run, "id long, same binary, bands array<long>, marks binary")
+    return src.mapInArrow(run, "id long, code long, same binary, bands array<long>, marks binary")
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """(key, band, id, n): the representatives of each bucket of n > 1 members."""
-    rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    """(key, band, id, doc, n): the representatives of each bucket of n > 1 members."""
+    rows = reps.select("id", "doc", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(sizes.hint("merge"), "key").select("key", "band", "id", "n")
+    return rows.join(sizes.hint("merge"), "key").select("key", "band", "id", "doc", "n")
 
 
 def _first_groups(buckets: DataFrame, reps: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def _mixed(buckets: DataFrame, marks: DataFrame, component: DataFrame) -> DataFr
     Buckets of more than GROUP members are cut in blocks; a key then is of two blocks, whose members have
     half 0 and 1 and are compared across, or of one block. half is -1 where all pairs of a key are compared.
     """
-    rows = buckets.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = buckets.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rows = _several(rows)
     out = rows.where(F.col("n") <= GROUP).select("key", "band", "id", F.lit(-1).alias("half"), "component")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
@@ -347,18 +349,30 @@ def _links(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return links
 
 
+def _of_docs(links: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) of texts as links of the documents that stand for them."""
+    doc = reps.select("id", "doc")
+    for c in ("a", "b"):
+        links = links.join(doc.withColumnsRenamed({"id": c, "doc": f"{c}_doc"}), c)
+    return links.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, class_id, kept) for each row of docs."""
     signed = written(sign(docs, id_col, text_col), "near-signed")
-    first = F.min(F.struct("id", "bands", "marks"))
-    reps = written(signed.groupBy("same").agg(first.alias("m")).select("same", "m.*"), "near-reps")
+    first = F.min(F.struct("id", "code", "bands", "marks"))
+    # texts are known by their codes, as rows with one doc_id may have several; components are of doc_ids
+    reps = written(signed.groupBy("same").agg(first.alias("m")).select("same", F.col("m.id").alias("doc"), F.col("m.code").alias("id"), "m.bands", "m.marks"), "near-reps")
+    to_doc = written(signed.select("id", "same").join(reps.select("same", "doc").hint("merge"), "same").select("id", "doc"), "near-docs")
+    several = to_doc.groupBy("id").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("id", "a")
+    bonds = written(to_doc.join(several, "id").select("a", F.col("doc").alias("b")).distinct(), "near-bonds")
     buckets = written(_buckets(reps), "near-buckets")
     groups = written(_first_groups(buckets, reps), "near-groups")
     marks = reps.select("id", "marks", "bands")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     best = written(_partners(groups.join(marks, "id").withColumn("component", F.col("id")), "best"), "near-pairs")
     links = _links(best, texts, threshold)
-    component = connected_components(links, "near-components")
+    component = connected_components(_of_docs(links, reps).union(bonds), "near-components")
     mixed = written(_mixed(buckets, marks, component), "near-mixed")
     apart = written(_partners(mixed, "ids").select(F.col("a").alias("id")).distinct(), "near-apart")
     masses = written(_masses(apart, texts), "near-masses")
@@ -368,14 +382,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col
     dropped(best, rest, groups, buckets)
     if not more.isEmpty():
         old = component
-        component = connected_components(links.union(more), "near-components")
+        component = connected_components(_of_docs(links.union(more), reps).union(bonds), "near-components")
         dropped(old)
-    dropped(links, more)
-    to_rep = signed.select("id", "same").join(reps.select("same", F.col("id").alias("rep")).hint("merge"), "same").select("id", "rep")
-    classes = to_rep.join(component.withColumnsRenamed({"node": "rep"}), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
+    dropped(links, more, bonds)
+    classes = to_doc.join(component.withColumnsRenamed({"node": "doc"}), "doc", "left").select("id", F.coalesce("component", "doc").alias("class_id"))
     # rows with one id: one class
     classes = written(classes.groupBy("id").agg(F.min("class_id").alias("class_id")), "near-classes")
-    dropped(signed, reps, component)
+    dropped(signed, reps, to_doc, component)
     out = docs.select(F.col(id_col).alias(id_col), F.col(id_col).cast("long").alias("id")).join(classes, "id", "left")
     class_id = F.coalesce("class_id", "id")
     return out.select(id_col, class_id.alias("class_id"), F.coalesce(class_id == F.col("id"), F.lit(True)).alias("kept"))

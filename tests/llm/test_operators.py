@@ -104,6 +104,15 @@ def test_near_dedup_marks_that_agree_by_chance(spark):
     assert [(r.a, r.b) for r in near._partners(df, "best").collect()] == [(0, 1)]
 
 
+def test_near_dedup_one_id_with_several_texts(spark):
+    """A document has the links of all its texts, also where another document stands for one of them."""
+    text = lambda c, *more: " ".join([*(f"{c}{i}" for i in range(60)), *more])
+    rows = [(5, text("p")), (5, text("q")), (5, text("r")), (7, text("p", "x")), (8, text("q", "x")), (9, text("r", "x")), (3, text("r")), (6, text("s"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near.near_duplicate_classes(df).collect()}
+    assert got == {3: 3, 5: 3, 6: 6, 7: 3, 8: 3, 9: 3}
+
+
 def test_near_dedup_odd(odd_documents, no_documents):
     rows = near.near_duplicate_classes(odd_documents).collect()
     assert sorted((r.doc_id or -1, r.class_id or -1, r.kept) for r in rows) == [(-1, -1, True), (1, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True), (6, 1, False)]
