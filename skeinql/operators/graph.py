@@ -2,7 +2,7 @@
 
 Iterative algorithms are joins and aggregates in a loop; each round's table is cut off with checkpoint()
 and only a convergence number comes to the driver. Algorithms that need all paths from each vertex
-(betweenness, k shortest paths, influence) bound the sources or the depth by parameters.
+(betweenness, closeness, k shortest paths) go as far as the graph does unless a depth is given.
 """
 
 from __future__ import annotations
@@ -123,12 +123,14 @@ def similarity(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.select("a", "b", "common", F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("jaccard"), F.when(both > 0, F.col("common") / both).otherwise(0.0).alias("cosine"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, depth: int, weight: str | None = None) -> DataFrame:
-    """(source, id, distance) within so many steps of each source (id): breadth first, or cheapest with a weight."""
+def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, weight: str | None = None) -> DataFrame:
+    """(source, id, distance) of all that each source (id) reaches, or within so many steps: breadth first, or cheapest with a weight."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     e = _cut(edges.select("src", "dst", w.alias("w")))
     best = _cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")))
     front = best
+    if depth is None:  # a cheapest path repeats no vertex
+        depth = e.select("dst").distinct().count() + 1
     for _ in range(depth):
         step = front.join(e.withColumnRenamed("src", "id"), "id").select("source", F.col("dst").alias("id"), (F.col("distance") + F.col("w")).alias("distance"))
         step = step.groupBy("source", "id").agg(F.min("distance").alias("distance"))
@@ -140,14 +142,14 @@ def distances(edges: DataFrame, sources: DataFrame, depth: int, weight: str | No
     return best
 
 
-def closeness(vertices: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
+def closeness(vertices: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, closeness): reached vertices over the sum of their distances."""
     d = distances(edges, vertices, depth).where("distance > 0")
     sums = d.groupBy(F.col("source").alias("id")).agg((F.count("*") / F.sum("distance")).alias("closeness"))
     return vertices.select("id").join(sums, "id", "left").fillna(0.0, ["closeness"])
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
+def betweenness(vertices: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, betweenness): shares of the shortest paths through a vertex, by counting paths outwards and dependencies back."""
     d = _cut(distances(edges, vertices, depth))
     e = edges.select("src", "dst").distinct()
@@ -182,8 +184,37 @@ def simple_paths(edges: DataFrame, start, end, longest: int, weight: str | None
     return found.select("path", "cost")
 
 
-def k_shortest_paths(edges: DataFrame, start, end, k: int, longest: int = 6, weight: str | None = None) -> DataFrame:
-    return simple_paths(edges, start, end, longest, weight).orderBy("cost", "path").limit(k)
+def k_shortest_paths(edges: DataFrame, start, end, k: int, longest: int | None = None, weight: str | None = None, batch: int = 1000) -> DataFrame:
+    """(path, cost) of the k cheapest paths without repeated vertices, of any length unless longest is given.
+
+    Weights are not negative. Paths grow in the order of their cost and the least that is left to the end,
+    so many at a time, until no open path can be among the k cheapest.
+    """
+    if longest is not None:
+        return simple_paths(edges, start, end, longest, weight).orderBy("cost", "path").limit(k)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    e = edges.select("src", "dst", w.alias("w")).where("src <> dst")
+    last = e.where(F.col("dst") == end).select(F.col("dst").alias("id")).distinct()
+    left = distances(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), last, None, "w").select(F.col("id").alias("dst"), F.col("distance").alias("left"))
+    e = _cut(e.join(left, "dst"))
+    found = e.limit(0).select(F.array("src", "dst").alias("path"), F.col("w").alias("cost"))
+    if start == end:
+        return found
+    waiting = _cut(e.where(F.col("src") == start).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), F.col("w").alias("cost"), (F.col("w") + F.col("left")).alias("least")))
+    while True:
+        found = _cut(found.union(waiting.where(F.col("at") == end).select("path", "cost")).orderBy("cost", "path").limit(k))
+        waiting = waiting.where(F.col("at") != end)
+        n, worst = found.agg(F.count("*"), F.max("cost")).first()
+        if n == k:  # equally cheap paths go on; sums in another order differ a little
+            waiting = waiting.where(F.col("least") <= worst + 1e-9 * abs(worst))
+        # equal rows, from parallel edges, go together
+        chosen = waiting.select("path", "cost", "least").distinct().orderBy("least", "path").limit(batch)
+        first = _cut(waiting.join(chosen.select("path", "cost"), ["path", "cost"], "left_semi"))
+        if first.isEmpty():
+            return found.orderBy("cost", "path")
+        more = first.join(e, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        more = more.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("cost") + F.col("w") + F.col("left")).alias("least"))
+        waiting = _cut(waiting.join(first.select("path", "cost"), ["path", "cost"], "left_anti").select("path", "at", "cost", "least").union(more))
 
 
 def label_communities(vertices: DataFrame, edges: DataFrame, iterations: int = 10) -> DataFrame:

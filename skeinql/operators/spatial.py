@@ -95,12 +95,33 @@ def near_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFrame
     return a.join(b, ["cx", "cy"]).select("a", "b", d.alias("distance")).where(F.col("distance") <= radius)
 
 
-def nearest(points: DataFrame, others: DataFrame, k: int, radius: float) -> DataFrame:
-    """(a, b, distance) of the k nearest others within the radius."""
+def nearest(points: DataFrame, others: DataFrame, k: int, radius: float | None = None) -> DataFrame:
+    """(a, b, distance) of the k nearest others: of all, or within the radius if one is given.
+
+    Without one, a search radius doubles for the points that have fewer others within it.
+    """
     from pyspark.sql.window import Window
 
     rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
-    return near_pairs(points, others, radius).withColumn("n", rank).where(F.col("n") <= k).drop("n")
+    if radius is not None:
+        return near_pairs(points, others, radius).withColumn("n", rank).where(F.col("n") <= k).drop("n")
+    placed = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
+    points, others = points.where(placed), others.where(placed)
+    enough = others.limit(k).count()
+    box = points.select("x", "y").union(others.select("x", "y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    far = 0.0 if box[0] is None else ((box[1] - box[0]) ** 2 + (box[3] - box[2]) ** 2) ** 0.5
+    radius = far * (k / max(others.count(), 1)) ** 0.5 or 1.0
+    out, left = None, points
+    while True:
+        found = near_pairs(left, others, radius).withColumn("n", rank).where(F.col("n") <= k).drop("n").localCheckpoint()
+        done = found.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select(F.col("a").alias("id"))
+        left = left.join(done, "id", "left_anti").localCheckpoint()
+        last = radius > far or left.isEmpty()
+        own = found if last else found.join(done.withColumnRenamed("id", "a"), "a", "left_semi")
+        out = own if out is None else out.union(own)
+        if last:
+            return out
+        radius *= 2
 
 
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:

@@ -158,3 +158,16 @@ def test_quality_and_sketches(spark):
     assert got == {"full": pytest.approx(2 / 3), "unique": 1.0, "digits": 0.5}
     assert approximate.systematic(spark.range(100), 10, ["id"], 3).count() == 10
     assert spark.createDataFrame([("4111 1111 1111 1234",)], "c string").select(quality.MASKS["card"](F.col("c")).alias("c")).first().c == "**** **** **** 1234"
+
+
+def test_far_vertices_and_neighbours(spark):
+    """Chains longer than any default depth, a cheapest path of many edges, and points with few others near."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(24)], "src long, dst long")
+    near = {r.id: r.closeness for r in graph.closeness(spark.createDataFrame([(0,)], "id long"), chain).collect()}
+    assert near[0] == pytest.approx(24 / sum(range(1, 25)))
+    rows = [(i, i + 1, 1.0) for i in range(8)] + [(0, 8, 9.0), (0, 4, 20.0), (4, 0, 0.0), (3, 5, 2.5), (8, 9, 0.0)]
+    paths = graph.k_shortest_paths(spark.createDataFrame(rows, "src long, dst long, w double"), 0, 8, 3, weight="w", batch=1).collect()
+    assert [(r.path, r.cost) for r in paths] == [(list(range(9)), 8.0), ([0, 1, 2, 3, 5, 6, 7, 8], 8.5), ([0, 8], 9.0)]
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 50.0, 0.0)], "id long, x double, y double")
+    got = sorted((r.a, r.b) for r in spatial.nearest(points, points, 2).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2), (3, 3)]
