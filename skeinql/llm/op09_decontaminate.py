@@ -2,40 +2,44 @@
 
 Words: A-Z lower-cased, runs of letters, digits and non-ASCII characters. A window is ``width``
 consecutive words of a benchmark item; a shorter item is one window of its own length. Each task builds
-an index over shards of about ``SHARD_WORDS`` words of its documents (a longer document is a shard of
-its own), searches every window backwards through it, locates the occurrences by sampled suffix
-positions, and merges the covered words to spans. Documents don't move between tasks, so no key is hot,
-and a lost executor costs its tasks only.
+an index over shards of about ``SHARD_WORDS`` words of its documents, searches every window backwards
+through it, locates the occurrences by sampled suffix positions, and merges the covered words to spans.
+A longer document is cut into shards that overlap by ``width`` - 1 words, so a window is whole in one of
+them. Documents don't move between tasks, so no key is hot, and a lost executor costs its tasks only.
 
 The index has the benchmark's words as its alphabet; other words and the ends of documents are
 separators, and one separator stands for several in a row, as no window has one inside.
 
-The benchmark is sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text; further blocks are
-further passes over the documents, each written to the shared folder.
+The benchmark is sent to the tasks in blocks of about ``BLOCK_WINDOWS`` windows; further blocks are
+further passes over the documents, each written to the shared folder. Only texts, and what earlier
+passes found, go to Python; the other columns of a document stay where they are.
 
 Defined results: null text has no words and no hits; null benchmark texts and item_ids are left out;
 items with the same text all count, items with the same item_id count once; repeated documents each get
-their row; without benchmark items nothing is hit; extra columns are left behind.
+their row; without benchmark items nothing is hit; extra columns are left behind, or carried whole by
+``without_contaminated``.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinql.llm.common import table_of, written
+from skeinql.llm.common import arrow_column, dropped, fresh, quoted, released, table_of, written
 from skeinql.llm.fm_index import FMIndex
 
 WIDTH = 10
-SHARD_WORDS = 2_000_000
-BLOCK_BYTES = 64 << 20
+SHARD_WORDS = 1_000_000
+BLOCK_WINDOWS = 400_000
+PIECE_BYTES = 4 << 20
+FOUND = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 #: Bytes that are no part of a word become spaces; A-Z become a-z. UTF-8 bytes from 0x80 are letters.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -50,23 +54,38 @@ class Benchmark:
 
     def __init__(self, items: Iterable[tuple[str, str]], width: int = WIDTH) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = {}
-        self.item_ids: list[str] = []
+        self.width = width
         number: dict[str, int] = {}
+        windows: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
             n = number.setdefault(item_id, len(number))
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + width]), set()).add(n)
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                size = min(width, len(ids))
+                windows.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(ids, size), n))
         self.item_ids = list(number)
-        by_length: dict[int, list] = {}
-        for w, own in windows.items():
-            by_length.setdefault(len(w), []).append((w, sorted(own)))
         #: (patterns, their items one after another, where each pattern's items begin)
-        self.patterns = []
-        for _, found in sorted(by_length.items()):
-            starts = np.cumsum([0, *(len(own) for _, own in found)])
-            self.patterns.append((np.array([w for w, _ in found], np.int64), np.concatenate([np.array(own, np.int64) for _, own in found]), starts))
+        self.patterns: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for _, found in sorted(windows.items()):
+            patterns, which = np.unique(np.concatenate([w for w, _ in found]), axis=0, return_inverse=True)
+            owner = np.repeat([n for _, n in found], [len(w) for w, _ in found])
+            pairs = np.unique(which.ravel().astype(np.int64) * len(number) + owner)
+            of = pairs // len(number)
+            self.patterns.append((patterns, pairs % len(number), np.searchsorted(of, np.arange(len(patterns) + 1))))
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The words of a text by number, 0 for those that the benchmark doesn't have. A long text is split piece by piece."""
+        if not text:
+            return np.empty(0, np.int32)
+        raw, out, at = text.encode("utf-8", "surrogatepass").translate(_TABLE), [], 0
+        get = self.vocabulary.get
+        while at < len(raw):
+            end = len(raw) if len(raw) - at <= PIECE_BYTES else raw.find(b" ", at + PIECE_BYTES)
+            end = len(raw) if end < 0 else end
+            words = raw[at:end].split()
+            out.append(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
+            at = end
+        return np.concatenate(out)
 
 
 def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,129 +95,147 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[of], of
 
 
-def scan_shard(texts: list[str | None], bench: Benchmark) -> list[tuple[int, np.ndarray, set[int]]]:
-    """(number of words, merged spans of hit words as rows (start, end), items) of each text of one shard."""
-    get, counts, parts = bench.vocabulary.get, [], []
-    for t in texts:
-        words = words_of(t)
-        counts.append(len(words))
-        a = np.zeros(len(words) + 1, np.int32)
-        a[:-1] = np.fromiter(map(get, words, repeat(0)), np.int32, len(words))
-        parts.append(a)
-    out = [(n, np.empty((0, 2), np.int64), set()) for n in counts]
-    if not bench.patterns or not parts:
-        return out
-    full = np.concatenate(parts)
-    begins = np.cumsum([0, *(n + 1 for n in counts)])[:-1]
+class Found:
+    """What was found in one document: words in all, spans (start, end) of hit words in the order found, items by number."""
+
+    def __init__(self) -> None:
+        self.words, self.spans, self.items = 0, [], set()
+
+
+def scan_shard(parts: list[tuple[np.ndarray, int, Found]], bench: Benchmark) -> None:
+    """Search the windows in an index over pieces (words by number, place of the first in its document, the document's result)."""
+    full = np.concatenate([x for words, _, _ in parts for x in (words, np.zeros(1, np.int32))])
+    begins = np.cumsum([0, *(len(words) + 1 for words, _, _ in parts)])[:-1]
     stays = full != 0
     stays[1:] |= full[:-1] != 0
     at = np.flatnonzero(stays)
+    if not bench.patterns or not full.any():
+        return
     index = FMIndex(full[at], len(bench.vocabulary))
     cover = np.zeros(len(full) + 1, np.int64)
-    pairs = []
     for patterns, items, starts in bench.patterns:
         lo, hi = index.search(patterns)
         rows, of = _spread(lo, hi)
-        if len(rows):
-            where = at[index.locate(rows)]
-            np.add.at(cover, where, 1)
-            np.add.at(cover, where + patterns.shape[1], -1)
-            doc = np.searchsorted(begins, where, "right") - 1
-            which, row = _spread(starts[of], starts[of + 1])
-            pairs.append(np.unique(doc[row] * len(bench.item_ids) + items[which]))
-    if not pairs:
-        return out
+        if not len(rows):
+            continue
+        where = at[index.locate(rows)]
+        np.add.at(cover, where, 1)
+        np.add.at(cover, where + patterns.shape[1], -1)
+        # a window's items are spread once for each piece that has it, however often it occurs there
+        once = np.unique((np.searchsorted(begins, where, "right") - 1) * len(patterns) + of)
+        piece, pattern = once // len(patterns), once % len(patterns)
+        for lo in range(0, len(once), 1 << 16):
+            own = slice(lo, lo + (1 << 16))
+            which, row = _spread(starts[pattern[own]], starts[pattern[own] + 1])
+            for p in np.unique(piece[own][row] * len(bench.item_ids) + items[which]).tolist():
+                parts[p // len(bench.item_ids)][2].items.add(p % len(bench.item_ids))
     hit = np.zeros(len(full) + 2, np.int8)
     hit[1:-1] = np.cumsum(cover)[:-1] > 0
     edges = np.diff(hit)
     spans = np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], axis=1)
-    doc = np.searchsorted(begins, spans[:, 0], "right") - 1
-    hit_docs, lows = np.unique(doc, return_index=True)
-    for d, lo, hi in zip(hit_docs, lows, [*lows[1:], len(doc)]):
-        out[d] = (counts[d], spans[lo:hi] - begins[d], set())
-    for p in np.unique(np.concatenate(pairs)):
-        out[p // len(bench.item_ids)][2].add(int(p % len(bench.item_ids)))
-    return out
+    piece = np.searchsorted(begins, spans[:, 0], "right") - 1
+    for k, (a, b) in zip(piece.tolist(), (spans - begins[piece, None]).tolist()):
+        parts[k][2].spans.append((a + parts[k][1], b + parts[k][1]))
 
 
-def _merged(spans: np.ndarray, more: list) -> np.ndarray:
-    if not len(more):
-        return spans
-    both = np.concatenate([spans, np.array([(s["start"], s["end"]) for s in more], np.int64).reshape(-1, 2)])
-    both = both[np.argsort(both[:, 0], kind="stable")]
-    out: list[list[int]] = []
-    for a, b in both.tolist():
+def scan(texts: Iterable[str | None], bench: Benchmark, shard_words: int = SHARD_WORDS) -> Iterator[Found]:
+    """The result of each text, in order."""
+    step = max(shard_words, 2 * bench.width)
+    waiting: list[Found] = []
+    parts: list[tuple[np.ndarray, int, Found]] = []
+    size = 0
+    for t in texts:
+        one, words = Found(), bench.numbers(t)
+        one.words = len(words)
+        waiting.append(one)
+        at = 0
+        while at < len(words):
+            piece = words[at : at + step]
+            parts.append((piece, at, one))
+            size += len(piece)
+            if size >= step:
+                scan_shard(parts, bench)
+                parts, size = [], 0
+            # the next piece begins with the words that a window may share with this one
+            at = at + len(piece) if at + len(piece) >= len(words) else at + len(piece) - bench.width + 1
+        if not parts:
+            yield from waiting
+            waiting = []
+    if parts:
+        scan_shard(parts, bench)
+    yield from waiting
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in ascending order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+            out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
-            out.append([a, b])
-    return np.array(out, np.int64).reshape(-1, 2)
+            out.append((a, b))
+    return out
 
 
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def marked(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> tuple[DataFrame, str]:
+    """docs with one more column, struct (n_words, spans, items), and that column's name."""
+    spark, name, own = docs.sparkSession, fresh(docs, "found"), [quoted(c) for c in docs.columns]
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    total = items.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // block_windows))
+    cur = docs.withColumn(name, F.lit(None).cast(FOUND))
+    for k in range(blocks):
+        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
+        sent = spark.sparkContext.broadcast(Benchmark([(r.i, r.t) for r in block.toLocalIterator()], width))  # about BLOCK_WINDOWS windows
+
+        def run(batches: Iterator[tuple[pa.Array, ...]], sent=sent) -> Iterator[pa.Array]:
+            bench, before = sent.value, deque()
+
+            def texts() -> Iterator[str | None]:
+                for text, spans, items in batches:
+                    for t, s, i in zip(text, spans, items):
+                        before.append((s, i))
+                        yield t.as_py()
+
+            rows: list[tuple[int, list, list]] = []
+
+            def done() -> pa.Array:
+                n, spans, items = zip(*rows) if rows else ((), (), ())
+                return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], names=["n_words", "spans", "items"])
+
+            for one in scan(texts(), bench):
+                s, i = before.popleft()
+                spans = merged(one.spans + [(x["start"], x["end"]) for x in s.as_py() or ()])
+                rows.append((one.words, [{"start": a, "end": b} for a, b in spans], sorted({*(i.as_py() or ()), *(bench.item_ids[x] for x in one.items)})))
+                if len(rows) >= 2000:
+                    yield done()
+                    rows = []
+            yield done()
+            released()
+
+        found = arrow_column(run, FOUND, 3)(F.col(quoted(text_col)).cast("string"), F.col(name)["spans"], F.col(name)["items"])
+        old, cur = cur, cur.select(*own, found.alias(name))
+        if k < blocks - 1:
+            cur = written(cur, "decontaminate")
+            dropped(old)
+    return cur, name
 
 
-def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.Table]:
-    """Rows of a task, gathered until their texts have so many bytes."""
-    held, size = [], 0
-    for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
-        ends, start = np.cumsum(lengths, dtype=np.int64), 0
-        while start < len(lengths):
-            room = shard_bytes - size + (int(ends[start - 1]) if start else 0)
-            stop = max(int(np.searchsorted(ends, room, "right")), start + (not held))
-            if stop > start:
-                held.append(batch.slice(start, stop - start))
-                size += int(lengths[start:stop].sum())
-                start = stop
-            if start < len(lengths):
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(id_col, n_words, spans, items) of every document, in no given order.
 
     spans: merged ranges (start, end) of hit words, counted from 0; items: item_ids (as strings, sorted
-    as such) of which some window occurs. With carry, the documents' own columns are there as struct
-    ``_row`` in place of id_col. benchmark: item_id, text.
+    as such) of which some window occurs. benchmark: item_id, text.
     """
-    own = F.struct("*") if carry else F.col(id_col)
-    cur = docs.select(own.alias("_own"), F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("_n"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("i")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        bench = Benchmark([(r.i, r.t) for r in block.collect()], width)
-        sent = docs.sparkSession.sparkContext.broadcast(bench)
-
-        last = k == blocks - 1
-        keep = [c for c in cur.columns if not (last and c == "_text")]
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, keep=keep) -> Iterator[pa.RecordBatch]:
-            bench = sent.value
-            for shard in _shards(batches, SHARD_WORDS * 6):
-                rows = scan_shard(shard.column("_text").to_pylist(), bench)
-                n = pa.array([r[0] for r in rows], pa.int64())
-                old_spans, old_items = shard.column("_spans").to_pylist(), shard.column("_items").to_pylist()
-                spans = [[{"start": a, "end": b} for a, b in _merged(r[1], o).tolist()] for r, o in zip(rows, old_spans)]
-                found = [sorted({*o, *(bench.item_ids[i] for i in r[2])}) for r, o in zip(rows, old_items)]
-                columns = {"_own": shard.column("_own"), "_text": shard.column("_text"), "_n": n, "_spans": pa.array(spans, SPANS), "_items": pa.array(found, pa.list_(pa.string()))}
-                yield from pa.table({c: columns[c] for c in keep}).to_batches()
-
-        cur = cur.mapInArrow(scan, cur.select(*keep).schema)
-        if not last:
-            cur = written(cur, "decontaminate")
-    return cur.select(F.col("_own").alias("_row" if carry else id_col), F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    found, name = marked(narrow, benchmark, width, "_text", block_windows)
+    return found.select(F.col("_id").alias(id_col), f"{name}.*")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with their own columns."""
-    found = find_contamination(docs, benchmark, width, carry=True)
-    return found.where(F.size("spans") == 0).select("_row.*")
+    found, name = marked(docs, benchmark, width)
+    return found.where(F.size(F.col(name)["spans"]) == 0).select([quoted(c) for c in docs.columns])
 
 
 def excised(text: str, spans: list[tuple[int, int]]) -> str:
