@@ -29,8 +29,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application, once no result that reads them is needed any more."""
+    _deleted(spark, _own_folder(spark))
 
 
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
@@ -48,9 +62,7 @@ def dropped(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_scratch", None)
         if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _deleted(t.sparkSession, path)
 
 
 def bounded(table: DataFrame) -> DataFrame:

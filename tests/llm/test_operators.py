@@ -1,5 +1,6 @@
 """The dealt operators against brute force, exact round trips, held-out accuracy, and odd inputs."""
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -385,11 +386,48 @@ def test_mixing_odd(odd_documents, no_documents):
 
 def test_warc_audit_odd(spark):
     rows = [(1, "u", "<a>"), (1, "u", "<a>"), (2, None, None), (None, "v", ""), (3, "w", "é" * 50_000)]
-    a = warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit("clash")))
-    assert {(r.key, r.copies, r.status) for r in warc.audit(a, a).collect()} == {("1", 2, "intact"), ("2", 1, "intact"), (None, 1, "intact"), ("3", 1, "intact")}
+    a = warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"record": F.lit("clash"), "file": F.lit(1), "offset": F.lit("x")}))
+    assert {(r.key, r.copies, r.status, r.range_differs) for r in warc.audit(a, a).collect()} == {("1", 2, "intact", False), ("2", 1, "intact", False), (None, 1, "intact", False), ("3", 1, "intact", False)}
     b = a.where("key = 1").limit(1).union(a.where("key = 2").withColumn("record", F.lit(b"other"))).union(a.where("key = 3").withColumn("key", F.lit(9).cast("long")))
     assert {(r.key, r.status) for r in warc.audit(a, b).collect()} == {("1", "corrupt"), ("2", "corrupt"), (None, "missing"), ("3", "missing"), ("9", "extra")}
-    assert warc.audit(a.limit(0), a.limit(0)).count() == 0
+    assert warc.audit(a.limit(0), a.limit(0)).count() == 0 and warc.damaged_ranges(a, a).count() == 0
+    assert {r.status for r in warc.audit(a.limit(0), a).collect()} == {"extra"}
+
+
+def test_warc_null_key_is_not_a_text(spark):
+    """The key null and keys that look like its stand-in are told apart."""
+    rows = [(None, b"x"), ("", b"y"), ("=", b"z"), ("\0null", b"w")]
+    a = spark.createDataFrame(rows, "key string, record binary")
+    got = {(r.key, r.status) for r in warc.audit(a, a.where("key IS NOT NULL")).collect()}
+    assert got == {(None, "missing"), ("", "intact"), ("=", "intact"), ("\0null", "intact")}
+
+
+def test_warc_ranges_brute_force(spark, monkeypatch):
+    """Layout, ordered range hashes and descent against a plain loop; one key with many different records included."""
+    monkeypatch.setattr(warc, "RANGE_BYTES", 256)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 20)
+    rng = np.random.default_rng(9)
+    rows = [(str(k), rng.bytes(int(rng.integers(0, 90)))) for k in range(300)] + [("hot", rng.bytes(30)) for _ in range(150)]
+    same_length = [(k, bytes([r[0] ^ 1]) + r[1:]) if k in ("17", "200") and r else (k, r) for k, r in rows]
+    for other in (rows, same_length, rows[:100] + rows[101:], rows + [("new", b"zzz")], rows[:300]):
+        a, b = (spark.createDataFrame(x, "key string, record binary") for x in (rows, other))
+        sides, digits = [], math.ceil(math.log(max(len(set(rows)), len(set(other))) / 20, 16))
+        for x in (rows, other):
+            end, out = defaultdict(int), set()
+            for k, r in sorted(set(x), key=lambda kr: (hashlib.md5(("=" + kr[0]).encode()).hexdigest(), kr[0], hashlib.sha256(kr[1]).hexdigest())):
+                file = hashlib.md5(("=" + k).encode()).hexdigest()[:digits]
+                out.add((file, end[file], k, r, x.count((k, r))))
+                end[file] += len(r) * x.count((k, r))
+            sides.append(out)
+        want = {(f, o // 256 * 256) for f, o, *_ in sides[0] ^ sides[1]}
+        assert {(r.file, r.offset) for r in warc.damaged_ranges(a, b).collect()} == want
+        got = warc.audit(a, b).collect()
+        assert {(r.file, r.offset, r.key, r.digest, r.copies) for r in got if r.status != "extra"} == {(f, o, k, hashlib.sha256(r).hexdigest(), n) for f, o, k, r, n in sides[0]}
+        assert all(r.range_differs == ((r.file, r.offset // 256 * 256) in want) for r in got)
+        records = [Counter(x) for x in (rows, other)]
+        for r in got:
+            x, y = ({c: n for c, n in own.items() if c[0] == r.key} for own in records)
+            assert r.status == ("intact" if x == y else "missing" if not y else "extra" if not x else "corrupt")
 
 
 def test_warc_files(spark, tmp_path):
@@ -399,12 +437,29 @@ def test_warc_files(spark, tmp_path):
     records = [r.record for r in warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
     (tmp_path / "a.warc").write_bytes(b"".join(bytes(r) for r in records))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(bytes(r)) for r in records))
+    (tmp_path / "c.warc").write_bytes(b"")
     got = warc.read_warc(spark, str(tmp_path)).collect()
-    assert sorted((r.uri, bytes(r.content).decode()) for r in got) == sorted((u, h) for _, u, h in rows * 2)
+    assert sorted((r.uri, bytes(r.content).decode()) for r in got) == sorted((u, h) for _, u, h in rows * 2) and all(r.whole for r in got)
     data = (tmp_path / "a.warc").read_bytes()
     assert all(data[r.offset : r.offset + r.length] == bytes(records[int(r.uri.rsplit("/", 1)[1])]) for r in got if r.file.endswith("a.warc"))
 
 
+def test_warc_damaged_records(spark):
+    import gzip
+
+    record = lambda n, body, size=None: f"WARC/1.0\r\nWARC-Target-URI: {n}\r\n{'' if size == -1 else f'Content-Length: {len(body) if size is None else size}'}\r\n\r\n{body}\r\n\r\n".encode()
+    read = lambda data: [(h["warc-target-uri"], content, whole) for _, _, h, content, whole in warc.parse_warc(warc.opened(data))]
+    assert read(b"") == [] and read(b"no archive\n") == []
+    data = record("a", "x") + record("short", "12345", 2) + record("none", "q", -1) + record("bad", "q", "1x") + record("b", "y")
+    assert read(data) == [("a", b"x", True), ("short", b"12", False), ("none", b"", False), ("bad", b"", False), ("b", b"y", True)]
+    cut = record("a", "x") + record("b", "y" * 100)[:-50]
+    assert [(n, w) for n, _, w in read(cut)] == [("a", True), ("b", False)]
+    members = gzip.compress(record("a", "x")) + gzip.compress(record("b", "y" * 3000, None))[:-12]
+    assert [n for n, _, _ in read(members)][0] == "a" and not any(w for n, _, w in read(members) if n == "b")
+    at = [(o, n) for o, n, *_ in warc.parse_warc(warc.opened(data))]
+    assert all(data[o : o + n].startswith(b"WARC/1.0") for o, n in at) and at[-1][0] + at[-1][1] == len(data)
+
+
 # --- 8 --------------------------------------------------------------------------------------------
 
 
