@@ -331,6 +331,67 @@ def test_prefix_counts_are_the_model(spark):
         assert got[i] == (len((text or "").encode()), n, n > 4096)
 
 
+def test_stored_prefix_counts_answer_budgets(spark):
+    """Truncation and budget questions on stored counts, and on the counts kept in a task, against encoding every prefix."""
+    import sentencepiece
+
+    model, c = sentencepiece.SentencePieceProcessor(model_file=counts.default_model()), counts.PrefixCounter(counts.default_model())
+    some = [*ODD_TEXTS, None, *(t[:600] for t in list(texts(spark).values())[:8] if t)]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").withColumn("counts", F.lit("clash"))
+    stored = counts.write_prefix_counts(df, scratch_path(spark, "prefixes"))
+    asked = [0, 1, 5, 40, 10_000]
+    got = {
+        r.doc_id: r
+        for r in stored.select(
+            "doc_id", "counts", F.array(*[counts.truncated(F.col("counts"), F.lit(b)) for b in asked]).alias("fit"), F.array(*[counts.tokens_at(F.col("counts"), F.lit(b)) for b in asked]).alias("at")
+        ).collect()
+    }
+    fits = {r.doc_id: r.fits for r in counts.count_tokens(df, budgets=asked).collect()}
+    for i, text in enumerate(some):
+        every = [len(model.encode((text or "")[:n])) for n in range(len(text or "") + 1)]
+        want = [max(n for n, k in enumerate(every) if k <= b) for b in asked]
+        assert got[i].counts == every and got[i].fit == want and fits[i] == want, text
+        known = counts.Prefixes(c, text)
+        assert [known.count(n) for n in range(len(every))] == every
+        assert got[i]["at"] == [every[min(b, len(every) - 1)] for b in asked]
+
+
+def test_token_file_layout(spark):
+    """Dictionary and delta encodings, row groups, page indexes; narrow reads skip the ids, ranges of doc_id skip row groups and pages."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = scratch_path(spark, "layout")
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(120)), lambda k: F.concat(F.lit("w"), (F.col("id") * 31 + k * k).cast("string")))).alias("text"))
+    store.write_tokens(docs, path, row_group_bytes=256 << 10, page_bytes=16 << 10)
+    files = [pq.ParquetFile(f) for f in sorted(glob.glob(path + "/*.parquet"))]
+    assert sum(f.metadata.num_rows for f in files) == 6000
+    groups = [f.metadata.row_group(g) for f in files for g in range(f.metadata.num_row_groups)]
+    columns = {groups[0].column(c).path_in_schema: c for c in range(groups[0].num_columns)}
+    assert len(groups) > 2 * len(files)
+    for g in groups:
+        ids, key = g.column(columns["ids.list.element"]), g.column(columns["doc_id"])
+        assert {"DELTA_BINARY_PACKED"} <= set(key.encodings) or "RLE_DICTIONARY" in key.encodings
+        assert {"DELTA_BINARY_PACKED", "RLE_DICTIONARY"} & set(ids.encodings)
+        assert key.has_offset_index and key.has_column_index and ids.has_offset_index
+        assert key.statistics.max - key.statistics.min == g.num_rows - 1
+    table = store.read_tokens(spark, path)
+    assert "ids" not in store.token_index(table)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].split("\n")[0]
+    few = table.where("doc_id BETWEEN 1000 AND 1002")
+    assert "GreaterThanOrEqual(doc_id,1000)" in few._jdf.queryExecution().executedPlan().toString()
+    assert [len(r.ids) == r.n_tokens for r in few.collect()] == [True] * 3
+    plan = few.select("ids")._jdf.queryExecution()
+    assert len(plan.executedPlan().executeCollect()) == 3
+
+    def read(node):
+        if node.metrics().contains("numOutputRows") and "Scan" in node.nodeName():
+            return node.metrics().apply("numOutputRows").value()
+        return sum(read(node.children().apply(k)) for k in range(node.children().size()))
+
+    assert read(plan.executedPlan()) < 1500  # of 6000: other row groups and pages are skipped
+
+
 def test_token_counts_odd(odd_documents, no_documents):
     got = counts.count_tokens(odd_documents).collect()
     assert len(got) == 8 and {r.doc_id: r.n_tokens for r in got}[3] == 0 and {r.doc_id: r.over_limit for r in got}[4]
@@ -373,6 +434,18 @@ def test_mixing(spark):
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
+@pytest.mark.parametrize("kind", ["even", "skewed", "one"])
+def test_mixing_many_sources(kind, spark):
+    """Levels of many sources, ties and empty ones among them, numbered over several partitions."""
+    rng = np.random.default_rng(1)
+    size = {"even": lambda k: 10, "skewed": lambda k: int(rng.pareto(0.6) * 5) % 100_000, "one": lambda k: 1000 if k == 77 else 0}[kind]
+    sizes = {f"s{k:04}": size(k) for k in range(900)} | {None: 7, "": 3, "Z": 1, "é": 2, "😀": 4, "\uffff": 1}
+    rows = [(s or "", s, n) for s, n in sizes.items()]
+    got = {r.key if r.key or r.source_size == 3 else None: r.target for r in mixing.targets(spark.createDataFrame(rows, "key string, source string, source_size long")).collect()}
+    want = water_fill(sizes)
+    assert all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in sizes)
+
+
 def test_mixing_odd(odd_documents, no_documents):
     got = mixing.mix(odd_documents).collect()
     assert len(got) == 8 and all(r.taken <= 2 * r.size for r in got) and {r.size for r in got if r.doc_id in (2, 3)} == {0}
@@ -561,7 +634,7 @@ def test_url_filter_odd(spark):
     rules = spark.createDataFrame([("block", "com", "/a"), ("allow", "com", "/a/b"), ("block", "x.com", "/a/b/c"), ("block", "com", "/a/b"), ("block", "org", "")], "verdict string, host string, path string")
     rows = ["http://X.com/a/b/c?q", "http://y.com/a/bb", "http://y.com/a", "http://notx.com/a/b/c", "//com/a", None, "ftp://org", "s://a.org#f", "http://com/", "http://org.com/a"]
     pages = spark.createDataFrame([(i % 9, u) for i, u in enumerate(rows)], "page_id long, url string").withColumns({"host": F.lit("clash"), "rule": F.lit(1), "key": F.lit(2)})
-    got = {(r.page_id, r.host, r.path): (r.rule, r.verdict) for r in urls.filter_urls(pages, rules, salts=2).collect()}
+    got = {(r.page_id, r.host, r.path): (r.rule, r.verdict) for r in urls.filter_urls(pages, rules, part=2).collect()}
     assert got == {
         (0, "x.com", "/a/b/c"): ("x.com/a/b/c", "block"), (1, "y.com", "/a/bb"): ("com/a/b", "allow"), (2, "y.com", "/a"): ("com/a", "block"), (3, "notx.com", "/a/b/c"): ("com/a/b", "allow"),
         (4, "", ""): (None, "allow"), (5, "", ""): (None, "allow"), (6, "org", ""): ("org", "block"), (7, "a.org", ""): ("org", "block"), (8, "com", "/"): (None, "allow"), (0, "org.com", "/a"): ("com/a", "block"),
@@ -570,6 +643,16 @@ def test_url_filter_odd(spark):
     assert {r.verdict for r in urls.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_url_filter_hot_host_long_urls_and_repeats(spark):
+    """One host in many parts, very long URLs and repeated rows give each row its own verdict."""
+    long = "http://a.com/x/" + "y" * 200_000
+    rows = [(1, long), (1, long), (2, "http://b.a.com/x?z"), (3, "http://a.com/x/y")] + [(10 + k, f"http://a.com/{'x' if k % 2 else 'w'}/{k}") for k in range(400)]
+    rules = spark.createDataFrame([("block", "a.com", "/x"), ("allow", "com", "/x/yy")], "verdict string, host string, path string")
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, part=7).collect()
+    assert len(got) == len(rows) and [(r.rule, r.verdict) for r in got if r.page_id == 1] == [("com/x/yy", "allow")] * 2
+    assert {r.page_id: r.verdict for r in got if r.page_id > 1} == {2: "block", 3: "block"} | {10 + k: "block" if k % 2 else "allow" for k in range(400)}
+
+
 def test_url_filter_is_native(spark):
     plan = QUERIES["op10_url_filter"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    assert not re.search("Python|Arrow|Pandas|ExistingRDD", plan)
