@@ -30,13 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinql.llm.common import connected_components, dropped, table_of, written
+from skeinql.llm.common import connected_components, dropped, labels_of, released, table_of, written
 from skeinql.llm.dart_minhash import mix
 
 THRESHOLD = 0.98
 RECALL = 0.9999
 PART = 32  # vectors of a label that a part holds if they are spread evenly
-BLOCK = 512
+BLOCK = 2048
 SEED = 7
 
 
@@ -60,30 +60,14 @@ def _directions(dim: int, tables: int, signs: int) -> tuple[np.ndarray, np.ndarr
     return rng.standard_normal((dim, tables)), rng.standard_normal((dim, tables * signs))
 
 
-def _codes(unit: np.ndarray, hyper: np.ndarray, tables: int, signs: int) -> np.ndarray:
+def _codes(vectors: np.ndarray, hyper: np.ndarray, tables: int, signs: int) -> np.ndarray:
     """vectors x tables: the signs as a number."""
     if not signs:
-        return np.zeros((len(unit), tables), np.uint64)
-    bits = (unit @ hyper > 0).reshape(len(unit), tables, signs)
+        return np.zeros((len(vectors), tables), np.uint64)
+    bits = (vectors @ hyper > 0).reshape(len(vectors), tables, signs)
     return (bits * (np.uint64(1) << np.arange(signs, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
 
 
-def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row that links (i, j) reach, for each of n rows."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _prepared(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
 
@@ -102,41 +86,44 @@ def _prepared(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) ->
     return src.mapInArrow(run, "id long, uid long, label string, same binary, vec binary")
 
 
-def _parts(reps: DataFrame, signs: int, tables: int) -> DataFrame:
-    """(key, t, uid, side, crossed): groups of at most about two blocks whose pairs are sought; crossed: between sides only."""
+def _keyed(reps: DataFrame, signs: int, tables: int) -> DataFrame:
+    """(uid, vec, times, keys): in each table the hash of a vector's label, length and signs. They are made once and carried, so that they can't differ between tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            size = np.array([len(v) for v in batch.column("vec").to_pylist()])
+            size = pc.binary_length(batch.column("vec")).to_numpy()
             keys = np.empty((batch.num_rows, tables), np.int64)
             labels = np.array([xxhash.xxh3_64_intdigest(x) for x in batch.column("label").to_pylist()], np.uint64)
             for s in np.unique(size):
                 at = np.flatnonzero(size == s)
                 v = np.frombuffer(b"".join(batch.column("vec").take(pa.array(at)).to_pylist()), "<f8").reshape(len(at), -1)
-                _, hyper = _directions(s // 8, tables, signs)
+                _, hyper = _directions(int(s) // 8, tables, signs)
                 code = _codes(v, hyper, tables, signs)
                 keys[at] = mix(mix(code + mix(labels[at] + np.uint64(s))[:, None]) + np.arange(1, tables + 1, dtype=np.uint64)).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), lists], names=["uid", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "vec", "times")), lists], names=["uid", "vec", "times", "keys"])
+        released()
 
-    rows = reps.select("uid", "label", "vec").mapInArrow(run, "uid long, keys array<long>").select("uid", F.posexplode("keys").alias("t", "key"))
-    rows = written(rows, "embed-keys")
+    return reps.select("uid", "label", "vec", "times").mapInArrow(run, "uid long, vec binary, times long, keys array<long>")
+
+
+def _parts(keyed: DataFrame) -> DataFrame:
+    """(key, t, uid, side, crossed): groups of at most about two blocks whose pairs are sought; crossed: between sides only."""
+    rows = keyed.select("uid", F.posexplode("keys").alias("t", "key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(sizes.hint("merge"), "key")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("uid"), blocks).cast("int")
     shared = shared.withColumns({"blocks": blocks, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    out = shared.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"), "t", "uid", (F.col("own") == high).cast("int").alias("side"), (low != high).alias("crossed"))
-    out._scratch = rows._scratch
-    return out
+    return shared.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"), "t", "uid", (F.col("own") == high).cast("int").alias("side"), (low != high).alias("crossed"))
 
 
-def _counted(parts: DataFrame, reps: DataFrame, signs: int, tables: int, count: int, window: float, threshold: float) -> DataFrame:
+def _counted(parts: DataFrame, keyed: DataFrame, signs: int, tables: int, count: int, window: float, threshold: float) -> DataFrame:
     """(a, b, n): partial numbers of links (b null), and links that join the same components as all (n null)."""
-    rows = parts.join(reps.select("uid", "vec", "times"), "uid").repartition("key").sortWithinPartitions("key")
+    rows = parts.join(keyed, "uid").repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -149,9 +136,8 @@ def _counted(parts: DataFrame, reps: DataFrame, signs: int, tables: int, count:
             crossed = t.column("crossed").to_numpy()
             v = np.frombuffer(b"".join(t.column("vec").to_pylist()), "<f8").reshape(len(key), dim)
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-            unit = v / norm[:, None]
-            line, hyper = _directions(dim, tables, signs)
-            place, code = unit @ line, _codes(v, hyper, tables, signs)
+            place = (v / norm[:, None]) @ _directions(dim, tables, signs)[0]
+            code = pc.list_flatten(t.column("keys")).to_numpy().reshape(-1, tables)
             own = place[np.arange(len(key)), table]
             group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
             # groups one after another on a line, too far apart for a window to reach the next
@@ -179,7 +165,7 @@ def _counted(parts: DataFrame, reps: DataFrame, signs: int, tables: int, count:
             if not len(i):
                 return
             n = np.bincount(i, times[j], len(key)) + np.bincount(j, times[i], len(key))
-            label = _labels(len(key), i, j)
+            label = labels_of(len(key), i, j)
             some, joined = np.flatnonzero(n), np.flatnonzero(label != np.arange(len(key)))
             none = np.zeros(len(some) + len(joined), bool)
             a = np.concatenate([uid[some], uid[joined]])
@@ -200,7 +186,7 @@ def _counted(parts: DataFrame, reps: DataFrame, signs: int, tables: int, count:
         if held is not None and held.num_rows:
             yield from found(held)
 
-    return rows.select("key", "t", "uid", "side", "crossed", "vec", "times").mapInArrow(run, "a long, b long, n long")
+    return rows.select("key", "t", "uid", "side", "crossed", "vec", "times", "keys").mapInArrow(run, "a long, b long, n long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -210,9 +196,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, rec
     reps = written(some.groupBy("same").agg(F.min("uid").alias("uid"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("times")), "embed-reps")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     signs, tables, count, window = calibrated(largest, threshold, recall)
-    parts = _parts(reps, signs, tables)
-    counted = written(_counted(parts, reps, signs, tables, count, window, threshold), "embed-links")
-    dropped(parts)
+    keyed = written(_keyed(reps, signs, tables), "embed-keys")
+    counted = written(_counted(_parts(keyed), keyed, signs, tables, count, window, threshold), "embed-links")
+    dropped(keyed)
     links = counted.where("b IS NULL").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n"))
     component = connected_components(counted.where("b IS NOT NULL").select("a", "b"), "embed-components").withColumnRenamed("node", "uid")
     per_rep = reps.select("same", "uid", "times").join(links, "uid", "left").join(component, "uid", "left")

@@ -2,9 +2,9 @@
 
 Sources get shares of a budget of words in proportion to their weights; none gets more than
 ``max_epochs`` times what it has, and what is cut off goes to the others by weight until nothing is
-cut off. The fixed point has a closed form: with sources in ascending order of cap / weight, those
-before the first whose cap exceeds its share of what is left are at their cap. That is two windows over
-one row per source.
+cut off. Each round adds up, over all sources, the sizes of those that are full at the present level and
+the weights of the others, which gives the next level; it ends when no more become full. Only such sums
+come to the driver, and sources are numbered by ranges, so there may be any number of them.
 
 A source's target is taken as whole repetitions of all its documents and one more of those with the
 smallest seeded hash of doc_id, up to the document at which the words taken come nearest to the target.
@@ -19,6 +19,7 @@ empty table or one without words takes nothing; extra columns are left alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,19 +54,40 @@ def _cell(h: Column) -> Column:
     return F.shiftright(h, 64 - CELL_BITS).cast("int")
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with n: the place of each row by source (code point order, null last), from 0. Rows are sorted by ranges, not in one task."""
+    order = F.col("source").asc_nulls_last()
+    dealt = written(sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))  # a row for each partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    return dealt.withColumn("part", part).join(F.broadcast(base), "part").withColumn("n", F.col("base") + inside).drop("part", "base", "at")
+
+
+def water_level(ranked: DataFrame, weights: Sequence[float], budget_share: float, max_epochs: float) -> float:
+    """The words for a unit of weight at which all sources together take the budget, none above its cap. ranked: source_size, w."""
+    level, full = 0.0, -1
+    while True:
+        capped = F.col("source_size") * F.lit(max_epochs) <= F.col("w") * F.lit(level)
+        sums = [F.count_if(capped), F.sum("source_size"), F.sum(F.when(capped, F.col("source_size")))]
+        # weights are counted, so that the order of adding up doesn't matter
+        found = ranked.agg(*sums, *[F.count_if(~capped & (F.col("w") == w)) for w in dict.fromkeys(map(float, weights))]).first()
+        if found[0] == full:
+            return level
+        full, rest = found[0], sum(w * n for w, n in zip(dict.fromkeys(map(float, weights)), found[3:]))
+        if not rest:
+            return math.inf
+        level = ((found[1] or 0) * budget_share - (found[2] or 0) * max_epochs) / rest
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = BUDGET_SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """(key, source_size, target) from (key, source, source_size), one row a source."""
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("n", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    ranked = ranked.withColumn("w", F.get(cycle, F.pmod("n", F.lit(len(weights))).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "n")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) * F.lit(float(budget_share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    filled = ranked.withColumns({"level": level, "at": F.row_number().over(order)}).withColumn("open", F.col("cap") / F.col("w") > F.col("level"))
-    water = F.min(F.when(F.col("open"), F.struct("at", "level"))).over(everything)["level"]
-    return filled.withColumn("water", water).select("key", "source_size", F.least(F.col("cap"), F.coalesce(F.col("w") * F.col("water"), F.col("cap"))).alias("target"))
+    ranked = written(numbered(sizes).withColumn("w", F.get(cycle, F.pmod("n", F.lit(len(weights))).cast("int"))), "mix-ranked")
+    level = water_level(ranked, weights, budget_share, max_epochs)
+    cap = F.col("source_size") * F.lit(float(max_epochs))
+    return ranked.select("key", "source_size", F.least(cap, F.col("w") * F.lit(level)).alias("target"))
 
 
 def sized(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
