@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skeinql.llm.common import BROADCAST_KEYS, scratch_path, table_of
+from skeinql.llm.common import BROADCAST_KEYS, released, scratch_path, table_of
 
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 DICTIONARY_BYTES = 1 << 20
-CACHE_CHUNKS = 600_000
+#: Chunks in each of the two generations of the cache.
+CACHE_CHUNKS = 300_000
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
@@ -52,19 +53,21 @@ class ChunkEncoder:
     #: Stands between chunks that are encoded in one call; a piece of its own.
     _BETWEEN = ","
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are written as little-endian 32-bit integers")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache_chunks = Tokenizer.from_file(path), cache_chunks
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.between = self._one(self._BETWEEN)
 
     @classmethod
-    def of(cls, path: str) -> "ChunkEncoder":
+    def of(cls, path: str, cache_chunks: int = CACHE_CHUNKS) -> "ChunkEncoder":
         if path not in cls._own:
             cls._own[path] = cls(path)
+        cls._own[path].cache_chunks = cache_chunks
         return cls._own[path]
 
     def _one(self, chunk: str) -> bytes:
@@ -73,9 +76,11 @@ class ChunkEncoder:
     def _fill(self, chunks: set[str]) -> None:
         """Learn the ids of new chunks, most of them in one call of the tokenizer."""
         rest = []
-        tokenize = self.tokenizer.model.tokenize
+        tokenize, older = self.tokenizer.model.tokenize, self.older
         for c in chunks:
-            if c.isascii() and c.isalpha() and c.islower():  # one piece as it stands, so the model alone encodes it
+            if c in older:
+                self.seen[c] = older[c]
+            elif c.isascii() and c.isalpha() and c.islower():  # one piece as it stands, so the model alone encodes it
                 self.seen[c] = array("I", [t.id for t in tokenize(c)]).tobytes()
             else:
                 rest.append(c)
@@ -99,8 +104,8 @@ class ChunkEncoder:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; what is new in all of them is learnt at once."""
         chunks = [self._chunks(t) for t in texts]
-        if len(self.seen) > CACHE_CHUNKS:
-            self.seen.clear()
+        if len(self.seen) > self.cache_chunks:
+            self.seen, self.older = {}, self.seen
         self._fill(set().union(*chunks).difference(self.seen))
         get = self.seen.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
@@ -115,7 +120,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """Encode and write the documents to a folder; gives the table read back from the files."""
     spark, file = docs.sparkSession, tokenizer or default_tokenizer()
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -128,7 +133,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         from pyspark import TaskContext
 
         part, start, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
-        encoder = ChunkEncoder.of(file)
+        encoder = ChunkEncoder.of(file, cache_chunks)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # so that ids of a few texts are held at a time
                 piece = batch.slice(at, 512)
@@ -141,6 +146,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                     names=["doc_id", "part", "start_in_part", "n_tokens", "ids"],
                 )
                 start += int(ends[-1])
+        released()
 
     out = dealt.mapInArrow(encode, SCHEMA)
     out.write.options(
@@ -148,8 +154,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             "compression": "zstd",
             "parquet.writer.version": "v2",
             "parquet.enable.dictionary": "true",
-            "parquet.block.size": str(ROW_GROUP_BYTES),
-            "parquet.page.size": str(PAGE_BYTES),
+            "parquet.block.size": str(row_group_bytes),
+            "parquet.page.size": str(page_bytes),
             "parquet.dictionary.page.size": str(DICTIONARY_BYTES),
         }
     ).parquet(path)

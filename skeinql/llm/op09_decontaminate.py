@@ -35,7 +35,7 @@ from skeinql.llm.common import arrow_column, dropped, fresh, quoted, released, t
 from skeinql.llm.fm_index import FMIndex
 
 WIDTH = 10
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 BLOCK_WINDOWS = 400_000
 PIECE_BYTES = 4 << 20
 FOUND = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
