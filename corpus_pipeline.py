@@ -22,6 +22,10 @@ from skeinql.llm.op06_mixing import mixed_documents
 from skeinql.llm.op09_decontaminate import without_contaminated
 
 
+#: Smaller than op4's own, as workers still hold memory of the stages before.
+CACHE_CHUNKS = 75_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells; those that it rejects go.
 
@@ -63,7 +67,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null doc_ids come first; rows with one doc_id are all written; a null or empty text is the end id alone.
     """
-    return digests(write_tokens(docs, scratch_path(spark, "corpus-tokens")))
+    return digests(write_tokens(docs, scratch_path(spark, "corpus-tokens"), cache_chunks=CACHE_CHUNKS))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
