@@ -547,6 +547,65 @@ def test_toxicity_held_out(spark):
     assert sum(r.p == bool(r.toxic) for r in rows) > 0.96 * len(rows) and all(0 <= r.severity <= 3 for r in rows)
 
 
+def test_toxicity_sample_is_counted_where_texts_are(spark):
+    """The sample as gathered gives the model that all features of the same texts give."""
+    docs, labels = table_of(spark, "/root/testdata/sf0.01", "documents"), table_of(spark, "/root/testdata/sf0.01", "labels")
+    known = {r.doc_id: r.toxic for r in labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).collect() if r.toxic is not None}
+    text = {r.doc_id: r.text for r in docs.collect() if r.text is not None and r.doc_id in known}
+    ids = sorted(text)
+    whole = toxic.fit_ordinal([toxic.counted(text[i]) for i in ids], np.array([int(known[i] != 0) for i in ids]))
+    model = toxic.fit_ordinal(*toxic.training_sample(docs, labels))
+    assert (model.places == whole.places).all() and np.allclose(model.weights, whole.weights) and np.allclose(model.cuts, whole.cuts)
+
+
+def test_toxicity_gradient_and_fit_against_a_slow_reference():
+    """The loss by plain loops, the gradient by differences, and a long slow descent that the fit comes close to."""
+    rng = np.random.default_rng(4)
+    found, label = [], []
+    for k in range(120):
+        t = k % 3 == 0
+        own = np.unique(np.concatenate([rng.choice(30, 6), rng.choice(np.arange(30, 36), int(rng.integers(3, 9)) if t else 0)]))
+        found.append((own.astype(np.int32), rng.integers(1, 4, len(own))))
+        label.append(int(t))
+    label = np.array(label)
+    sample, places = toxic.graded_sample(found, label)
+    assert sample.cuts == len(set(sample.y.tolist())) - 1 >= 2 and sample.features >= 3
+    p = rng.normal(0, 0.5, sample.features + sample.cuts)
+    w, cuts = sample.parts(p)
+
+    def slow(p):
+        w, cuts = sample.parts(p)
+        out = toxic.RIDGE / 2 * sum(float(x) ** 2 for x in w)
+        for d, (own, n) in enumerate(found):
+            s = sum(math.log(1 + int(c)) * w[places[b]] for b, c in zip(own, n) if places[b] >= 0)
+            up = 1 / (1 + math.exp(s - cuts[sample.y[d]])) if sample.y[d] < sample.cuts else 1.0
+            low = 1 / (1 + math.exp(s - cuts[sample.y[d] - 1])) if sample.y[d] else 0.0
+            out -= (0.5 / label.sum() if label[d] else 0.5 / (1 - label).sum()) * math.log(up - low)
+        return out
+
+    assert (np.diff(cuts) > 0).all() and sample.loss(p) == pytest.approx(slow(p))
+    step = np.eye(len(p)) * 1e-5
+    assert np.allclose(sample.gradient(p), [(slow(p + e) - slow(p - e)) / 2e-5 for e in step], atol=1e-6)
+    q = np.concatenate([np.zeros(sample.features), [1.0], np.zeros(sample.cuts - 1)])
+    for _ in range(6000):
+        q = q - 0.5 * sample.gradient(q)
+    model = toxic.fit_ordinal(found, label)
+    got = np.concatenate([model.weights, model.cuts[:1], np.log(np.diff(model.cuts))])
+    assert sample.loss(got) <= sample.loss(q) + 0.02 and sample.loss(got) < 0.5 * sample.loss(np.zeros(len(p)))
+
+
+def test_toxicity_ties_and_repeated_ids(spark):
+    """One id with several texts counts once, whichever order its rows come in; equal counts have one grade."""
+    rows = [(k, f"{'vile scum filth' if k % 2 else 'calm kind words'} about thing number {k % 5}") for k in range(60)]
+    docs = spark.createDataFrame(rows + [(1, "calm kind words"), (2, "vile scum"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(3, 0)], "doc_id long, toxic int")
+    models = [toxic.fit_ordinal(*toxic.training_sample(d, labels)) for d in (docs, docs.orderBy(F.desc("text")))]
+    assert np.allclose(models[0].weights, models[1].weights) and len(toxic.training_sample(docs, labels)[1]) == 60
+    assert len(models[0].cuts) <= 2
+    got = {r.doc_id: r.toxic for r in toxic.grade_toxicity(docs.where("doc_id > 3"), models[0]).collect()}
+    assert got == {k: bool(k % 2) for k in range(4, 60)}
+
+
 def test_toxicity_odd(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 1), (1, 0), (6, 0), (None, 1), (2, None), (4, 0)], "doc_id long, toxic int")
     model = toxic.fit_ordinal(*toxic.training_sample(odd_documents, labels))
