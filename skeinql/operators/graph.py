@@ -11,14 +11,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from skeinql.session import shared_folder
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/skeinql")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -98,10 +99,19 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(a, b, c) with a < b < c, each two joined by an edge of either direction. Edges go from the smaller id, so a hub is joined through its smaller side."""
+    """(a, b, c) with a < b < c, each two joined by an edge of either direction.
+
+    Edges go from the vertex of smaller degree (of equals, the smaller id) to the other, so that no vertex has
+    more than sqrt(2 * edges) going out, hubs included, and the pairs of edges out of one vertex stay few.
+    """
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct()
-    two = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
-    return two.join(e.select("a", F.col("b").alias("c")), ["a", "c"]).select("a", "b", "c")
+    d = undirected(edges).groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
+    e = e.join(d.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
+    first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    e = _cut(e.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y")))
+    two = e.join(e.withColumnRenamed("y", "z"), "x").where("y <> z")
+    three = F.array_sort(F.array("x", "y", "z"))
+    return two.join(e.select(F.col("x").alias("y"), F.col("y").alias("z")), ["y", "z"]).select(three[0].alias("a"), three[1].alias("b"), three[2].alias("c"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
@@ -241,33 +251,58 @@ def modularity(edges: DataFrame, community: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("m2") - F.pow(F.col("ends") / F.col("m2"), F.lit(2.0))).alias("q"))
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, passes: int = 10) -> DataFrame:
-    """(id, community): vertices move to the neighbouring community of greatest modularity gain.
-
-    In a pass every other vertex (by a hash that changes) moves at once, by the gain of joining:
-    edges into the community minus what chance gives; the best modularity of all passes is kept.
-    """
-    both = _cut(undirected(edges))
-    d = _cut(both.groupBy(F.col("src").alias("id")).agg(F.count("*").cast("double").alias("d")))
+def _moved(links: DataFrame, passes: int) -> DataFrame:
+    """(id, community) of a weighted graph (src, dst, w; both directions, loops once): vertices move to the neighbouring community of greatest gain."""
+    d = _cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d")))
     m2 = float(d.agg(F.sum("d")).first()[0] or 1.0)
-    label = _cut(vertices.select("id", F.col("id").alias("community")))
-    best, best_q = label, float(modularity(edges, label).first()[0] or 0.0)
+
+    def quality(label: DataFrame) -> float:
+        x = links.join(label.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src").join(label.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
+        per = x.groupBy("cs").agg(F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("ends"))
+        return float(per.agg(F.sum(F.col("inside") / m2 - F.pow(F.col("ends") / m2, F.lit(2.0)))).first()[0] or 0.0)
+
+    label = _cut(d.select("id", F.col("id").alias("community")))
+    best, best_q, stale = label, quality(label), 0
     for n in range(passes):
         size = label.join(d, "id").groupBy("community").agg(F.sum("d").alias("tot"))
-        near = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.count("*").cast("double").alias("k"))
-        own = label.select("id", F.col("community").alias("own"))
-        x = near.join(size, "community").join(d, "id").join(own, "id")
+        near = links.where("src <> dst").join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("k"))
+        # staying is a choice as well
+        near = near.union(label.select("id", "community", F.lit(0.0).alias("k"))).groupBy("id", "community").agg(F.sum("k").alias("k"))
+        x = near.join(size, "community").join(d, "id").join(label.withColumnRenamed("community", "own"), "id")
         rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("d")).otherwise(0.0)
-        gain = F.col("k") - rest * F.col("d") / F.lit(m2)
+        gain = F.round(F.col("k") - rest * F.col("d") / F.lit(m2), 9)
         move = x.groupBy("id").agg(F.max_by("community", F.struct(gain, -F.col("community"))).alias("new"))
+        # every other vertex, by a hash that changes, moves at once
         turn = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2)) == 0
-        label = _cut(label.join(move, "id", "left").select("id", F.when(turn & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("community")).alias("community")))
-        q = float(modularity(edges, label).first()[0] or 0.0)
-        if q > best_q:
-            best, best_q = label, q
+        label = _cut(label.join(move, "id").select("id", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community")))
+        q = quality(label)
+        best, best_q, stale = (label, q, 0) if q > best_q + 1e-9 else (best, best_q, stale + 1)
+        if stale == 2:
+            break
     return best
 
 
+def louvain(vertices: DataFrame, edges: DataFrame, passes: int = 6, levels: int = 6) -> DataFrame:
+    """(id, community): communities of greatest modularity gain, level by level.
+
+    At a level vertices move (in a pass half of them at once, so the best of all passes is kept); then each
+    community becomes a vertex, its inner edges a loop, and the next level moves these, until none moves.
+    """
+    links = _cut(undirected(edges).withColumn("w", F.lit(1.0)))
+    label = _cut(vertices.select("id", F.col("id").alias("community")))
+    for _ in range(levels):
+        if links.isEmpty():
+            break
+        step = _moved(links, passes)
+        if step.where("id <> community").isEmpty():
+            break
+        own = step.select(F.col("id").alias("community"), F.col("community").alias("up"))
+        label = _cut(label.join(own, "community", "left").select("id", F.coalesce("up", "community").alias("community")))
+        ends = links.join(step.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(step.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
+        links = _cut(ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+    return label
+
+
 def influence(edges: DataFrame, k: int, rounds: int = 2) -> list:
     """k vertices whose rounds-step reach adds most to what is covered, greedily."""
     src = edges.select("src").distinct().withColumnRenamed("src", "id")

@@ -61,7 +61,7 @@ def olap_pivot(spark: SparkSession, d: str) -> DataFrame:
     return _cube(spark, d).pivot(["y"], "l_returnflag", "qty", ["A", "N", "R"])
 
 
-R.sql("sql_unpivot", "lineitem", "SELECT l_orderkey, l_linenumber, k, v FROM (SELECT l_orderkey, l_linenumber, l_discount AS disc, l_tax AS tax FROM lineitem WHERE l_orderkey < 500) UNPIVOT (v FOR k IN (disc, tax))", "SELECT l_orderkey, l_linenumber, k, v FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_discount AS disc, l_tax AS tax FROM lineitem WHERE l_orderkey < 500) ON disc, tax INTO NAME k VALUE v)")
+R.sql("sql_unpivot", "lineitem", "SELECT l_orderkey, l_linenumber, k, v FROM (SELECT l_orderkey, l_linenumber, l_discount AS disc, l_tax AS tax FROM lineitem) UNPIVOT (v FOR k IN (disc, tax))", "SELECT l_orderkey, l_linenumber, k, v FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_discount AS disc, l_tax AS tax FROM lineitem) ON disc, tax INTO NAME k VALUE v)")
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
@@ -85,10 +85,10 @@ def geo_near(spark: SparkSession, d: str) -> DataFrame:
     return G.near_pairs(p, p, 2.0).where("a < b").withColumn("distance", F.round("distance", 6))
 
 
-@R.add("geo_nearest", f"WITH {_P}, r AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY power(a.x - b.x, 2) + power(a.y - b.y, 2), b.id) AS n FROM p a JOIN p b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 25 WHERE a.id < 200) SELECT a, b FROM r WHERE n <= 3")
+@R.add("geo_nearest", f"WITH {_P}, r AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY power(a.x - b.x, 2) + power(a.y - b.y, 2), b.id) AS n FROM p a JOIN p b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 25) SELECT a, b FROM r WHERE n <= 3")
 def geo_nearest(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d)
-    return G.nearest(p.where("id < 200"), p, 3, 5.0).select("a", "b")
+    return G.nearest(p, p, 3, 5.0).select("a", "b")
 
 
 @R.add("geo_morans_i", f"WITH {_P}, s AS (SELECT avg(v) AS m, var_pop(v) AS s2 FROM p), w AS (SELECT a.v AS va, b.v AS vb FROM p a JOIN p b ON a.id <> b.id AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 9) SELECT round(sum((va - m) * (vb - m)) / count(*) / max(s2), 8) AS i FROM w, s")
@@ -122,7 +122,7 @@ def geo_measures(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("geo_dbscan")
 def geo_dbscan(spark: SparkSession, d: str) -> DataFrame:
-    return G.dbscan(_points(spark, d).where("id < 600"), 2.5, 4)
+    return G.dbscan(_points(spark, d), 2.5, 4)
 
 
 @R.add("geo_hilbert")

@@ -247,7 +247,7 @@ def udtf_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", (F.col("l_extendedprice") > 40000).cast("double").alias("dear"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", (F.col("l_extendedprice") > 40000).cast("double").alias("dear"))
 
 
 @R.add("ml_linear_regression", "SELECT true AS good")
