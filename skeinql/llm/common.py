@@ -6,6 +6,7 @@ import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of (long) keys that may be broadcast: 2 million keys are about 100 MB as a hashed relation.
 BROADCAST_KEYS = 2_000_000
+#: Bytes of a batch of rows that goes to Python.
+BATCH_BYTES = 8 << 20
 #: Used only where driver and executors are one process and the session names no shared folder, as in tests.
 OWN_SHARED_FOLDER = "/tmp/checkpoints/skeinql"
 
@@ -47,11 +50,24 @@ def cleared(spark: SparkSession) -> None:
     _deleted(spark, _own_folder(spark))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What is run inside goes to Python in batches of at most so many bytes; documents differ too much in length to bound rows only."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, and lost executors don't matter."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").options(**options).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # for dropped()
     return out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skeinql.llm.common import BROADCAST_KEYS, released, scratch_path, table_of
+from skeinql.llm.common import BROADCAST_KEYS, released, scratch_path, small_batches, table_of
 
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
@@ -149,16 +149,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         released()
 
     out = dealt.mapInArrow(encode, SCHEMA)
-    out.write.options(
-        **{
-            "compression": "zstd",
-            "parquet.writer.version": "v2",
-            "parquet.enable.dictionary": "true",
-            "parquet.block.size": str(row_group_bytes),
-            "parquet.page.size": str(page_bytes),
-            "parquet.dictionary.page.size": str(DICTIONARY_BYTES),
-        }
-    ).parquet(path)
+    options = {
+        "compression": "zstd",
+        "parquet.writer.version": "v2",
+        "parquet.enable.dictionary": "true",
+        "parquet.block.size": str(row_group_bytes),
+        "parquet.page.size": str(page_bytes),
+        "parquet.dictionary.page.size": str(DICTIONARY_BYTES),
+    }
+    with small_batches(spark):
+        out.write.options(**options).parquet(path)
     return read_tokens(spark, path)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinql.llm.common import arrow_column, released, table_of
+from skeinql.llm.common import arrow_column, released, small_batches, table_of
 
 LIMIT = 4096
 CACHE_CHUNKS = 400_000
@@ -274,7 +274,8 @@ def write_prefix_counts(docs: DataFrame, path: str, model: str | None = None, id
         released()
 
     out = docs.select(F.col(id_col).alias(id_col), arrow_column(count, "array<int>")(F.col(text_col).cast("string")).alias("counts"))
-    out.write.options(**{"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}).parquet(path)
+    with small_batches(docs.sparkSession):
+        out.write.options(**{"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}).parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
