@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ SCALAR_FUNCTIONS = {
     "SQRT": sqrt,
     "MOD": mod,
     "SIGN": lambda x: F.signum(_c(x)),
-    "TO_CHAR": lambda x: _c(x).cast("string"),
+    "TO_CHAR": lambda x, fmt=None: _c(x).cast("string") if fmt is None else F.date_format(_c(x), fmt) if re.search("[yMdHms]", fmt) else F.to_char(_c(x), F.lit(fmt)),
     "TO_NUMBER": lambda s: _c(s).cast("double"),
     "TO_DATE": lambda s, fmt=None: F.to_date(_c(s), fmt) if fmt else F.to_date(_c(s)),
     "NVL": lambda x, y: F.coalesce(_c(x), _c(y)),

@@ -1,8 +1,9 @@
 """Complex event patterns: sequences, alternatives, quantifiers and absence, over each key's ordered events.
 
-Every event gets a letter for the conditions it meets (native columns), a key's letters in order are a
-string, and the pattern is a regular expression over it, run once for each key. Time limits and measures
-are taken from the matched events.
+Every event gets a letter for the set of conditions it meets (native columns), a key's letters in order are
+a string, and the pattern is a regular expression over it, in which a step stands for all letters whose set
+has its condition. A time limit bounds the string that a match may take from, so a greedy step takes what
+fits. Measures are taken from the matched events.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Letters begin here; the 256 characters from it on are letters in no regular expression's syntax.
+BASE = 0x4E00
+
+
 @dataclass(frozen=True)
 class Step:
     """A named condition with a quantifier: 1, ?, *, +, or (least, most)."""
@@ -39,54 +44,58 @@ def any_of(*steps: Step) -> tuple:
     return steps
 
 
-def _regex(pattern: Sequence, letter: dict[str, str]) -> str:
+def _regex(pattern: Sequence, bit: dict[str, int]) -> str:
+    """The pattern over letters chr(BASE + set of conditions)."""
+    sets = range(1 << len(bit))
+    some = lambda test: "[" + "".join(re.escape(chr(BASE + m)) for m in sets if test(m)) + "]"
     out = ""
     for item in pattern:
         if item is None:
             out += ".*?"
             continue
         steps = item if isinstance(item, tuple) else (item,)
-        for_one = "".join(letter[s.name] for s in steps)
-        group = f"[^{for_one}]" if steps[0].negated else f"[{for_one}]"
+        mask = sum({bit[s.name]: 1 << bit[s.name] for s in steps}.values())
+        group = some(lambda m: not m & mask) if steps[0].negated else some(lambda m: m & mask)
         q = steps[0].quantifier
         out += group + (f"{{{q[0]},{'' if q[1] is None else q[1]}}}" if isinstance(q, tuple) else q)
     return out
 
 
-def match(df: DataFrame, key: Sequence[str], ts: str, pattern: Sequence, within_seconds: float | None = None, skip: str = "past_last", value: str | None = None) -> DataFrame:
-    """(key, start, end, events, total, steps): the matches of each key, in order.
+def match(df: DataFrame, key: Sequence[str], ts: str, pattern: Sequence, within_seconds: float | None = None, skip: str = "past_last", value: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
+    """(key, start, end, events, total): the matches of each key, in order.
 
     skip: past_last (matches share no events) or to_next (the next match may begin one event later).
-    An event takes the first of the steps whose condition it meets. total: sum of value.
+    An event may take any step whose condition it meets. Events of one time are in the order of the tie
+    columns. A match is the first that the pattern finds from its first event on, greedy steps taking as much
+    as the time limit leaves. total: sum of value. At most 8 conditions.
     """
-    steps = [s for item in pattern if item is not None for s in (item if isinstance(item, tuple) else (item,))]
-    letter = {s.name: chr(97 + i) for i, s in enumerate(dict.fromkeys(x.name for x in steps)) for s in [next(x for x in steps if x.name == s)]}
-    mark = F.lit("_")
-    for s in reversed(steps):
-        mark = F.when(F.coalesce(s.condition, F.lit(False)), letter[s.name]).otherwise(mark)
-    expr = re.compile(_regex(pattern, letter))
-    rows = df.select(*key, F.col(ts).alias("_t"), mark.alias("_m"), (F.col(value) if value else F.lit(0.0)).cast("double").alias("_v"))
+    steps = {s.name: s for item in pattern if item is not None for s in (item if isinstance(item, tuple) else (item,))}
+    if len(steps) > 8:
+        raise ValueError("a pattern has 8 conditions at most")
+    bit = {name: k for k, name in enumerate(steps)}
+    mark = sum((F.when(F.coalesce(s.condition, F.lit(False)), 1 << bit[n]).otherwise(0) for n, s in steps.items()), F.lit(0))
+    expr = re.compile(_regex(pattern, bit), re.DOTALL)
+    rows = df.select(*key, F.col(ts).alias("_t"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(tie)], mark.cast("int").alias("_m"), (F.col(value) if value else F.lit(0.0)).cast("double").alias("_v"))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+    order = ["_t", *(f"_o{i}" for i in range(len(tie)))]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t", kind="stable").reset_index(drop=True)
-        text, found, at = "".join(pdf["_m"]), [], 0
-        while at <= len(text):
-            m = expr.search(text, at)
-            if not m:
-                break
-            if m.end() == m.start():
-                at = m.start() + 1
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        text, found, at = "".join(chr(BASE + m) for m in pdf["_m"]), [], 0
+        ends = [len(text)] * len(text) if within_seconds is None else pdf["_t"].searchsorted(pdf["_t"] + pd.Timedelta(seconds=within_seconds), "right").tolist()
+        sums = [0.0, *pdf["_v"].cumsum()]
+        while at < len(text):
+            m = expr.match(text, at, ends[at])
+            if not m or m.end() == at:
+                at += 1
                 continue
-            a, b = m.start(), m.end() - 1
-            ok = within_seconds is None or (pdf["_t"][b] - pdf["_t"][a]).total_seconds() <= within_seconds
-            if ok:
-                found.append((*(pdf[c][0] for c in key), pdf["_t"][a], pdf["_t"][b], b - a + 1, float(pdf["_v"][a : b + 1].sum()), m[0]))
-            at = m.end() if ok and skip == "past_last" else m.start() + 1
-        return pd.DataFrame(found, columns=[*key, "start", "end", "events", "total", "steps"])
+            b = m.end() - 1
+            found.append((*(pdf[c][0] for c in key), pdf["_t"][at], pdf["_t"][b], b - at + 1, float(sums[b + 1] - sums[at])))
+            at = m.end() if skip == "past_last" else at + 1
+        return pd.DataFrame(found, columns=[*key, "start", "end", "events", "total"])
 
     t = df.schema[ts].dataType.simpleString()
-    return rows.groupBy(*key).applyInPandas(run, f"{kinds}, start {t}, end {t}, events int, total double, steps string")
+    return rows.groupBy(*key).applyInPandas(run, f"{kinds}, start {t}, end {t}, events int, total double")
 
 
 def sequence(df: DataFrame, key: Sequence[str], ts: str, first: Column, second: Column, within: str) -> DataFrame:

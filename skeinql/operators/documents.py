@@ -125,11 +125,11 @@ _dumps = lambda x: json.dumps(x, separators=(",", ":"), ensure_ascii=False, sort
 
 
 def _udf(f: Callable, kind: str = "string"):
-    """A function of one text as a vectorised function."""
+    """A function of one text as a vectorised function; equal texts of a batch are looked at once."""
 
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f(x))
+        return s.map({x: f(x) for x in s.dropna().unique()})
 
     return run
 
@@ -137,7 +137,7 @@ def _udf(f: Callable, kind: str = "string"):
 def json_path(doc: Column, path: str) -> Column:
     """JSON array of all matches; null for null or malformed documents."""
     steps = parse_path(path)
-    return _udf(lambda t: None if _loads(t) is None else _dumps(walk(_loads(t), steps)))(doc)
+    return _udf(lambda t: None if (x := _loads(t)) is None else _dumps(walk(x, steps)))(doc)
 
 
 def json_value(doc: Column, path: str, kind: str = "string") -> Column:

@@ -18,20 +18,44 @@ def small_join(left: DataFrame, right: DataFrame, on, how: str = "inner", bound:
     return left.join(F.broadcast(right) if few else right, on, how)
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tolerance: str | None = None) -> DataFrame:
+def small_side(right: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """A side to broadcast if it is counted to have at most so many rows."""
+    return F.broadcast(right) if right.limit(bound + 1).count() <= bound else right
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tolerance: str | None = None, pieces: int = 32) -> DataFrame:
     """Each left row with the values of the last right row at or before it with the same keys (nulls if there is none).
 
-    One union, one shuffle by the keys and one sort: the last right row's values are carried forward.
+    One union and one sort carry the last right row's values forward, within pieces of the time axis: at most
+    ``pieces`` of them by approximate percentiles of the right side's times, so that one key is spread. The last
+    right row of each key and piece, carried over the pieces, is what a piece begins with.
     """
+    cuts = right.select(F.unix_micros(F.col(right_time).cast("timestamp")).alias("t") if _is_time(right, right_time) else F.col(right_time).cast("double").alias("t"))
+    bounds = sorted(set(cuts.agg(F.percentile_approx("t", [k / pieces for k in range(1, pieces)], 1000)).first()[0] or [])) if pieces > 1 else []
+    number = lambda df, c: F.unix_micros(F.col(c).cast("timestamp")) if _is_time(df, c) else F.col(c).cast("double")
+    piece = lambda df, c: F.coalesce(F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + (number(df, c) >= b).cast("int")), F.lit(0)) if bounds else F.lit(0)
     kept = F.struct(*[F.col(c) for c in left.columns])
-    rows = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_kind"), kept.alias("_row"), F.lit(None).alias("_v"))
-    marks = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).alias("_row"), F.struct(F.col(right_time).alias("_at"), *values).alias("_v"))
-    order = Window.partitionBy(*by).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.unionByName(marks).withColumn("_last", F.last("_v", ignorenulls=True).over(order)).where("_kind = 1")
-    ok = F.lit(True) if tolerance is None else F.col("_last._at") >= F.col("_t") - F.expr(f"INTERVAL {tolerance}")
+    rows = left.select(*by, F.col(left_time).alias("_t"), piece(left, left_time).alias("_p"), F.lit(1).alias("_kind"), kept.alias("_row"), F.lit(None).alias("_v"))
+    value = F.struct(F.col(right_time).alias("_at"), *values)
+    marks = right.select(*by, F.col(right_time).alias("_t"), piece(right, right_time).alias("_p"), F.lit(0).alias("_kind"), F.lit(None).alias("_row"), value.alias("_v"))
+    both = rows.unionByName(marks)
+    if bounds:
+        # the last right row of a key in a piece is where its next pieces begin
+        last = marks.groupBy(*by, "_p").agg(F.max_by("_v", "_t").alias("_v"))
+        grid = last.select(*by).distinct().withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))))
+        before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        begun = grid.alias("g").join(last.alias("m"), [F.col(f"g.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by] + [F.col("g._p") == F.col("m._p")], "left").select("g.*", "m._v").withColumn("_v", F.last("_v", ignorenulls=True).over(before)).where("_v IS NOT NULL")
+        both = both.unionByName(begun.select(*by, F.lit(None).cast(left.schema[left_time].dataType).alias("_t"), "_p", F.lit(-1).alias("_kind"), F.lit(None).alias("_row"), "_v"))
+    order = Window.partitionBy(*by, "_p").orderBy(F.col("_t").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("_last", F.last("_v", ignorenulls=True).over(order)).where("_kind = 1")
+    ok = F.col("_t").isNotNull() if tolerance is None else F.col("_last._at") >= F.col("_t") - F.expr(f"INTERVAL {tolerance}")
     return out.select("_row.*", *[F.when(ok, F.col(f"_last.{v}")).alias(v) for v in values])
 
 
+def _is_time(df: DataFrame, c: str) -> bool:
+    return df.schema[c].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+
+
 def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, seconds: int) -> DataFrame:
     """Pairs with the same keys and times at most so many seconds apart.
 
@@ -59,13 +83,24 @@ def lookup(left: DataFrame, right: DataFrame, local: str, foreign: str, into: st
     return out.withColumn(into, F.coalesce(into, F.array().cast(lists.schema[into].dataType)))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join of a left side with hot keys: its rows are spread over salts and the right side repeated for each."""
+def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16, how: str = "inner", hot: float = 0.01) -> DataFrame:
+    """Equi-join of a left side with hot keys, those with more than a share of its rows.
+
+    Only rows of hot keys are spread over salts, and only the right rows of these keys (at most 1 / hot of them)
+    are repeated for each; all others are joined as they are.
+    """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only joins that keep left rows can be salted")
-    l = left.withColumn("_s", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    r = right.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return l.join(r, [on, "_s"], how).drop("_s")
+    counts = left.groupBy(on).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    keys = [r[0] for r in counts.where((F.col("_n") > F.lit(hot * total)) & F.col(on).isNotNull()).select(on).collect()]  # at most 1 / hot
+    if not keys or len(keys) * 2 >= total:
+        return left.join(right, on, how)
+    is_hot = F.coalesce(F.col(on).isin(keys), F.lit(False))
+    l = left.where(is_hot).withColumn("_s", F.pmod(F.xxhash64(*left.columns, F.monotonically_increasing_id()), F.lit(salts)))
+    r = right.where(is_hot).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    spread = l.join(r, [on, "_s"], how).drop("_s")
+    return left.where(~is_hot).join(right.where(~is_hot), on, how).unionByName(spread)
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinql.operators.joins import small_side
+
 
 def range_partition(c: str, bounds: Sequence) -> Column:
     """0 below the first bound, 1 from it, and so on."""
@@ -30,9 +32,17 @@ def time_partition(c: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(c)).cast("date")
 
 
-def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite", **columns: Column) -> None:
-    """One folder for each value of the derived columns; rows of a value are written by few tasks."""
-    df.withColumns(columns).repartition(*columns).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite", rows_per_task: int = 1_000_000, **columns: Column) -> None:
+    """One folder for each value of the derived columns.
+
+    Rows of a value go to about as many tasks as it has times ``rows_per_task`` rows, so a value with a third
+    of all rows is written by many and a rare one makes one file.
+    """
+    placed = df.withColumns(columns)
+    tasks = placed.groupBy(*columns).agg(F.ceil(F.count("*") / F.lit(rows_per_task)).cast("int").alias("_tasks"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
+    salted = placed.alias("l").join(small_side(tasks).alias("r"), same, "left").select("l.*", F.pmod(F.xxhash64(*[F.col(f"l.{c}") for c in df.columns]), F.col("_tasks")).alias("_salt"))
+    salted.repartition(*columns, "_salt").drop("_salt").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
 def merged_partitions(df: DataFrame, column: str, names: Sequence, into) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -88,4 +89,4 @@ def boolean(text: Column, query: str) -> Column:
 
 
 def highlight(text: Column, words: Sequence[str], left: str = "<b>", right: str = "</b>") -> Column:
-    return F.regexp_replace(text, F.lit(r"(?iu)\b(" + "|".join(words) + r")\b"), F.lit(f"{left}$1{right}"))
+    return F.regexp_replace(text, F.lit(r"(?iu)\b(" + "|".join(re.escape(w) for w in words) + r")\b"), F.lit(f"{left}$1{right}"))

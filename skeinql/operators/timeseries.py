@@ -1,19 +1,21 @@
 """Time series over (series, ts, value) rows: buckets, gap filling, averages, trends, forecasts and anomalies.
 
-All are windows or aggregates by series; a series is never collected on the driver. EMA, Holt-Winters and
-autoregression need the previous result at each step and fold over a series' ordered array or run as one
-grouped pandas function for each series.
+All are windows or aggregates by series; a series is never collected on the driver. EMA carries its last
+value along sorted rows; Holt-Winters and autoregression run as one grouped pandas function for each series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skeinql.operators.joins import small_side
+from skeinql.session import scratch
+
 
 def _w(by: Sequence[str], ts: str):
     return Window.partitionBy(*by).orderBy(ts)
@@ -32,15 +34,26 @@ def downsample(df: DataFrame, by: Sequence[str], ts: str, value: str, every: str
 def fill_gaps(df: DataFrame, by: Sequence[str], ts: str, value: str, every: str, method: str = "linear", constant: float = 0.0) -> DataFrame:
     """A row for each step of a grid from a series' first time to its last; missing values by method.
 
-    previous, next, linear (also 'spline', which is linear here), average, constant, null; null at the ends.
+    previous, next, linear, spline, average, constant, null; null at the ends. spline is a cubic through the known
+    points whose slope at each is that of the line through its neighbours (at the ends, of the line to the only one).
     """
+    if method == "spline":
+        df = _with_slopes(df, by, ts, value)
     span = df.groupBy(*by).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
     grid = span.select(*by, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {every}"))).alias(ts))
-    out = grid.join(df.select(*by, ts, value), [*by, ts], "left")
+    out = grid.join(df.select(*by, ts, value, *(["_slope"] if method == "spline" else [])), [*by, ts], "left")
     back = Window.partitionBy(*by).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*by).orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
     prev, nxt = F.last(value, ignorenulls=True).over(back), F.first(value, ignorenulls=True).over(ahead)
-    if method in ("linear", "spline"):
+    if method == "spline":
+        t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+        knot = F.when(F.col(value).isNotNull(), F.struct(t.alias("t"), F.col(value).cast("double").alias("v"), F.col("_slope").alias("m")))
+        a, b = F.last(knot, ignorenulls=True).over(back), F.first(knot, ignorenulls=True).over(ahead)
+        h = b["t"] - a["t"]
+        s = (t - a["t"]) / F.nullif(h, F.lit(0.0))
+        cubic = (2 * s * s * s - 3 * s * s + 1) * a["v"] + (s * s * s - 2 * s * s + s) * h * a["m"] + (3 * s * s - 2 * s * s * s) * b["v"] + (s * s * s - s * s) * h * b["m"]
+        return out.withColumn(value, F.when(h == 0, a["v"]).otherwise(cubic)).drop("_slope")
+    if method == "linear":
         t = F.unix_micros(F.col(ts).cast("timestamp"))
         known = F.when(F.col(value).isNotNull(), t)
         t0, t1 = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
@@ -50,6 +63,14 @@ def fill_gaps(df: DataFrame, by: Sequence[str], ts: str, value: str, every: str,
     return out.withColumn(value, filled)
 
 
+def _with_slopes(df: DataFrame, by: Sequence[str], ts: str, value: str) -> DataFrame:
+    """The known points with _slope, the change of value in a microsecond at each."""
+    known = df.where(F.col(value).isNotNull())
+    t, v, w = F.unix_micros(F.col(ts).cast("timestamp")).cast("double"), F.col(value).cast("double"), _w(by, ts)
+    t0, t1, v0, v1 = (F.coalesce(f(x).over(w), x) for f, x in ((F.lag, t), (F.lead, t), (F.lag, v), (F.lead, v)))
+    return known.withColumn("_slope", F.coalesce((v1 - v0) / F.nullif(t1 - t0, F.lit(0.0)), F.lit(0.0)))
+
+
 def moving_average(value: str, by: Sequence[str], ts: str, size: int) -> Column:
     """Simple average of the last size values (fewer at the start)."""
     return F.avg(value).over(_w(by, ts).rowsBetween(-(size - 1), 0))
@@ -67,16 +88,30 @@ def cumulative_average(value: str, by: Sequence[str], ts: str) -> Column:
 
 
 def exponential_average(df: DataFrame, by: Sequence[str], ts: str, value: str, alpha: float) -> DataFrame:
-    """(by, ts, value, ema): a fold over each series' ordered values."""
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(ts, value))).alias("_s"))
-    kind = f"array<struct<{ts}:{df.schema[ts].dataType.simpleString()},{value}:double,ema:double>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.try_element_at(acc, F.lit(-1))["ema"]
-        ema = F.when(before.isNull(), x[value]).otherwise(F.lit(alpha) * x[value] + F.lit(1 - alpha) * before)
-        return F.concat(acc, F.array(F.struct(x[ts].alias(ts), x[value].cast("double").alias(value), ema.cast("double").alias("ema"))))
-
-    return rows.select(*by, F.inline(F.aggregate("_s", F.array().cast(kind), step)))
+    """(by, ts, value, ema): each series' values in order of time, a batch of rows at a time; only the last average is carried on."""
+    rows = df.select(*by, ts, F.col(value).cast("double").alias(value)).repartition(*by).sortWithinPartitions(*by, ts, value)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, carried = None, None
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            pdf["ema"] = 0.0
+            keys = pdf[list(by)]
+            new = (keys != keys.shift()).any(axis=1) & ~(keys.isna() & keys.shift().isna()).all(axis=1)
+            starts = [0, *[i for i in new[new].index if i]]
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                series = tuple(None if pd.isna(x) else x for x in keys.iloc[lo]) if hi > lo else held
+                x = pdf[value].iloc[lo:hi]
+                if series == held and carried is not None:
+                    x = pd.concat([pd.Series([carried]), x])
+                ema = x.ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[-(hi - lo) :]
+                pdf.loc[lo : hi - 1, "ema"] = ema
+                if hi > lo:
+                    held, carried = series, float(ema[-1])
+            yield pdf
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{kinds}, ema double")
 
 
 def autocorrelation(df: DataFrame, by: Sequence[str], ts: str, value: str, lags: Sequence[int]) -> DataFrame:
@@ -126,31 +161,53 @@ def linear_forecast(df: DataFrame, by: Sequence[str], ts: str, value: str, perio
     return fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods)))).select(*by, "step", (F.col("_c") + F.col("_m") * (F.col("_k") + F.col("step") - 1)).alias("forecast"))
 
 
-def outliers_z(value: str, by: Sequence[str], k: float = 3.0) -> Column:
-    w = Window.partitionBy(*by)
-    return F.coalesce(F.abs(F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0)) > k, F.lit(False))
+def outliers_z(df: DataFrame, by: Sequence[str], value: str, k: float = 3.0) -> DataFrame:
+    """df with outlier: more than k standard deviations from the mean, which are aggregated before they meet the rows."""
+    x = _beside(df, by, df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s")))
+    return x.withColumn("outlier", F.coalesce(F.abs(F.col(value) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)) > k, F.lit(False))).drop("_m", "_s")
+
 
+def _at_rank(df: DataFrame, by: Sequence[str], value: str, places: dict[str, float]) -> DataFrame:
+    """For each group the values at 0-based places floor(share * n) of the order, exactly.
 
-def _at_rank(df: DataFrame, by: Sequence[str], value: str, places: dict[str, Column]) -> DataFrame:
-    """For each group the values at some 0-based places of the order; places are expressions of _n, the group's size."""
-    w = Window.partitionBy(*by)
-    x = df.select(*by, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    return x.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == p, F.col("_v"))).alias(n) for n, p in places.items()])
+    Approximate percentiles bracket each place, values below a bracket are counted, and only the few inside
+    are put in order (counted by value first), so no group is sorted or gathered in one task.
+    """
+    slack, near = 2e-4, {n: (max(0.0, p - 2e-4), min(1.0, p + 2e-4)) for n, p in places.items()}
+    spark, path = df.sparkSession, scratch(df.sparkSession, "brackets")
+    x = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    ends = [F.percentile_approx("_v", e, round(4 / slack)).alias(f"_{n}_{k}") for n, pair in near.items() for k, e in enumerate(pair)]
+    x.groupBy(*by).agg(F.count("*").alias("_n"), *ends).write.parquet(path)  # a row for each group
+    brackets = small_side(spark.read.parquet(path))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    keys = [F.col(f"l.{c}").alias(c) for c in by]
+    # of each place the values inside its bracket, and null for those below
+    inside = F.array(*[F.when(F.col("_v") <= F.col(f"_{n}_1"), F.struct(F.lit(n).alias("_place"), F.floor(F.col("_n") * F.lit(p)).alias("_at"), F.when(F.col("_v") >= F.col(f"_{n}_0"), F.col("_v")).alias("_x"))) for (n, p) in places.items()])
+    rows = x.alias("l").join(brackets.alias("r"), same).select(*keys, F.explode(F.filter(inside, lambda i: i.isNotNull())).alias("_i")).select(*by, "_i.*")
+    counted = rows.groupBy(*by, "_place", "_at", "_x").agg(F.count("*").alias("_c"))
+    up_to = Window.partitionBy(*by, "_place").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = counted.withColumn("_end", F.sum("_c").over(up_to)).where((F.col("_end") > F.col("_at")) & (F.col("_end") - F.col("_c") <= F.col("_at")))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_place") == n, F.col("_x"))).alias(n) for n in places])
+
+
+def _beside(df: DataFrame, by: Sequence[str], one: DataFrame) -> DataFrame:
+    """df with the columns of one row for each group."""
+    new = [c for c in one.columns if c not in by]
+    return df.alias("l").join(small_side(one).alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], "left").select("l.*", *[f"r.{c}" for c in new])
 
 
 def outliers_iqr(df: DataFrame, by: Sequence[str], value: str, factor: float = 1.5) -> DataFrame:
     """df with outlier: outside of 1.5 times the range between the values at places n/4 and 3n/4."""
-    q = _at_rank(df, by, value, {"_q1": F.floor(F.col("_n") / 4), "_q3": F.floor(F.col("_n") * 3 / 4)})
+    x = _beside(df, by, _at_rank(df, by, value, {"_q1": 0.25, "_q3": 0.75}))
     far = F.lit(factor) * (F.col("_q3") - F.col("_q1"))
-    return df.join(q, list(by)).withColumn("outlier", (F.col(value) < F.col("_q1") - far) | (F.col(value) > F.col("_q3") + far)).drop("_q1", "_q3")
+    return x.withColumn("outlier", F.coalesce((F.col(value) < F.col("_q1") - far) | (F.col(value) > F.col("_q3") + far), F.lit(False))).drop("_q1", "_q3")
 
 
 def outliers_mad(df: DataFrame, by: Sequence[str], value: str, k: float = 3.5) -> DataFrame:
     """df with outlier: 0.6745 * distance from the median / median distance is above k; medians are at place n/2."""
-    m = _at_rank(df, by, value, {"_m": F.floor(F.col("_n") / 2)})
-    x = df.join(m, list(by)).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    d = _at_rank(x, by, "_d", {"_mad": F.floor(F.col("_n") / 2)})
-    return x.join(d, list(by)).withColumn("outlier", F.coalesce(F.lit(0.6745) * F.col("_d") / F.nullif(F.col("_mad"), F.lit(0.0)) > k, F.lit(False))).drop("_m", "_d", "_mad")
+    x = _beside(df, by, _at_rank(df, by, value, {"_m": 0.5})).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    x = _beside(x, by, _at_rank(x, by, "_d", {"_mad": 0.5}))
+    return x.withColumn("outlier", F.coalesce(F.lit(0.6745) * F.col("_d") / F.nullif(F.col("_mad"), F.lit(0.0)) > k, F.lit(False))).drop("_m", "_d", "_mad")
 
 
 def outliers_ewma(df: DataFrame, by: Sequence[str], ts: str, value: str, alpha: float, threshold: float) -> DataFrame:

@@ -39,8 +39,15 @@ class Query:
         self._df, self._where, self._select, self._order, self._group, self._aggs, self._having, self._limit, self._offset, self._distinct = df, None, [], [], [], [], None, None, None, False
 
     def join(self, other: DataFrame, on, how: str = "inner", hint: str | None = None) -> "Query":
-        spark_hint = HINTS.get((hint or "").upper())
-        self._df = self._df.join(other.hint(spark_hint) if spark_hint and spark_hint != "repartition" else other, on, how)
+        """hint: of a join, or PARALLEL(n), which deals the other side out to n partitions by the join's columns."""
+        name, _, degree = (hint or "").upper().rstrip(")").partition("(")
+        spark_hint = HINTS.get(name)
+        if spark_hint == "repartition":
+            by = [on] if isinstance(on, str) else [c for c in on if isinstance(c, str)] if isinstance(on, (list, tuple)) else []
+            other = other.repartition(int(degree), *by) if degree else other.repartition(*by) if by else other
+        elif spark_hint:
+            other = other.hint(spark_hint)
+        self._df = self._df.join(other, on, how)
         return self
 
     def where(self, spec: dict | Column) -> "Query":
@@ -70,10 +77,12 @@ class Query:
         return self
 
     def after(self, cursor: dict[str, object]) -> "Query":
-        """Rows behind a cursor (name -> value, in the order of the sort): pages without counting off rows."""
+        """Rows behind a cursor (name -> value, in the order of the sort; a leading - is descending): pages without counting off rows. Nulls come last."""
         c, same = F.lit(False), F.lit(True)
         for name, value in cursor.items():
-            c, same = c | (same & (F.col(name) > F.lit(value))), same & (F.col(name) == F.lit(value))
+            col, v = F.col(name.lstrip("-")), value if isinstance(value, Column) else F.lit(value)
+            beyond = (col < v) if name.startswith("-") else (col > v)
+            c, same = c | (same & F.coalesce(beyond, v.isNotNull() & col.isNull())), same & col.eqNullSafe(v)
         return self.where(c)
 
     def distinct(self) -> "Query":

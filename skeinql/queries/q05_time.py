@@ -105,7 +105,7 @@ def linear_forecast(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("outliers_z", "SELECT event_id FROM (SELECT event_id, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY event_type)) WHERE abs(value - m) / s > 3")
 def outliers_z(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").withColumn("o", T.outliers_z("value", ["event_type"])).where("o").select("event_id")
+    return T.outliers_z(table(spark, d, "events"), ["event_type"], "value").where("outlier").select("event_id")
 
 
 _RANKED = "r AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)"

@@ -158,12 +158,12 @@ def cep_absence(spark: SparkSession, d: str) -> DataFrame:
 @R.add("cep_pattern")
 def cep_pattern(spark: SparkSession, d: str) -> DataFrame:
     steps = [cep.Step("v", _is("view")), cep.Step("c", _is("click"), "+"), cep.Step("p", _is("purchase"))]
-    return cep.match(table(spark, d, "events"), ["user_id"], "ts", steps, within_seconds=86400 * 3, value="value")
+    return cep.match(table(spark, d, "events"), ["user_id"], "ts", steps, within_seconds=86400 * 3, value="value", tie=["event_id"])
 
 
 @R.add("cep_followed_by")
 def cep_followed(spark: SparkSession, d: str) -> DataFrame:
-    return cep.match(table(spark, d, "events"), ["user_id"], "ts", cep.followed_by(cep.Step("s", _is("signup")), cep.Step("p", _is("purchase"))), within_seconds=86400.0)
+    return cep.match(table(spark, d, "events"), ["user_id"], "ts", cep.followed_by(cep.Step("s", _is("signup")), cep.Step("p", _is("purchase"))), within_seconds=86400.0, tie=["event_id"])
 
 
 @R.add("event_correlation", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'click' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 7200000000")

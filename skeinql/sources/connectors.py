@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,7 +105,7 @@ class _SequenceStream(DataSourceStreamReader):
 
 
 class CallSink(DataSource):
-    """Hands each partition's rows to a function, with retries: webhooks and other sinks. The function must bear repeats."""
+    """Hands rows to a function, some of a partition at a time, with retries: webhooks and other sinks. The function must bear repeats."""
 
     function: Callable[[list], None] | None = None
 
@@ -113,22 +114,22 @@ class CallSink(DataSource):
         return "skein_call"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _CallWriter(type(self).function, int(self.options.get("retries", 3)))
+        return _CallWriter(type(self).function, int(self.options.get("retries", 3)), int(self.options.get("batch", 1000)))
 
 
 class _CallWriter(DataSourceWriter):
-    def __init__(self, function: Callable[[list], None], retries: int) -> None:
-        self.function, self.retries = function, retries
+    def __init__(self, function: Callable[[list], None], retries: int, batch: int) -> None:
+        self.function, self.retries, self.batch = function, retries, batch
 
     def write(self, rows) -> WriterCommitMessage:
-        held = list(rows)
-        for n in range(self.retries + 1):
-            try:
-                self.function(held)
-                return WriterCommitMessage()
-            except Exception:
-                if n == self.retries:
-                    raise
+        while held := list(islice(rows, self.batch)):
+            for n in range(self.retries + 1):
+                try:
+                    self.function(held)
+                    break
+                except Exception:
+                    if n == self.retries:
+                        raise
         return WriterCommitMessage()
 
 

@@ -6,13 +6,14 @@ and gives the result as a table, which is how tests and the registered queries h
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinql.session import scratch
+
 
 def file_stream(spark: SparkSession, folder: str, schema, kind: str = "parquet", files_per_trigger: int | None = None, **options: str) -> DataFrame:
     """A stream of the files of a folder (or of a file named in a glob)."""
@@ -88,14 +89,26 @@ def sequence_counts(df: DataFrame, key: str, ts: str, first: Column, second: Col
 
 
 def drain(df: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run until everything that is available is processed; the memory sink's table."""
-    name = f"drain_{uuid.uuid4().hex}"
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+    """Run until everything that is available is processed; a table of the files that it wrote.
+
+    Each micro-batch overwrites a folder of its own, so a repeated batch counts once. In append and update mode
+    the table has all batches' rows, in complete mode those of the last one.
+    """
+    spark, root = df.sparkSession, scratch(df.sparkSession, "drain")
+    empty = spark.createDataFrame([], df.schema)
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
+
+    query = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint or f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/out")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)) if fs.exists(p) else []
+    if not batches:
+        return empty
+    out = spark.read.schema(df.schema)
+    return out.parquet(f"{root}/out/batch={batches[-1]}") if mode == "complete" else out.parquet(*[f"{root}/out/batch={n}" for n in batches])
 
 
 def to_files(df: DataFrame, path: str, checkpoint: str, kind: str = "parquet", by: Sequence[str] = ()) -> None:
