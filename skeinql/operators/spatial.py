@@ -12,11 +12,14 @@ import math
 import re
 import struct
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinql.operators import planar
+
 EARTH = 6371008.8
 #: The WGS 84 ellipsoid (metres) and the radius of Web Mercator.
 WGS84_A, WGS84_F, MERCATOR = 6378137.0, 1 / 298.257223563, 6378137.0
@@ -102,6 +105,8 @@ def nearest(points: DataFrame, others: DataFrame, k: int, radius: float | None =
     """
     from pyspark.sql.window import Window
 
+    from skeinql.operators.graph import _cut
+
     rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
     if radius is not None:
         return near_pairs(points, others, radius).withColumn("n", rank).where(F.col("n") <= k).drop("n")
@@ -113,9 +118,9 @@ def nearest(points: DataFrame, others: DataFrame, k: int, radius: float | None =
     radius = far * (k / max(others.count(), 1)) ** 0.5 or 1.0
     out, left = None, points
     while True:
-        found = near_pairs(left, others, radius).withColumn("n", rank).where(F.col("n") <= k).drop("n").localCheckpoint()
+        found = _cut(near_pairs(left, others, radius).withColumn("n", rank).where(F.col("n") <= k).drop("n"))
         done = found.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select(F.col("a").alias("id"))
-        left = left.join(done, "id", "left_anti").localCheckpoint()
+        left = _cut(left.join(done, "id", "left_anti"))
         last = radius > far or left.isEmpty()
         own = found if last else found.join(done.withColumnRenamed("id", "a"), "a", "left_semi")
         out = own if out is None else out.union(own)
@@ -176,8 +181,9 @@ def focal_mean(band: DataFrame, reach: int = 1) -> DataFrame:
 # --- geometries -----------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=4096)
 def parse_wkt(text: str) -> tuple[str, list]:
-    """(type, nested lists of coordinates); collections hold (type, coordinates) pairs."""
+    """(type, nested lists of coordinates), not to be changed; collections hold (type, coordinates) pairs. Texts are kept, as one side of a join is often one geometry."""
     m = re.fullmatch(r"\s*(?:SRID=\d+;)?\s*([A-Za-z]+)\s*(?:Z|M|ZM)?\s*(.*?)\s*", text, re.S)
     if not m:
         raise ValueError(f"not WKT: {text[:40]}")
@@ -271,87 +277,13 @@ def to_geojson(kind: str, data: list) -> str:
     return json.dumps({"type": names[kind], "coordinates": data})
 
 
-def _rings(kind: str, data: list) -> list[list]:
-    return data if kind == "POLYGON" else [r for p in data for r in p] if kind == "MULTIPOLYGON" else []
-
-
 def _points(kind: str, data: list) -> list:
-    if kind == "POINT":
-        return [data] if data else []
-    if kind in ("LINESTRING", "MULTIPOINT", "CIRCULARSTRING"):
-        return data
-    if kind in ("GEOMETRYCOLLECTION", "COMPOUNDCURVE"):
-        return [p for g in data for p in _points(*g)]
-    return [p for part in data for p in (_points("POLYGON", part) if kind == "MULTIPOLYGON" else part)]
+    shape = planar.parts(kind, data)
+    return [*shape[0], *(p for line in shape[1] for p in line), *(p for poly in shape[2] for ring in poly for p in ring)]
 
 
 def _segments(kind: str, data: list) -> list:
-    lines = [data] if kind in ("LINESTRING", "CIRCULARSTRING") else data if kind == "MULTILINESTRING" else _rings(kind, data)
-    return [(a, b) for line in lines for a, b in zip(line, line[1:])]
-
-
-def _in_rings(p, rings) -> bool:
-    """Even-odd rule over all rings, holes among them."""
-    inside = False
-    for ring in rings:
-        for (x1, y1), (x2, y2) in ((a[:2], b[:2]) for a, b in zip(ring, ring[1:])):
-            if (y1 > p[1]) != (y2 > p[1]) and p[0] < (x2 - x1) * (p[1] - y1) / (y2 - y1) + x1:
-                inside = not inside
-    return inside
-
-
-def _side(a, b, c) -> float:
-    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-
-
-def _cross(s, t) -> bool:
-    (a, b), (c, d) = s, t
-    d1, d2, d3, d4 = _side(c, d, a), _side(c, d, b), _side(a, b, c), _side(a, b, d)
-    if ((d1 > 0) != (d2 > 0)) and ((d3 > 0) != (d4 > 0)) and 0 not in (d1, d2, d3, d4):
-        return True
-    on = lambda p, q, r: min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
-    return d1 == 0 and on(c, d, a) or d2 == 0 and on(c, d, b) or d3 == 0 and on(a, b, c) or d4 == 0 and on(a, b, d)
-
-
-def _to_segment(p, a, b) -> float:
-    dx, dy = b[0] - a[0], b[1] - a[1]
-    t = 0.0 if dx == dy == 0 else max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)))
-    return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
-
-
-def intersects(a, b) -> bool:
-    pa, pb, sa, sb = _points(*a), _points(*b), _segments(*a), _segments(*b)
-    if any(_in_rings(p, _rings(*b)) for p in pa[:1]) or any(_in_rings(p, _rings(*a)) for p in pb[:1]) or any(_cross(s, t) for s in sa for t in sb):
-        return True
-    if not sa or not sb:
-        return any(_to_segment(p, *s) == 0 for p in (pa if not sa else pb) for s in (sb if not sa else sa)) or any(_in_rings(p, _rings(*b)) for p in pa) or any(_in_rings(p, _rings(*a)) for p in pb) or (not sa and not sb and any(p[:2] == q[:2] for p in pa for q in pb))
-    return False
-
-
-def contains(a, b) -> bool:
-    """A polygon contains another geometry: all its points inside and no edges crossing."""
-    rings = _rings(*a)
-    return bool(rings) and all(_in_rings(p, rings) for p in _points(*b)) and not any(_cross(s, t) for s in _segments(*a) for t in _segments(*b))
-
-
-def distance(a, b) -> float:
-    if intersects(a, b):
-        return 0.0
-    best = min((math.hypot(p[0] - q[0], p[1] - q[1]) for p in _points(*a) for q in _points(*b)), default=math.nan)
-    for x, y in ((a, b), (b, a)):
-        best = min([best, *(_to_segment(p, *s) for p in _points(*x) for s in _segments(*y))])
-    return best
-
-
-def touches(a, b) -> bool:
-    """They meet, but only at their borders."""
-    return intersects(a, b) and not any(_in_rings(p, _rings(*b)) and all(_to_segment(p, *s) > 0 for s in _segments(*b)) for p in _points(*a)) and not any(_in_rings(p, _rings(*a)) and all(_to_segment(p, *s) > 0 for s in _segments(*a)) for p in _points(*b)) and not any(
-        _side(*t, s[0]) * _side(*t, s[1]) < 0 and _side(*s, t[0]) * _side(*s, t[1]) < 0 for s in _segments(*a) for t in _segments(*b)
-    )
-
-
-def overlaps(a, b) -> bool:
-    return intersects(a, b) and not touches(a, b) and not contains(a, b) and not contains(b, a)
+    return planar.Shape(kind, data).segments
 
 
 def area(kind: str, data: list) -> float:
@@ -376,62 +308,6 @@ def centroid(kind: str, data: list) -> tuple[str, list]:
     return "POINT", [sum(p[0] for p in ps) / len(ps), sum(p[1] for p in ps) / len(ps)]
 
 
-def convex_hull(points: Sequence) -> list:
-    """Closed ring, counter-clockwise (monotone chain)."""
-    ps = sorted({(float(p[0]), float(p[1])) for p in points})
-    if len(ps) < 3:
-        return [list(p) for p in ps]
-    half = []
-    for run in (ps, ps[::-1]):
-        chain: list = []
-        for p in run:
-            while len(chain) > 1 and _side(chain[-2], chain[-1], p) <= 0:
-                chain.pop()
-            chain.append(p)
-        half.append(chain[:-1])
-    ring = half[0] + half[1]
-    return [list(p) for p in [*ring, ring[0]]]
-
-
-def buffer(kind: str, data: list, radius: float, segments: int = 32) -> tuple[str, list]:
-    """Around a point a circle of segments; around others the hull of circles at its points."""
-    circle = lambda p: [[p[0] + radius * math.cos(2 * math.pi * i / segments), p[1] + radius * math.sin(2 * math.pi * i / segments)] for i in range(segments)]
-    if kind == "POINT":
-        c = circle(data)
-        return "POLYGON", [[*c, c[0]]]
-    return "POLYGON", [convex_hull([q for p in _points(kind, data) for q in circle(p)])]
-
-
-def clip(subject: list, window: list) -> list:
-    """Ring of the part of a ring inside a convex ring (Sutherland-Hodgman)."""
-    out = subject[:-1]
-    if sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(window, window[1:])) < 0:
-        window = window[::-1]
-    for a, b in zip(window, window[1:]):
-        given, out = out, []
-        for i, p in enumerate(given):
-            q = given[i - 1]
-            sp, sq = _side(a, b, p), _side(a, b, q)
-            if (sp >= 0) != (sq >= 0):
-                t = sq / (sq - sp)
-                out.append([q[0] + t * (p[0] - q[0]), q[1] + t * (p[1] - q[1])])
-            if sp >= 0:
-                out.append(list(p[:2]))
-    return [*out, out[0]] if out else []
-
-
-def simplify(line: list, tolerance: float) -> list:
-    """Douglas-Peucker, without recursion."""
-    keep, todo = {0, len(line) - 1}, [(0, len(line) - 1)]
-    while todo:
-        a, b = todo.pop()
-        far = max(((_to_segment(line[i], line[a], line[b]), i) for i in range(a + 1, b)), default=(0.0, a))
-        if far[0] > tolerance:
-            keep.add(far[1])
-            todo += [(a, far[1]), (far[1], b)]
-    return [line[i] for i in sorted(keep)]
-
-
 def vincenty(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     """Metres on the ellipsoid; nan where the iteration doesn't settle (near-antipodal points)."""
     b = WGS84_A * (1 - WGS84_F)
@@ -474,22 +350,203 @@ def _one(f: Callable, kind: str):
 
 
 #: Functions of one or two WKT columns.
-st_contains = lambda a, b: _pair(contains, "boolean")(a, b)
+st_contains = lambda a, b: _pair(planar.contains, "boolean")(a, b)
+st_covers = lambda a, b: _pair(planar.covers, "boolean")(a, b)
 st_within = lambda a, b: st_contains(b, a)
-st_intersects = lambda a, b: _pair(intersects, "boolean")(a, b)
-st_touches = lambda a, b: _pair(touches, "boolean")(a, b)
-st_overlaps = lambda a, b: _pair(overlaps, "boolean")(a, b)
-st_equals = lambda a, b: _pair(lambda x, y: to_wkb(*x) == to_wkb(*y), "boolean")(a, b)
-st_distance = lambda a, b: _pair(distance, "double")(a, b)
+st_intersects = lambda a, b: _pair(planar.intersects, "boolean")(a, b)
+st_disjoint = lambda a, b: _pair(lambda x, y: not planar.intersects(x, y), "boolean")(a, b)
+st_touches = lambda a, b: _pair(planar.touches, "boolean")(a, b)
+st_overlaps = lambda a, b: _pair(planar.overlaps, "boolean")(a, b)
+st_crosses = lambda a, b: _pair(planar.crosses, "boolean")(a, b)
+st_equals = lambda a, b: _pair(planar.equals, "boolean")(a, b)
+st_distance = lambda a, b: _pair(planar.distance, "double")(a, b)
 st_area = lambda a: _one(area, "double")(a)
 st_length = lambda a: _one(length, "double")(a)
 st_centroid = lambda a: _one(lambda k, d: to_wkt(*centroid(k, d)), "string")(a)
-st_buffer = lambda a, r: _one(lambda k, d: to_wkt(*buffer(k, d, r)), "string")(a)
-st_hull = lambda a: _one(lambda k, d: to_wkt("POLYGON", [convex_hull(_points(k, d))]), "string")(a)
-st_simplify = lambda a, t: _one(lambda k, d: to_wkt(k, simplify(d, t)), "string")(a)
+st_buffer = lambda a, r, segments=32: _one(lambda k, d: to_wkt(*planar.buffer(k, d, r, segments)), "string")(a)
+st_hull = lambda a: _one(lambda k, d: to_wkt("POLYGON", [planar.convex_hull(_points(k, d))]), "string")(a)
+st_simplify = lambda a, t, method="douglas-peucker": _one(lambda k, d: to_wkt(*planar.simplify(k, d, t, method)), "string")(a)
 st_geojson = lambda a: _one(to_geojson, "string")(a)
 st_wkb = lambda a: _one(to_wkb, "binary")(a)
-st_intersection = lambda a, b: _pair(lambda x, y: to_wkt("POLYGON", [r] if (r := clip(x[1][0], y[1][0])) else []), "string")(a, b)
+st_union = lambda a, b: _overlay("union")(a, b)
+st_intersection = lambda a, b: _overlay("intersection")(a, b)
+st_difference = lambda a, b: _overlay("difference")(a, b)
+st_symdifference = lambda a, b: _overlay("symdifference")(a, b)
+
+
+def _overlay(how: str) -> Callable:
+    return _pair(lambda x, y: to_wkt(*planar.combined(how)(x, y)), "string")
+
+
+def delaunay(points: DataFrame, key: str) -> DataFrame:
+    """(key, a, b, c): the triangles of each key's points (id, x, y), which fit one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        rows = [(pdf[key][0], *sorted(pdf["id"][[a, b, c]])) for a, b, c in planar.delaunay(pdf[["x", "y"]].to_numpy().tolist())]
+        return pd.DataFrame(rows, columns=[key, "a", "b", "c"])
+
+    kind = points.schema[key].dataType.simpleString()
+    return points.select(key, "id", "x", "y").groupBy(key).applyInPandas(run, f"{key} {kind}, a long, b long, c long")
+
+
+def voronoi(points: DataFrame, key: str, window: tuple[float, float, float, float]) -> DataFrame:
+    """(key, id, wkt): what is nearer to each point than to any other of its key, inside of a window; a key's points fit one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        cells = planar.voronoi(pdf[["x", "y"]].to_numpy().tolist(), window)
+        return pd.DataFrame({key: pdf[key], "id": pdf["id"], "wkt": [to_wkt("POLYGON", [c] if c else []) for c in cells]})
+
+    kind = points.schema[key].dataType.simpleString()
+    return points.select(key, "id", "x", "y").groupBy(key).applyInPandas(run, f"{key} {kind}, id long, wkt string")
+
+
+def utm(lat: Column, lon: Column, zone: Column | None = None) -> tuple[Column, Column, Column]:
+    """(zone, easting, northing) in metres, north of the equator without a false northing, south of it with 10,000 km (Krueger's series)."""
+    n, a, alpha, _, _ = _krueger()
+    zone = utm_zone(lon) if zone is None else zone
+    lam, phi = _rad(lon - (zone * 6 - 183)), _rad(lat)
+    e = F.lit(2 * math.sqrt(n) / (1 + n))
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    east = eta + sum((F.lit(alpha[j]) * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j in range(3)), F.lit(0.0))
+    north = xi + sum((F.lit(alpha[j]) * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j in range(3)), F.lit(0.0))
+    scale = F.lit(0.9996 * a)
+    return zone, F.lit(500_000.0) + scale * east, F.when(lat < 0, F.lit(10_000_000.0)).otherwise(0.0) + scale * north
+
+
+def utm_inverse(zone: Column, east: Column, north: Column, south: Column) -> tuple[Column, Column]:
+    """(latitude, longitude) of UTM coordinates; south: whether the false northing is in them."""
+    n, a, _, beta, delta = _krueger()
+    scale = F.lit(0.9996 * a)
+    xi, eta = (north - F.when(south, F.lit(10_000_000.0)).otherwise(0.0)) / scale, (east - 500_000.0) / scale
+    x = xi - sum((F.lit(beta[j]) * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j in range(3)), F.lit(0.0))
+    y = eta - sum((F.lit(beta[j]) * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j in range(3)), F.lit(0.0))
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    phi = chi + sum((F.lit(delta[j]) * F.sin(2 * (j + 1) * chi) for j in range(3)), F.lit(0.0))
+    return F.degrees(phi), zone * 6 - 183 + F.degrees(F.atan2(F.sinh(y), F.cos(x)))
+
+
+def _krueger() -> tuple[float, float, list[float], list[float], list[float]]:
+    """The third flattening, the rectifying radius, and the series forwards, back and to latitudes, to the third order."""
+    n = WGS84_F / (2 - WGS84_F)
+    a = WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    return n, a, alpha, beta, delta
+
+
+def kmeans(points: DataFrame, k: int, iterations: int = 20) -> DataFrame:
+    """(id, cluster): Lloyd's rounds over (id, x, y) from k points chosen by a hash; only the k centres are on the driver."""
+    first = points.where("x IS NOT NULL AND y IS NOT NULL").select("x", "y").distinct().orderBy(F.xxhash64("x", "y"), "x", "y").limit(k).collect()
+    centres = [(r.x, r.y) for r in first]
+
+    def nearest_of(cs: list) -> Column:
+        d = F.array(*[F.struct((F.pow(F.col("x") - x, F.lit(2.0)) + F.pow(F.col("y") - y, F.lit(2.0))).alias("d"), F.lit(i).alias("i")) for i, (x, y) in enumerate(cs)])
+        return F.array_min(d)["i"]
+
+    for _ in range(iterations):
+        means = {r.c: (r.x, r.y) for r in points.groupBy(nearest_of(centres).alias("c")).agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect()}
+        new = [means.get(i, c) for i, c in enumerate(centres)]
+        if new == centres:
+            break
+        centres = new
+    return points.select("id", nearest_of(centres).alias("cluster"))
+
+
+def regions(band: DataFrame) -> DataFrame:
+    """(value, region, cells, wkt): cells (x, y, value) of equal value joined by their sides as polygons; region: its smallest cell as 'x,y'."""
+    from skeinql.operators.graph import components
+
+    cells = band.where("value IS NOT NULL").select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "value").withColumn("id", F.format_string("%020d,%020d", F.col("x") + F.lit(1 << 40), F.col("y") + F.lit(1 << 40)))
+    side = [cells.select((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), "value", F.col("id").alias("other")) for dx, dy in ((1, 0), (0, 1))]
+    edges = cells.join(side[0].union(side[1]), ["x", "y", "value"]).select(F.col("id").alias("src"), F.col("other").alias("dst"))
+    of = components(cells.select("id"), edges)
+    own = cells.join(of, "id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        have, spots, kept = set(zip(pdf["x"], pdf["y"])), {}, set()
+        for x, y in have:
+            for (ax, ay), (bx, by), out in (((0, 0), (1, 0), (0, -1)), ((1, 0), (1, 1), (1, 0)), ((1, 1), (0, 1), (0, 1)), ((0, 1), (0, 0), (-1, 0))):
+                if (x + out[0], y + out[1]) not in have:
+                    p, q = (x + ax, y + ay), (x + bx, y + by)
+                    kept.add((p, q))
+                    spots[p], spots[q] = [float(c) for c in p], [float(c) for c in q]
+        shape = planar.as_geometry(planar.polygons_of(planar.rings_of(kept, spots)))
+        x, y = min(have)
+        return pd.DataFrame({"value": [pdf["value"][0]], "region": [f"{x},{y}"], "cells": [len(pdf)], "wkt": [to_wkt(*shape)]})
+
+    kind = band.schema["value"].dataType.simpleString()
+    return own.groupBy("component").applyInPandas(run, f"value {kind}, region string, cells long, wkt string")
+
+
+def contours(band: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """(level, x1, y1, x2, y2): marching squares over cells (x, y, value) as points; a saddle is cut by the mean of its corners."""
+    b = band.select("x", "y", F.col("value").cast("double").alias("v"))
+    at = lambda dx, dy, n: b.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("v").alias(n))
+    q = at(0, 0, "a").join(at(1, 0, "b"), ["x", "y"]).join(at(1, 1, "c"), ["x", "y"]).join(at(0, 1, "d"), ["x", "y"])
+    q = q.withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
+    up = {n: F.col(n) >= F.col("level") for n in "abcd"}
+    along = lambda m, n: (F.col("level") - F.col(m)) / (F.col(n) - F.col(m))
+    spot = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ab, bc = spot(F.col("x") + along("a", "b"), F.col("y")), spot(F.col("x") + 1, F.col("y") + along("b", "c"))
+    dc, ad = spot(F.col("x") + along("d", "c"), F.col("y") + 1), spot(F.col("x"), F.col("y") + along("a", "d"))
+    pair = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
+    code = sum((F.when(up[n], 1 << k).otherwise(0) for k, n in enumerate("abcd")), F.lit(0))
+    high = (F.col("a") + F.col("b") + F.col("c") + F.col("d")) / 4 >= F.col("level")
+    one = {1: (ad, ab), 14: (ad, ab), 2: (ab, bc), 13: (ab, bc), 4: (bc, dc), 11: (bc, dc), 8: (dc, ad), 7: (dc, ad), 3: (ad, bc), 12: (ad, bc), 6: (ab, dc), 9: (ab, dc)}
+    lines = F.when(code.isin(5, 10), F.when((code == 5) == high, F.array(pair(ab, bc), pair(dc, ad))).otherwise(F.array(pair(ad, ab), pair(bc, dc))))
+    for c, (p, r) in one.items():
+        lines = lines.when(code == c, F.array(pair(p, r)))
+    return q.select("level", F.explode(lines).alias("s")).select("level", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.r.x").alias("x2"), F.col("s.r.y").alias("y2"))
+
+
+def quadkey(x: Column, y: Column, window: tuple[float, float, float, float], depth: int) -> Column:
+    """The digits (0 to 3) of the quadrants of a window that a point lies in, one after another."""
+    x1, y1, x2, y2 = window
+    cell = lambda v, lo, hi: F.greatest(F.lit(0), F.least(F.lit((1 << depth) - 1), F.floor((v - lo) / F.lit(hi - lo) * F.lit(1 << depth)))).cast("long")
+    cx, cy = cell(x, x1, x2), cell(y, y1, y2)
+    digit = lambda k: F.shiftrightunsigned(cx, k).bitwiseAND(F.lit(1)) + 2 * F.shiftrightunsigned(cy, k).bitwiseAND(F.lit(1))
+    return F.concat(*[digit(k).cast("string") for k in range(depth - 1, -1, -1)])
+
+
+def quadtree(points: DataFrame, window: tuple[float, float, float, float], capacity: int, depth: int = 12) -> DataFrame:
+    """(id, x, y, leaf): a point's leaf is the shortest prefix of its quadkey that at most so many points share (or the whole key)."""
+    placed = points.select("id", "x", "y", quadkey(F.col("x"), F.col("y"), window, depth).alias("key"))
+    prefixes = placed.groupBy("key").agg(F.count("*").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k"), "key")
+    full = prefixes.groupBy(F.expr("left(key, k)").alias("node")).agg(F.sum("n").alias("n"))
+    small = full.where(F.col("n") <= capacity).select("node")
+    # of the nodes that are small enough the shortest; keys whose points are too many everywhere stay whole
+    keys = placed.select("key").distinct().select("key", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k")).withColumn("node", F.expr("left(key, k)"))
+    leaf = keys.join(small, "node", "left_semi").groupBy("key").agg(F.min("k").alias("k"))
+    return placed.join(leaf, "key", "left").select("id", "x", "y", F.expr("left(key, coalesce(k, length(key)))").alias("leaf"))
+
+
+def packed(points: DataFrame, capacity: int) -> DataFrame:
+    """(id, x, y, leaf): leaves of an R-tree by sort-tile-recursive packing: slices by x, and tiles by y in each, of about so many points."""
+    n = points.count()
+    slices = max(1, math.ceil(math.sqrt(n / capacity)))
+    cut = lambda c, p: F.percentile_approx(c, [k / p for k in range(1, p)], 10_000) if p > 1 else F.array().cast("array<double>")
+    place = lambda bounds, c: F.aggregate(bounds, F.lit(0), lambda acc, b: acc + (F.col(c) >= b).cast("int"))
+    xs = points.agg(cut("x", slices).alias("_bx"))
+    sliced = points.select("id", "x", "y").crossJoin(F.broadcast(xs)).withColumn("_s", place(F.col("_bx"), "x")).drop("_bx")
+    ys = sliced.groupBy("_s").agg(cut("y", slices).alias("_by"))  # a row for each slice
+    tiled = sliced.join(F.broadcast(ys), "_s").withColumn("_t", place(F.col("_by"), "y"))
+    return tiled.select("id", "x", "y", (F.col("_s") * slices + F.col("_t")).alias("leaf"))
+
+
+def leaves(packed_points: DataFrame) -> DataFrame:
+    """(leaf, points, box): the boxes of the leaves."""
+    return packed_points.groupBy("leaf").agg(F.count("*").alias("points"), extent("x", "y").alias("box"))
+
+
+def window_search(packed_points: DataFrame, boxes: DataFrame, window: tuple[float, float, float, float]) -> DataFrame:
+    """The points in a window: of leaves whose boxes meet it only."""
+    box = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("xmin", "ymin", "xmax", "ymax"), window)])
+    near = boxes.where(bbox_intersects(F.col("box"), box)).select("leaf")
+    return packed_points.join(F.broadcast(near), "leaf", "left_semi").where((F.col("x").between(window[0], window[2])) & (F.col("y").between(window[1], window[3])))
 
 
 def transformed(x: Column, y: Column, dx: float = 0.0, dy: float = 0.0, sx: float = 1.0, sy: float = 1.0, degrees: float = 0.0) -> tuple[Column, Column]:

@@ -42,14 +42,23 @@ w AS (SELECT *, last_value(value IGNORE NULLS) OVER p AS pv, first_value(value I
 SELECT event_type, ts, round(%s, 9) AS value FROM w"""
 
 
-def _fill(method: str, sql: str) -> None:
-    @R.add(f"gap_fill_{method}", _FILL % sql)
+_SPLINE = f"""WITH {HOURLY}, s AS (SELECT event_type, min(ts) AS a, max(ts) AS b FROM h GROUP BY event_type), g AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 30 MINUTE)) AS ts FROM s),
+k AS (SELECT event_type, ts, CAST(epoch_us(ts) AS DOUBLE) AS t, value AS v, (coalesce(lead(value) OVER w, value) - coalesce(lag(value) OVER w, value)) / nullif(coalesce(lead(CAST(epoch_us(ts) AS DOUBLE)) OVER w, epoch_us(ts)) - coalesce(lag(CAST(epoch_us(ts) AS DOUBLE)) OVER w, epoch_us(ts)), 0) AS m FROM h WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+j AS (SELECT g.event_type, g.ts, CAST(epoch_us(g.ts) AS DOUBLE) AS x, a.t AS t0, a.v AS v0, a.m AS m0, b.t AS t1, b.v AS v1, b.m AS m1 FROM g ASOF JOIN k a ON g.event_type = a.event_type AND g.ts >= a.ts ASOF JOIN k b ON g.event_type = b.event_type AND g.ts <= b.ts),
+u AS (SELECT *, t1 - t0 AS w, (x - t0) / nullif(t1 - t0, 0) AS s FROM j)
+SELECT event_type, ts, round(CASE WHEN w = 0 THEN v0 ELSE (2 * s * s * s - 3 * s * s + 1) * v0 + (s * s * s - 2 * s * s + s) * w * m0 + (3 * s * s - 2 * s * s * s) * v1 + (s * s * s - s * s) * w * m1 END, 6) AS value FROM u"""
+
+
+def _fill(method: str, sql: str | None) -> None:
+    digits = 9 if sql else 6
+
+    @R.add(f"gap_fill_{method}", _FILL % sql if sql else _SPLINE)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return T.fill_gaps(_hourly(spark, d), ["event_type"], "ts", "value", "30 minutes", method).select("event_type", "ts", F.round("value", 9).alias("value"))
+        return T.fill_gaps(_hourly(spark, d), ["event_type"], "ts", "value", "30 minutes", method).select("event_type", "ts", F.round("value", digits).alias("value"))
 
 
 for _m, _sql in {
-    "previous": "pv", "next": "nv", "average": "coalesce(value, (pv + nv) / 2)", "constant": "coalesce(value, 0.0)", "null": "value",
+    "spline": None, "previous": "pv", "next": "nv", "average": "coalesce(value, (pv + nv) / 2)", "constant": "coalesce(value, 0.0)", "null": "value",
     "linear": "CASE WHEN pt = nt THEN pv ELSE pv + (nv - pv) * (epoch_us(ts) - epoch_us(pt)) / (epoch_us(nt) - epoch_us(pt)) END",
 }.items():
     _fill(_m, _sql)
@@ -121,7 +130,7 @@ def outliers_mad(spark: SparkSession, d: str) -> DataFrame:
     return T.outliers_mad(table(spark, d, "events"), ["event_type"], "value").where("outlier").select("event_id")
 
 
-@R.add("outliers_ewma")
+@R.add("outliers_ewma", f"WITH RECURSIVE {HOURLY}, {RN}, e AS (SELECT event_type, ts, i, value, CAST(NULL AS DOUBLE) AS before, value AS ema FROM n WHERE i = 1 UNION ALL SELECT n.event_type, n.ts, n.i, n.value, e.ema, 0.3 * n.value + 0.7 * e.ema FROM e JOIN n ON n.event_type = e.event_type AND n.i = e.i + 1) SELECT event_type, ts FROM e WHERE abs(value - before) > 200")
 def outliers_ewma(spark: SparkSession, d: str) -> DataFrame:
     return T.outliers_ewma(_hourly(spark, d), ["event_type"], "ts", "value", 0.3, 200.0).where("outlier").select("event_type", "ts")
 

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from skeinql.functions.scalars import SCALAR_FUNCTIONS
 from skeinql.functions.strings import call, stem
-from skeinql.operators import approximate, cep, documents, graph, joins, quality, spatial, temporal, textsearch, windows
+from skeinql.operators import approximate, cep, documents, graph, joins, planar, quality, spatial, temporal, textsearch, windows
 from skeinql.plans.builder import Query, plan_report, pushed_filters
 from skeinql.plans.catalog import Catalog, ConstraintError
-from skeinql.plans.materialized import ResultCache
+from skeinql.plans.materialized import RefreshPolicy, ResultCache, ViewStore
+from skeinql.plans.procedures import Cursor, CursorError, Package, forall
 
 
 def one(spark, *columns):
@@ -83,14 +84,14 @@ def test_graph(spark):
 
 def test_geometry():
     square = spatial.parse_wkt("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))")
-    assert spatial.area(*square) == 15 and spatial.contains(square, ("POINT", [3, 3])) and not spatial.contains(square, ("POINT", [1.5, 1.5]))
+    assert spatial.area(*square) == 15 and planar.contains(square, ("POINT", [3, 3])) and not planar.contains(square, ("POINT", [1.5, 1.5]))
     for text in ("POINT (1 2)", "MULTIPOINT (1 2, 3 4)", "LINESTRING (0 0, 1 1)", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))", "GEOMETRYCOLLECTION (POINT (1 2), LINESTRING (0 0, 1 1))"):
         geometry = spatial.parse_wkt(text)
         assert spatial.to_wkt(*geometry) == text and spatial.parse_wkb(spatial.to_wkb(*geometry)) == geometry
-    assert spatial.distance(("POINT", [0, 0]), ("LINESTRING", [[3, -1], [3, 1]])) == 3
+    assert planar.distance(("POINT", [0, 0]), ("LINESTRING", [[3, -1], [3, 1]])) == 3
     touching = spatial.parse_wkt("POLYGON ((4 0, 8 0, 8 4, 4 4, 4 0))")
-    assert spatial.touches(square, touching) and not spatial.overlaps(square, touching)
-    assert spatial.simplify([[0, 0], [1, 0.01], [2, 0]], 0.1) == [[0, 0], [2, 0]]
+    assert planar.touches(square, touching) and not planar.overlaps(square, touching)
+    assert planar.simplify("LINESTRING", [[0, 0], [1, 0.01], [2, 0]], 0.1)[1] == [[0, 0], [2, 0]]
     assert abs(spatial.vincenty(50.06632, -5.71475, 58.64402, -3.07009) - 969954.2) < 1
     assert spatial.shortest_route([("a", "b", 1), ("b", "c", 1), ("a", "c", 5)], "a", "c") == (2, ["a", "b", "c"])
     assert len(spatial.tour([(0, 0), (1, 0), (1, 1), (0, 1)])) == 4
@@ -100,11 +101,25 @@ def test_patterns(spark):
     rows = [("u", i, c) for i, c in enumerate("abbcaxc")]
     df = spark.createDataFrame(rows, "k string, i int, c string").withColumn("t", F.timestamp_seconds("i"))
     steps = [cep.Step("a", F.col("c") == "a"), cep.Step("b", F.col("c") == "b", "+"), cep.Step("c", F.col("c") == "c")]
-    assert [(r.events, r.steps) for r in cep.match(df, ["k"], "t", steps).collect()] == [(4, "abbc")]
+    assert [r.events for r in cep.match(df, ["k"], "t", steps).collect()] == [4]
     two = cep.followed_by(cep.Step("a", F.col("c") == "a"), cep.Step("c", F.col("c") == "c"))
     assert cep.match(df, ["k"], "t", two).count() == 2 and cep.match(df, ["k"], "t", two, within_seconds=2).count() == 1
 
 
+def test_patterns_within_time_and_overlapping_conditions(spark):
+    six = spark.createDataFrame([("u", 10 * i, "A") for i in range(6)], "k string, i int, c string").withColumn("t", F.timestamp_seconds("i"))
+    runs = cep.match(six, ["k"], "t", [cep.Step("a", F.col("c") == "A", "+")], within_seconds=20).collect()
+    assert [r.events for r in sorted(runs, key=lambda r: r.start)] == [3, 3]
+    both = spark.createDataFrame([("u", 0, 5), ("u", 1, 7)], "k string, i int, v int").withColumn("t", F.timestamp_seconds("i"))
+    odd, large = cep.Step("odd", F.col("v") % 2 == 1), cep.Step("large", F.col("v") > 6)
+    assert cep.match(both, ["k"], "t", [odd, large]).count() == 1  # 7 meets both conditions
+    tied = spark.createDataFrame([("u", 2, "b"), ("u", 1, "a")], "k string, n int, c string").withColumn("t", F.timestamp_seconds(F.lit(0)))
+    pair = [cep.Step("a", F.col("c") == "a"), cep.Step("b", F.col("c") == "b")]
+    assert cep.match(tied, ["k"], "t", pair, tie=["n"]).count() == 1 and cep.match(tied.withColumn("n", -F.col("n")), ["k"], "t", pair, tie=["n"]).count() == 0
+    no = cep.Step("no", F.col("c") == "A", negated=True)
+    assert cep.match(six.withColumn("c", F.when(F.col("i") == 30, "B").otherwise(F.col("c"))), ["k"], "t", [no]).count() == 1
+
+
 def test_text_search(spark):
     df = spark.createDataFrame([(1, "The quick brown fox"), (2, "quick and brown"), (3, None)], "id int, t string")
     ids = lambda c: [r.id for r in df.where(c).orderBy("id").collect()]
@@ -139,6 +154,167 @@ def test_catalog(spark, tmp_path):
     assert c.allowed("r", "select", "t") and not c.allowed("r", "update", "t")
 
 
+def _family(spark, tmp_path, **actions):
+    c = Catalog(spark, str(tmp_path))
+    c.create_table("a", "id int", primary_key=["id"])
+    c.create_table("b", "id int, a int", primary_key=["id"], foreign_keys={"a": ("a", "id", actions.get("b", "cascade"), actions.get("b_moves", "cascade"))})
+    c.create_table("c", "id int, b int", foreign_keys={"b": ("b", "id", actions.get("c", "cascade"), "cascade")})
+    c.insert("a", [{"id": i} for i in range(3)])
+    c.insert("b", [{"id": 10 + i, "a": i % 3} for i in range(6)])
+    c.insert("c", [{"id": 100 + i, "b": 10 + i % 6} for i in range(12)])
+    return c
+
+
+def ids(c, name):
+    return sorted(r.id for r in c.table(name).collect())
+
+
+def test_deletes_follow_references(spark, tmp_path):
+    c = _family(spark, tmp_path)
+    c.delete("a", "id = 1")
+    assert ids(c, "a") == [0, 2] and ids(c, "b") == [10, 12, 13, 15] and len(ids(c, "c")) == 8  # grandchildren as well
+
+
+def test_a_forbidden_delete_changes_nothing(spark, tmp_path):
+    c = _family(spark, tmp_path, c="restrict")
+    with pytest.raises(ConstraintError):
+        c.delete("a", "id = 1")
+    assert (len(ids(c, "a")), len(ids(c, "b")), len(ids(c, "c"))) == (3, 6, 12) and c.versions("b") == 2
+    with pytest.raises(ConstraintError):
+        c.truncate("b")
+    with pytest.raises(ConstraintError):
+        c.drop_table("a")
+
+
+def test_changed_keys_and_nulls(spark, tmp_path):
+    c = _family(spark, tmp_path, b="set null")
+    c.update("a", {"id": 77}, "id = 1")
+    assert sorted(r.a for r in c.table("b").collect()) == [0, 0, 2, 2, 77, 77]
+    c.delete("a", "id = 77")
+    assert sorted((r.a is None, r.a or 0) for r in c.table("b").collect()) == [(False, 0), (False, 0), (False, 2), (False, 2), (True, 0), (True, 0)] and len(ids(c, "c")) == 12
+    c.create_table("tree", "id int, up int", primary_key=["id"], foreign_keys={"up": ("tree", "id", "cascade")})
+    c.insert("tree", [{"id": 1}, {"id": 2, "up": 1}, {"id": 3, "up": 2}, {"id": 4}])
+    c.delete("tree", "id = 1")
+    assert ids(c, "tree") == [4]
+
+
+def test_restricted_key_changes(spark, tmp_path):
+    c = _family(spark, tmp_path, b_moves="restrict")
+    with pytest.raises(ConstraintError):
+        c.update("a", {"id": 77}, "id = 1")
+    assert ids(c, "a") == [0, 1, 2]
+
+
+def test_renamed_columns_keep_their_constraints(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.create_table("t", "id int, n int, s string", primary_key=["id"], unique=[["n"]], checks={"n": "n > 0 AND s <> 'n'"}, defaults={"n": 4})
+    c.create_table("child", "t int", foreign_keys={"t": ("t", "id", "cascade")})
+    c.alter("t", "rename", "n", "m")
+    c.alter("t", "rename", "id", "key")
+    c.insert("t", [{"key": 1, "s": "a"}])
+    c.insert("child", [{"t": 1}])
+    for bad in ({"key": 1, "m": 9, "s": "a"}, {"key": 2, "m": 4, "s": "a"}, {"key": 2, "m": -1, "s": "a"}, {"key": 2, "m": 9, "s": "n"}):
+        with pytest.raises(ConstraintError):
+            c.insert("t", [bad])
+    with pytest.raises(ConstraintError):
+        c.alter("t", "drop", "m")
+    c.drop_constraint("t", ["m"])
+    c.insert("t", [{"key": 2, "m": 4, "s": "a"}])
+    c.create_index("i", "t", ["s", "key"], unique=True)
+    with pytest.raises(KeyError):
+        c.drop_constraint("t", "none")
+    c.drop_index("i")
+    assert c._read_meta("t")["unique"] == []
+
+
+def test_rights_databases_and_what_is_kept(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.create_table("t", "id int")
+    c.insert("t", [{"id": 1}])
+    c.create_view("v", "SELECT id + 1 AS id FROM t")
+    c.grant("reader", "select", "v")
+    who = c.as_role("reader")
+    assert [r.id for r in who.sql("SELECT * FROM v").collect()] == [2]
+    for f in (lambda: who.table("t"), lambda: who.sql("SELECT * FROM t"), lambda: who.insert("t", [{"id": 2}]), lambda: who.delete("t", "true")):
+        with pytest.raises(PermissionError):
+            f()
+    again = Catalog(spark, str(tmp_path))
+    assert again.views == c.views and again.allowed("reader", "select", "v")
+    again.revoke("reader", "select", "v")
+    again.drop_view("v")
+    with pytest.raises(KeyError):
+        again.drop_view("v")
+    db = c.create_database("inner")
+    db.create_table("x", "id int")
+    assert c.databases() == ["inner"] and c.database("inner").tables() == ["x"] and c.tables() == ["t"]
+    with pytest.raises(ConstraintError):
+        c.drop_database("inner")
+    c.drop_database("inner", cascade=True)
+    assert c.databases() == []
+
+
+def test_triggers_cursors_and_packages(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.create_table("t", "id int, n int")
+    c.create_row_trigger("t", "insert", {"n": "n * 10"}, "id > 1")
+    c.insert("t", [{"id": 1, "n": 1}, {"id": 2, "n": 2}])
+    assert sorted((r.id, r.n) for r in c.table("t").collect()) == [(1, 1), (2, 20)]
+    seen = []
+    c.create_trigger("t", "instead of", "delete", lambda rows: seen.append(rows.count()))
+    c.delete("t", "true")
+    assert seen == [2] and c.table("t").count() == 2
+    cursor = Cursor(lambda low: c.table("t").where(F.col("id") >= low).orderBy("id")).open(1)
+    assert cursor.fetch().id == 1 and [r.id for r in cursor.fetch_bulk(5)] == [2] and cursor.fetch() is None and cursor.row_count == 2 and not cursor.found
+    cursor.close()
+    with pytest.raises(CursorError):
+        cursor.fetch()
+    assert [r.id for r in Cursor(lambda: c.table("t").orderBy("id"))] == [1, 2]
+    c.triggers.clear()
+    assert forall(c, "t", "update", spark.createDataFrame([(2, 5)], "id int, n int"), ["id"]) == 1
+    assert forall(c, "t", "delete", spark.createDataFrame([(1,)], "id int"), ["id"]) == 1 and [(r.id, r.n) for r in c.table("t").collect()] == [(2, 5)]
+    p = Package(c, "pkg", calls=0)
+    p.procedure("hidden", lambda own, x: own.state.update(calls=own.state["calls"] + 1) or x + 1, public=False)
+    p.procedure("twice", lambda own, x: own.run("hidden", own.run("hidden", x)))
+    assert c.call("pkg.twice", 1) == 3 and p.state["calls"] == 2
+    with pytest.raises(PermissionError):
+        p.call("hidden", 1)
+
+
+def test_cache_tells_literals_apart(spark):
+    spark.createDataFrame([("A",), ("a",)], "x string").createOrReplaceTempView("letters")
+    cache = ResultCache()
+    assert [r.x for r in cache.get(spark, "SELECT x FROM letters WHERE x = 'A'", ["letters"]).collect()] == ["A"]
+    assert [r.x for r in cache.get(spark, "SELECT x FROM letters WHERE x = 'a'", ["letters"]).collect()] == ["a"] and cache.misses == 2
+    cache.get(spark, "select  x from letters where x = 'A' ", ["letters"])
+    assert cache.hits == 1
+    spark.createDataFrame([("B",)], "x string").createOrReplaceTempView("letters")
+    assert cache.get(spark, "SELECT x FROM letters WHERE x = 'A'", ["letters"]).count() == 0
+
+
+def test_views_answer_what_they_can(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 2.0), (1, "b", 3.0), (2, "a", 5.0)], "k int, g string, v double")
+    now, held = [0.0], [rows]
+    store = ViewStore(spark, str(tmp_path), clock=lambda: now[0])
+    store.base("t", lambda: held[0])
+    store.create("fine", "t", ["k", "g"], ["v"], RefreshPolicy("periodic", 10))
+    store.create("coarse", "t", ["k"], ["v"], RefreshPolicy("commit"))
+    ask = lambda **how: store.ask("t", ["k"], {"s": ("sum", "v"), "n": ("count", ""), "m": ("avg", "v")}, **how)
+    got, name = ask()
+    assert name == "coarse" and sorted(map(tuple, got.collect())) == [(1, 5.0, 2, 2.5), (2, 5.0, 1, 5.0)]
+    got, name = ask(where="g = 'a'", filtered=["g"])
+    assert name == "fine" and sorted(r.s for r in got.collect()) == [2.0, 5.0]
+    assert ask(where="v > 2", filtered=["v"])[1] is None
+    more = spark.createDataFrame([(1, "a", 10.0)], rows.schema)
+    held[0] = rows.union(more)
+    store.changed("t", added=more)
+    got, name = ask()
+    assert name == "coarse" and {r.k: r.s for r in got.collect()} == {1: 15.0, 2: 5.0}
+    assert ask(where="g = 'a'", filtered=["g"])[1] is None  # stale until it is due
+    now[0] = 11
+    got, name = ask(where="g = 'a'", filtered=["g"])
+    assert name == "fine" and sorted(r.s for r in got.collect()) == [5.0, 12.0]
+
+
 def test_cache_and_plans(spark):
     now = [0.0]
     cache = ResultCache(entries=1, seconds=10, clock=lambda: now[0])
