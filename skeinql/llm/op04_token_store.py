@@ -49,7 +49,11 @@ class ChunkEncoder:
     #: Texts with none of these are composed as they stand, and lower case changes them character by character.
     _OTHER = re.compile("[^\x00-\u012F\u0131-\u024F]")
     #: Punctuation after a letter or digit begins a piece of its own, so a space may stand before it.
-    _MARKS = re.compile(r"([.,!?;:])(?<=[^\W_].)")
+    _MARKS = re.compile(r"([!-/:-@\[-`{-~])(?<=[^\W_].)")
+    #: One piece as it stands, whose bytes the model alone encodes.
+    _PLAIN = re.compile("[a-zß-öø-ÿ]+")
+    #: How the model writes the bytes of letters beyond ASCII: those of printable Latin-1 characters as these.
+    _BYTES = {c: "".join(chr(b) if 161 <= b <= 172 or b >= 174 else chr(256 + 33 + b - 126 - 1 if b < 161 else 256 + 67) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
     #: Stands between chunks that are encoded in one call; a piece of its own.
     _BETWEEN = ","
 
@@ -76,12 +80,12 @@ class ChunkEncoder:
     def _fill(self, chunks: set[str]) -> None:
         """Learn the ids of new chunks, most of them in one call of the tokenizer."""
         rest = []
-        tokenize, older = self.tokenizer.model.tokenize, self.older
+        tokenize, older, plain, written = self.tokenizer.model.tokenize, self.older, self._PLAIN.fullmatch, self._BYTES
         for c in chunks:
             if c in older:
                 self.seen[c] = older[c]
-            elif c.isascii() and c.isalpha() and c.islower():  # one piece as it stands, so the model alone encodes it
-                self.seen[c] = array("I", [t.id for t in tokenize(c)]).tobytes()
+            elif plain(c):
+                self.seen[c] = array("I", [t.id for t in tokenize(c if c.isascii() else c.translate(written))]).tobytes()
             else:
                 rest.append(c)
         joined = [c for c in rest if c and self._BETWEEN not in c and "<|" not in c]
