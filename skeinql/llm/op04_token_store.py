@@ -36,7 +36,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 DICTIONARY_BYTES = 1 << 20
 #: Chunks in each of the two generations of the cache.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
