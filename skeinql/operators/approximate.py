@@ -88,3 +88,29 @@ def estimate(sample: DataFrame, value: str, fraction: float, z: float = 1.96) ->
     """(count, sum, avg, avg_low, avg_high) of the whole, from a sample of a known fraction."""
     half = F.lit(z) * F.stddev_samp(value) / F.sqrt(F.count(value))
     return sample.agg((F.count("*") / F.lit(fraction)).alias("count"), (F.sum(value) / F.lit(fraction)).alias("sum"), F.avg(value).alias("avg"), (F.avg(value) - half).alias("avg_low"), (F.avg(value) + half).alias("avg_high"))
+
+
+class SampleCatalog:
+    """Samples of tables by name; a question goes to the smallest sample that is expected to answer it within an error, else to the table."""
+
+    def __init__(self) -> None:
+        self._tables: dict[str, DataFrame] = {}
+        self._samples: dict[str, list[tuple[float, DataFrame]]] = {}
+
+    def register(self, name: str, table: DataFrame) -> None:
+        self._tables[name] = table
+
+    def add_sample(self, name: str, fraction: float, key: Sequence[str], path: str, seed: int = 1) -> None:
+        """Write a sample of a table's rows, chosen by a hash of the key."""
+        bernoulli(self._tables[name], fraction, key, seed).write.parquet(path)
+        self._samples.setdefault(name, []).append((fraction, self._tables[name].sparkSession.read.parquet(path)))
+
+    def mean(self, name: str, value: str, relative_error: float, z: float = 1.96) -> tuple[DataFrame, float]:
+        """((avg, low, high), fraction of the rows that were read)."""
+        for fraction, rows in sorted(self._samples.get(name, []), key=lambda s: s[0]):
+            half = F.lit(z) * F.stddev_samp(value) / F.sqrt(F.count(value))
+            found = rows.agg(F.avg(value).alias("avg"), half.alias("half"))
+            r = found.first()
+            if r.avg and r.half is not None and r.half <= relative_error * abs(r.avg):
+                return found.select("avg", (F.col("avg") - F.col("half")).alias("low"), (F.col("avg") + F.col("half")).alias("high")), fraction
+        return self._tables[name].agg(F.avg(value).alias("avg")).select("avg", F.col("avg").alias("low"), F.col("avg").alias("high")), 1.0

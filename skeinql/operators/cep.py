@@ -61,13 +61,15 @@ def _regex(pattern: Sequence, bit: dict[str, int]) -> str:
     return out
 
 
-def match(df: DataFrame, key: Sequence[str], ts: str, pattern: Sequence, within_seconds: float | None = None, skip: str = "past_last", value: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
-    """(key, start, end, events, total): the matches of each key, in order.
+def match(df: DataFrame, key: Sequence[str], ts: str, pattern: Sequence, within_seconds: float | None = None, skip: str = "past_last", value: str | None = None, tie: Sequence[str] = (), each_seconds: float | None = None) -> DataFrame:
+    """(key, start, end, events, total, mean, least, most, first, last): the matches of each key, in order, and measures of value.
 
-    skip: past_last (matches share no events) or to_next (the next match may begin one event later).
+    skip: past_last (matches share no events), to_next (the next match may begin one event later), to_last (at
+    the last event of a match) or no_prefix (all beginnings, of matches with one end the longest).
+    each_seconds: how far apart neighbouring events of a match may be, beside within_seconds for all of it.
     An event may take any step whose condition it meets. Events of one time are in the order of the tie
     columns. A match is the first that the pattern finds from its first event on, greedy steps taking as much
-    as the time limit leaves. total: sum of value. At most 8 conditions.
+    as the time limits leave. At most 8 conditions.
     """
     steps = {s.name: s for item in pattern if item is not None for s in (item if isinstance(item, tuple) else (item,))}
     if len(steps) > 8:
@@ -83,19 +85,30 @@ def match(df: DataFrame, key: Sequence[str], ts: str, pattern: Sequence, within_
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         text, found, at = "".join(chr(BASE + m) for m in pdf["_m"]), [], 0
         ends = [len(text)] * len(text) if within_seconds is None else pdf["_t"].searchsorted(pdf["_t"] + pd.Timedelta(seconds=within_seconds), "right").tolist()
-        sums = [0.0, *pdf["_v"].cumsum()]
+        if each_seconds is not None and len(text):
+            # a match ends before the first gap that is too long
+            wide = (pdf["_t"].shift(-1) - pdf["_t"] > pd.Timedelta(seconds=each_seconds)).tolist()
+            stop = len(text)
+            for i in range(len(text) - 1, -1, -1):
+                stop = i + 1 if wide[i] else stop
+                ends[i] = min(ends[i], stop)
+        v = pdf["_v"].to_numpy()
+        seen: set[int] = set()
         while at < len(text):
             m = expr.match(text, at, ends[at])
             if not m or m.end() == at:
                 at += 1
                 continue
             b = m.end() - 1
-            found.append((*(pdf[c][0] for c in key), pdf["_t"][at], pdf["_t"][b], b - at + 1, float(sums[b + 1] - sums[at])))
-            at = m.end() if skip == "past_last" else at + 1
-        return pd.DataFrame(found, columns=[*key, "start", "end", "events", "total"])
+            own = v[at : b + 1]
+            if skip != "no_prefix" or b not in seen:
+                found.append((*(pdf[c][0] for c in key), pdf["_t"][at], pdf["_t"][b], b - at + 1, float(own.sum()), float(own.mean()), float(own.min()), float(own.max()), float(own[0]), float(own[-1])))
+            seen.add(b)
+            at = m.end() if skip == "past_last" else max(b, at + 1) if skip == "to_last" else at + 1
+        return pd.DataFrame(found, columns=[*key, "start", "end", "events", "total", "mean", "least", "most", "first", "last"])
 
     t = df.schema[ts].dataType.simpleString()
-    return rows.groupBy(*key).applyInPandas(run, f"{kinds}, start {t}, end {t}, events int, total double")
+    return rows.groupBy(*key).applyInPandas(run, f"{kinds}, start {t}, end {t}, events int, total double, mean double, least double, most double, first double, last double")
 
 
 def sequence(df: DataFrame, key: Sequence[str], ts: str, first: Column, second: Column, within: str) -> DataFrame:

@@ -463,3 +463,104 @@ def schema_errors(doc: Column, required: Sequence[str], types: dict[str, str]) -
     missing = [F.when(F.get_json_object(doc, f"$.{f}").isNull(), F.lit(f"missing {f}")) for f in required]
     wrong = [F.when(F.get_json_object(doc, f"$.{f}").isNotNull() & ~_operator(v, doc, f"$.{f}", "$type", t), F.lit(f"type of {f}")) for f, t in types.items()]
     return F.filter(F.array(*missing, *wrong), lambda x: x.isNotNull())
+
+
+_KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+
+
+def _is_kind(value, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+    return isinstance(value, _KINDS[kind]) and not (kind != "boolean" and isinstance(value, bool))
+
+
+def check_schema(value, schema: dict | bool, at: str = "$") -> list[str]:
+    """What of a JSON schema a value does not meet, as 'path: rule', in the order of the schema's rules."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: nothing is allowed"]
+    out: list[str] = []
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    for rule, want in schema.items():
+        bad = False
+        if rule == "type":
+            bad = not any(_is_kind(value, k) for k in ([want] if isinstance(want, str) else want))
+        elif rule in ("enum", "const"):
+            bad = not any(x == value and type(x) is type(value) or number and x == value and not isinstance(x, bool) for x in (want if rule == "enum" else [want]))
+        elif number and rule in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"):
+            bad = {"minimum": lambda: value < want, "maximum": lambda: value > want, "exclusiveMinimum": lambda: value <= want, "exclusiveMaximum": lambda: value >= want, "multipleOf": lambda: abs(value / want - round(value / want)) > 1e-9}[rule]()
+        elif isinstance(value, str) and rule in ("minLength", "maxLength", "pattern"):
+            bad = {"minLength": lambda: len(value) < want, "maxLength": lambda: len(value) > want, "pattern": lambda: not re.search(want, value)}[rule]()
+        elif isinstance(value, list) and rule in ("minItems", "maxItems", "uniqueItems", "items", "contains"):
+            if rule == "items":
+                out += [e for i, x in enumerate(value) for e in check_schema(x, want, f"{at}[{i}]")]
+            bad = {"minItems": lambda: len(value) < want, "maxItems": lambda: len(value) > want, "uniqueItems": lambda: want and len({_dumps(x) for x in value}) < len(value), "items": lambda: False, "contains": lambda: all(check_schema(x, want) for x in value)}[rule]()
+        elif isinstance(value, dict) and rule in ("required", "properties", "patternProperties", "additionalProperties", "minProperties", "maxProperties", "dependentRequired"):
+            if rule == "required":
+                out += [f"{at}.{k}: required" for k in want if k not in value]
+            elif rule == "properties":
+                out += [e for k, sub in want.items() if k in value for e in check_schema(value[k], sub, f"{at}.{k}")]
+            elif rule == "patternProperties":
+                out += [e for p, sub in want.items() for k, x in value.items() if re.search(p, k) for e in check_schema(x, sub, f"{at}.{k}")]
+            elif rule == "additionalProperties":
+                known = lambda k: k in schema.get("properties", {}) or any(re.search(p, k) for p in schema.get("patternProperties", {}))
+                out += [e if isinstance(want, dict) else f"{at}.{k}: not allowed" for k, x in value.items() if not known(k) for e in check_schema(x, want, f"{at}.{k}")]
+            elif rule == "dependentRequired":
+                out += [f"{at}.{n}: required with {k}" for k, need in want.items() if k in value for n in need if n not in value]
+            else:
+                bad = len(value) < want if rule == "minProperties" else len(value) > want
+        elif rule == "allOf":
+            out += [e for sub in want for e in check_schema(value, sub, at)]
+        elif rule in ("anyOf", "oneOf"):
+            good = sum(not check_schema(value, sub, at) for sub in want)
+            bad = good == 0 if rule == "anyOf" else good != 1
+        elif rule == "not":
+            bad = not check_schema(value, want, at)
+        elif rule == "if":
+            branch = schema.get("then", True) if not check_schema(value, want, at) else schema.get("else", True)
+            out += check_schema(value, branch, at)
+        if bad:
+            out.append(f"{at}: {rule}")
+    return out
+
+
+def json_schema_errors(doc: Column, schema: dict) -> Column:
+    """What of a JSON schema documents don't meet (empty for valid ones); a malformed document has '$: malformed', null stays null."""
+
+    def one(text: str) -> list[str]:
+        try:
+            return check_schema(json.loads(text), schema)
+        except ValueError:
+            return ["$: malformed"]
+
+    return _udf(one, "array<string>")(doc)
+
+
+def geo_near(doc: Column, path: str, lon: float, lat: float, most: float | None = None, least: float = 0.0) -> Column:
+    """$near: whether a GeoJSON point at a path is between two distances in metres from a place."""
+    from skeinql.operators.spatial import haversine
+
+    x, y = (F.get_json_object(doc, f"{path}.coordinates[{k}]").cast("double") for k in (0, 1))
+    d = haversine(y, x, F.lit(lat), F.lit(lon))
+    return F.coalesce((d >= least) & (d <= most if most is not None else F.lit(True)), F.lit(False))
+
+
+def geo_within_box(doc: Column, path: str, low: tuple[float, float], high: tuple[float, float]) -> Column:
+    """$geoWithin with $box: longitudes and latitudes between two corners."""
+    x, y = (F.get_json_object(doc, f"{path}.coordinates[{k}]").cast("double") for k in (0, 1))
+    return F.coalesce(x.between(low[0], high[0]) & y.between(low[1], high[1]), F.lit(False))
+
+
+def geo_relates(doc: Column, path: str, geometry: dict, how: str = "intersects") -> Column:
+    """$geoIntersects and $geoWithin (how: within) with a GeoJSON geometry, in the plane."""
+    from skeinql.operators import planar
+
+    shape = (geometry["type"].upper(), geometry["coordinates"])
+
+    def one(text: str) -> bool:
+        found = _loads(text)
+        if not isinstance(found, dict) or "coordinates" not in found:
+            return False
+        own = (str(found["type"]).upper(), found["coordinates"])
+        return planar.covers(shape, own) if how == "within" else planar.intersects(own, shape)
+
+    return F.coalesce(_udf(one, "boolean")(F.get_json_object(doc, path)), F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Sequence
 
@@ -84,17 +85,77 @@ def search(df: DataFrame, algorithm: str, numeric: Sequence[str], label: str, gr
     return fitted.bestModel, max(scores) if judge.isLargerBetter() else min(scores)
 
 
+def feature_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """(feature, variance, correlation): of each numeric feature, in one pass."""
+    one = df.agg(*[F.struct(F.var_samp(c).alias("variance"), F.abs(F.corr(c, label)).alias("correlation")).alias(c) for c in features])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["variance"].alias("variance"), F.col(c)["correlation"].alias("correlation")) for c in features])
+    return one.select(F.inline(rows))
+
+
+def select_features(df: DataFrame, features: Sequence[str], label: str, k: int | None = None, least_variance: float = 0.0) -> list[str]:
+    """Features whose variance is above a least one, the k that correlate most with the label (of equals the first by name)."""
+    rows = feature_scores(df, features, label).where(F.col("variance") > least_variance).orderBy(F.desc_nulls_last("correlation"), "feature").collect()
+    return [r.feature for r in rows][:k]
+
+
+def explain_linear(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """(feature, coefficient, mean): least squares of the label on the features as they are; '' is the intercept.
+
+    A row's prediction is the intercept plus the sum of coefficient * value; contributions() tells each part.
+    """
+    model = Pipeline(stages=[X.VectorAssembler(inputCols=list(features), outputCol="features"), G.LinearRegression(featuresCol="features", labelCol=label, solver="normal")]).fit(df).stages[-1]
+    means = df.agg(*[F.avg(c).alias(c) for c in features]).first()
+    rows = [(c, float(w), float(means[c])) for c, w in zip(features, model.coefficients)] + [("", float(model.intercept), 1.0)]
+    return df.sparkSession.createDataFrame(rows, "feature string, coefficient double, mean double")
+
+
+def contributions(df: DataFrame, explained: DataFrame, features: Sequence[str]) -> DataFrame:
+    """df with a column for each feature: how much its value moves the prediction away from that of the mean row."""
+    w = {r.feature: (r.coefficient, r.mean) for r in explained.collect()}  # a row for each feature
+    return df.withColumns({f"{c}_contribution": F.lit(w[c][0]) * (F.col(c) - F.lit(w[c][1])) for c in features})
+
+
+def with_interval(predicted: DataFrame, residuals: DataFrame, label: str, z: float = 1.96) -> DataFrame:
+    """predicted with low and high: z standard deviations of the residuals of some labelled, predicted rows beside each prediction."""
+    sd = residuals.agg(F.stddev_samp(F.col(label) - F.col("prediction")).alias("_sd"))
+    return predicted.crossJoin(F.broadcast(sd)).withColumns({"low": F.col("prediction") - z * F.col("_sd"), "high": F.col("prediction") + z * F.col("_sd")}).drop("_sd")
+
+
+def ab_assignment(df: DataFrame, key: Sequence[str], shares: dict[str, float], seed: int = 1) -> DataFrame:
+    """df with variant, by a hash of the key and the variants' shares, so that a key always gets the same."""
+    u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    total, variant = 0.0, None
+    for name, share in shares.items():
+        total += share
+        variant = F.when(u < total, name) if variant is None else variant.when(u < total, name)
+    return df.withColumn("variant", variant.otherwise(list(shares)[-1]))
+
+
 class ModelRegistry:
-    """Named models with versions under a folder."""
+    """Named models with versions under a folder, whose list is kept there."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root, self.entries = spark, root.rstrip("/"), {}
+        self.spark, self.root = spark, root.rstrip("/")
+        fs, p = self._fs(f"{self.root}/models.json")
+        self.entries: dict[str, list[dict]] = json.loads("".join(r.value for r in spark.read.text(f"{self.root}/models.json", wholetext=True).collect())) if fs.exists(p) else {}
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _keep(self) -> None:
+        fs, p = self._fs(f"{self.root}/models.json")
+        fs.mkdirs(p.getParent())
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps(self.entries).encode()))
+        out.close()
 
     def register(self, name: str, model: PipelineModel, **about) -> int:
         version = len(self.entries.setdefault(name, [])) + 1
         path = f"{self.root}/{name}/{version}"
         model.write().overwrite().save(path)
         self.entries[name].append({"path": path, "at": time.time(), "about": json.dumps(about)})
+        self._keep()
         return version
 
     def load(self, name: str, version: int | None = None) -> PipelineModel:
@@ -102,3 +163,23 @@ class ModelRegistry:
 
     def drop(self, name: str) -> None:
         del self.entries[name]
+        fs, p = self._fs(f"{self.root}/{name}")
+        fs.delete(p, True)
+        self._keep()
+
+    def execute(self, text: str) -> DataFrame | int | None:
+        """CREATE MODEL name USING algorithm FEATURES (a, b) [TARGET y] AS SELECT ...; RETRAIN MODEL name AS SELECT ...;
+        PREDICT name AS SELECT ... (the rows with prediction); DROP MODEL name. A version number for the first two."""
+        rest = r"\s+AS\s+(SELECT\s.*)"
+        if m := re.fullmatch(r"\s*CREATE\s+MODEL\s+(\w+)\s+USING\s+(\w+)\s+FEATURES\s*\(([^)]*)\)(?:\s+TARGET\s+(\w+))?" + rest, text, re.I | re.S):
+            about = {"algorithm": m[2].lower(), "features": [c.strip() for c in m[3].split(",")], "label": m[4]}
+            model = create_model(self.spark.sql(m[5]), about["algorithm"], about["features"], about["label"])
+            return self.register(m[1], model, **about)
+        if m := re.fullmatch(r"\s*RETRAIN\s+MODEL\s+(\w+)" + rest, text, re.I | re.S):
+            about = json.loads(self.entries[m[1]][-1]["about"])
+            return self.register(m[1], create_model(self.spark.sql(m[2]), about["algorithm"], about["features"], about["label"]), **about)
+        if m := re.fullmatch(r"\s*PREDICT\s+(\w+)" + rest, text, re.I | re.S):
+            return predict(self.load(m[1]), self.spark.sql(m[2]))
+        if m := re.fullmatch(r"\s*DROP\s+MODEL\s+(\w+)\s*", text, re.I):
+            return self.drop(m[1])
+        raise ValueError("not a statement about models")

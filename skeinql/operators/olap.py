@@ -57,3 +57,28 @@ class Cube:
     def pivot(self, rows: Sequence[str], column: str, measure: str, values: Sequence | None = None) -> DataFrame:
         """One column for each value. Naming the values saves the pass that finds them."""
         return self.facts.groupBy(*rows).pivot(column, values).agg(self.measures[measure])
+
+
+class StarSchema:
+    """A fact table and its dimensions: questions name attributes as dimension.attribute, and only dimensions they name are joined."""
+
+    def __init__(self, fact: DataFrame) -> None:
+        self.fact = fact
+        self.dimensions: dict[str, tuple[DataFrame, str, str]] = {}
+
+    def dimension(self, name: str, table: DataFrame, fact_key: str, key: str) -> "StarSchema":
+        """key must be unique in the dimension."""
+        self.dimensions[name] = (table, fact_key, key)
+        return self
+
+    def query(self, by: Sequence[str], where: str | None = None, **measures: Column) -> DataFrame:
+        """Measures by attributes; where is SQL over dimension.attribute and fact columns."""
+        import re
+
+        named = set(re.findall(r"\b(\w+)\.\w+", " ".join([*by, where or ""]))) & set(self.dimensions)
+        rows = self.fact.alias("fact")
+        for n in sorted(named):
+            table, fact_key, key = self.dimensions[n]
+            rows = rows.join(table.alias(n), F.col(f"fact.{fact_key}") == F.col(f"{n}.{key}"), "left")
+        rows = rows if where is None else rows.where(where)
+        return rows.groupBy(*[F.col(a).alias(a.replace(".", "_")) for a in by]).agg(*[m.alias(n) for n, m in measures.items()])

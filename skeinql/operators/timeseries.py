@@ -243,8 +243,12 @@ def holt_winters(df: DataFrame, by: Sequence[str], ts: str, value: str, periods:
     return df.select(*by, ts, value).groupBy(*by).applyInPandas(run, f"{kinds}, step int, forecast double")
 
 
-def autoregression(df: DataFrame, by: Sequence[str], ts: str, value: str, periods: int, order: int = 2, difference: int = 0) -> DataFrame:
-    """(by, step, forecast): AR of an order on differenced values, fitted by least squares for each series."""
+def autoregression(df: DataFrame, by: Sequence[str], ts: str, value: str, periods: int, order: int = 2, difference: int = 0, moving: int = 0) -> DataFrame:
+    """(by, step, forecast): ARIMA(order, difference, moving) fitted by least squares for each series.
+
+    The moving-average part is fitted in two steps: a longer autoregression gives the shocks, on which and on
+    past values the series is then regressed; shocks to come are zero.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -254,14 +258,26 @@ def autoregression(df: DataFrame, by: Sequence[str], ts: str, value: str, period
         for _ in range(difference):
             heads.append(x[-1])
             x = np.diff(x)
-        if len(x) > 2 * order:
-            rows = np.column_stack([np.ones(len(x) - order), *(x[order - k - 1 : len(x) - k - 1] for k in range(order))])
-            coef = np.linalg.lstsq(rows, x[order:], rcond=None)[0]
+
+        def lagged(v: np.ndarray, n: int, first: int) -> list[np.ndarray]:
+            return [v[first - k - 1 : len(v) - k - 1] for k in range(n)]
+
+        shocks, first = np.zeros(len(x)), order
+        if moving and len(x) > 2 * (order + moving) + moving:
+            long = order + moving
+            rows = np.column_stack([np.ones(len(x) - long), *lagged(x, long, long)])
+            shocks[long:] = x[long:] - rows @ np.linalg.lstsq(rows, x[long:], rcond=None)[0]
+            first = long + moving
+        q = moving if first > order else 0
+        if len(x) > 2 * first:
+            rows = np.column_stack([np.ones(len(x) - first), *lagged(x, order, first), *lagged(shocks, q, first)])
+            coef = np.linalg.lstsq(rows, x[first:], rcond=None)[0]
         else:
-            coef = np.array([x.mean() if len(x) else 0.0, *[0.0] * order])
-        past, found = list(x), []
+            coef = np.array([x.mean() if len(x) else 0.0, *[0.0] * (order + q)])
+        past, past_shocks, found = list(x), list(shocks), []
         for _ in range(periods):
-            past.append(float(coef[0] + sum(c * v for c, v in zip(coef[1:], past[::-1]))))
+            past.append(float(coef[0] + sum(c * v for c, v in zip(coef[1 : order + 1], past[::-1])) + sum(c * v for c, v in zip(coef[order + 1 :], past_shocks[::-1]))))
+            past_shocks.append(0.0)
             found.append(past[-1])
         out = np.array(found)
         for h in reversed(heads):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinql.operators import graph as G
+from skeinql.operators import hypergraph as X
 from skeinql.queries._base import Registry, table
 
 R = Registry()
@@ -206,3 +207,81 @@ def lineage(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"))
     s = table(spark, d, "supplier").select((F.col("s_nationkey") + 100).cast("long").alias("src"), (F.col("s_suppkey") + 1000).alias("dst"))
     return G.lineage(n.union(s), 2, 3)
+
+
+# --- hyperedges, time, content and patterns ---------------------------------------------------------
+def _baskets(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as hyperedges over suppliers."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("edge"), F.col("l_suppkey").alias("vertex"))
+
+
+_M = "m AS MATERIALIZED (SELECT DISTINCT l_orderkey AS edge, l_suppkey AS vertex FROM lineitem)"
+
+
+@R.add("hyper_degrees", f"WITH {_M}, n AS (SELECT a.vertex, count(DISTINCT b.vertex) AS neighbours FROM m a JOIN m b ON a.edge = b.edge AND a.vertex <> b.vertex GROUP BY a.vertex) SELECT m.vertex, count(*) AS degree, coalesce(max(neighbours), 0) AS neighbours FROM m LEFT JOIN n ON n.vertex = m.vertex GROUP BY m.vertex")
+def hyper_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return X.hyper_degrees(_baskets(spark, d))
+
+
+@R.add("hyper_incident", f"WITH {_M} SELECT edge FROM m WHERE vertex IN (1, 2) GROUP BY edge HAVING count(*) = 2")
+def hyper_incident(spark: SparkSession, d: str) -> DataFrame:
+    return X.incident(_baskets(spark, d), [1, 2])
+
+
+@R.add("hyper_expansion", f"WITH {_M} SELECT a.vertex AS src, b.vertex AS dst, count(*) AS weight FROM m a JOIN m b ON a.edge = b.edge AND a.vertex < b.vertex GROUP BY 1, 2")
+def hyper_expansion(spark: SparkSession, d: str) -> DataFrame:
+    return X.clique_expansion(_baskets(spark, d))
+
+
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' nations to suppliers' nations, at the time of shipping."""
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_suppkey", F.col("l_shipdate").alias("t"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").cast("long").alias("src"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("dst"))
+    return l.join(o, "k").join(c, "c").join(s, "l_suppkey").select("src", "dst", "t")
+
+
+_TIMED = "e AS MATERIALIZED (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, l_shipdate AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
+
+
+@R.add("graph_temporal_activity", f"WITH {_TIMED}, x AS (SELECT *, time_bucket(INTERVAL 7 DAY, t, TIMESTAMP '1970-01-01') AS start, row_number() OVER (PARTITION BY src, dst ORDER BY t) AS i FROM e), v AS (SELECT start, count(DISTINCT v) AS vertices FROM (SELECT start, src AS v FROM x UNION ALL SELECT start, dst FROM x) GROUP BY start) SELECT x.start, max(vertices) AS vertices, count(*) AS edges, count(*) FILTER (WHERE i = 1) AS new_edges FROM x JOIN v USING (start) GROUP BY x.start")
+def temporal_activity(spark: SparkSession, d: str) -> DataFrame:
+    return X.activity(_timed(spark, d), "t", "7 days")
+
+
+@R.add("graph_temporal_gaps", f"WITH {_TIMED}, v AS (SELECT src AS id, t FROM e UNION ALL SELECT dst, t FROM e) SELECT id, count(*) AS contacts, round((epoch_us(max(t)) - epoch_us(min(t))) / nullif(count(*) - 1, 0) / 1e6, 3) AS mean_gap FROM v GROUP BY id")
+def temporal_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return X.gaps(_timed(spark, d), "t").withColumn("mean_gap", F.round("mean_gap", 3))
+
+
+@R.add("graph_similar_items", "WITH p AS (SELECT p_partkey AS id, [CAST(p_size AS DOUBLE), p_retailprice / 100, CAST(p_partkey % 7 AS DOUBLE)] AS f FROM part), m AS (SELECT [avg(f[1]), avg(f[2]), avg(f[3])] AS c FROM p WHERE id IN (3, 5, 8)) SELECT id, round(list_dot_product(f, c) / sqrt(list_dot_product(f, f) * list_dot_product(c, c)), 9) AS score FROM p, m WHERE id NOT IN (3, 5, 8) ORDER BY list_dot_product(f, c) / sqrt(list_dot_product(f, f) * list_dot_product(c, c)) DESC, id LIMIT 10")
+def similar_items(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100, (F.col("p_partkey") % 7).cast("double")).alias("features"))
+    return X.similar_items(p, [3, 5, 8], 10).withColumn("score", F.round("score", 9))
+
+
+@R.add("graph_csr", f"WITH {E}, r AS (SELECT src AS id, count(*) AS length FROM e GROUP BY src) SELECT id, coalesce(CAST(sum(length) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS \"offset\", length FROM r")
+def graph_csr(spark: SparkSession, d: str) -> DataFrame:
+    return X.compressed_rows(_edges(spark, d))
+
+
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers, nations and regions with their properties, and edges 'in' between them."""
+    s = table(spark, d, "supplier").select((F.col("s_suppkey") + 1000).alias("id"), F.lit("Supplier").alias("label"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    n = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("id"), F.lit("Nation").alias("label"), F.col("n_name").alias("name"), F.lit(None).cast("double").alias("balance"))
+    r = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.lit("Region").alias("label"), F.col("r_name").alias("name"), F.lit(None).cast("double").alias("balance"))
+    es = table(spark, d, "supplier").select((F.col("s_suppkey") + 1000).alias("src"), (F.col("s_nationkey") + 100).cast("long").alias("dst"), F.lit("in").alias("label"))
+    en = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("dst"), F.lit("in").alias("label"))
+    return s.union(n).union(r), es.union(en)
+
+
+@R.add("graph_query_pattern", "SELECT s_name AS supplier, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 0 AND r_name = 'ASIA'")
+def query_pattern(spark: SparkSession, d: str) -> DataFrame:
+    return X.query(*_labelled(spark, d), "MATCH (s:Supplier)-[:in]->(n:Nation), (n)-[:in]->(r:Region) WHERE s.balance > 0 AND r.name = 'ASIA' RETURN s.name AS supplier, n.name AS nation")
+
+
+@R.add("graph_query_paths", "SELECT r_name AS region, count(*) AS n FROM (SELECT n_regionkey FROM nation UNION ALL SELECT n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def query_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Whatever is one or two steps away from a region, against the direction of the edges."""
+    return X.query(*_labelled(spark, d), "MATCH (r:Region)<-[:in*1..2]-(x) RETURN r.name AS region, count(x.id) AS n")

@@ -261,7 +261,7 @@ SELECT user_id, ts AS start, CASE WHEN t3 = 'click' AND ts3 <= ts + INTERVAL 12
 def cep_within(spark: SparkSession, d: str) -> DataFrame:
     """A greedy step takes what the time limit leaves: a view and one or two clicks within 12 hours."""
     steps = [cep.Step("v", _is("view")), cep.Step("c", _is("click"), (1, 2))]
-    return cep.match(table(spark, d, "events"), ["user_id"], "ts", steps, within_seconds=43200, skip="to_next", value="value", tie=["event_id"]).withColumn("total", F.round("total", 6))
+    return cep.match(table(spark, d, "events"), ["user_id"], "ts", steps, within_seconds=43200, skip="to_next", value="value", tie=["event_id"]).select("user_id", "start", "end", "events", F.round("total", 6).alias("total"))
 
 
 @R.add("cep_pattern")
