@@ -1,7 +1,7 @@
 """String functions by their T-SQL and PL/SQL names, as Column expressions.
 
 Lengths and positions count characters; DATALENGTH counts bytes. LEN ignores trailing blanks, and
-SUBSTRING from a start below 1 is empty. SOUNDEX is Spark's (H and W don't separate equal codes).
+SUBSTRING from a start below 1 is empty. SOUNDEX of text without a letter is 0000, and vowels, H, W and Y all separate equal codes.
 """
 
 from __future__ import annotations
@@ -22,10 +22,18 @@ def concat(*xs) -> Column:
 
 def difference(a, b) -> Column:
     """How many of the four places of both SOUNDEX codes agree."""
-    x, y = F.soundex(_c(a)), F.soundex(_c(b))
+    x, y = soundex(a), soundex(b)
     return sum(((F.substring(x, i, 1) == F.substring(y, i, 1)).cast("int") for i in range(2, 5)), (F.substring(x, 1, 1) == F.substring(y, 1, 1)).cast("int"))
 
 
+def soundex(s) -> Column:
+    """The first letter and the codes of those after it, without repeats and uncoded letters, as four places."""
+    letters = F.regexp_replace(F.upper(_c(s)), F.lit("[^A-Z]"), F.lit(""))
+    codes = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01230120022455012623010202")
+    rest = F.regexp_replace(F.substring(F.regexp_replace(codes, F.lit(r"(\d)\1+"), F.lit("$1")), 2, 1 << 30), F.lit("0"), F.lit(""))
+    return F.when(letters == "", F.lit("0000")).otherwise(F.rpad(F.concat(F.substring(letters, 1, 1), rest), 4, "0"))
+
+
 def patindex(pattern: str, s) -> Column:
     """1-based place where a LIKE pattern first matches, 0 if nowhere. Without a leading % it must match at the start."""
     regex = "".join({"%": ".*?", "_": "."}.get(ch, "\\" + ch if ch in r"\.^$|?*+()[]{}" else ch) for ch in pattern.strip("%"))
@@ -94,7 +102,7 @@ STRING_FUNCTIONS = {
     "REVERSE": lambda s: F.reverse(_c(s)),
     "RIGHT": lambda s, n: F.right(_c(s), _c(n)),
     "RTRIM": lambda s: F.rtrim(_c(s)),
-    "SOUNDEX": lambda s: F.soundex(_c(s)),
+    "SOUNDEX": soundex,
     "SPACE": lambda n: repeat(" ", n),
     "STR": str_,
     "STUFF": stuff,

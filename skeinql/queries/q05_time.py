@@ -82,10 +82,11 @@ def autocorrelation(spark: SparkSession, d: str) -> DataFrame:
     return T.autocorrelation(_hourly(spark, d), ["event_type"], "ts", "value", [1, 2, 3, 24]).withColumn("r", F.round("r", 6))
 
 
-@R.add("seasonality")
+@R.add("seasonality", """WITH w AS (SELECT range AS t, 10 * sin(range * 3.141592653589793 / 6) + (range * 7) % 3 AS v FROM range(240)), m AS (SELECT t, v - avg(v) OVER () AS x FROM w), r AS (SELECT k, sum(a.x * b.x) / (SELECT sum(x * x) FROM m) AS r FROM m a JOIN (SELECT unnest(generate_series(2, 30)) AS k) ON true JOIN m b ON b.t = a.t - k GROUP BY k)
+SELECT 'wave' AS s, CAST(k AS INT) AS period, round(r, 9) AS strength FROM r WHERE r > 0.5 ORDER BY r DESC, k LIMIT 1""")
 def seasonality(spark: SparkSession, d: str) -> DataFrame:
     wave = spark.range(240).select(F.lit("wave").alias("s"), F.col("id").alias("ts"), (10 * F.sin(F.col("id") * 3.141592653589793 / 6) + F.pmod(F.col("id") * 7, F.lit(3))).alias("value"))
-    return T.seasonality(wave, ["s"], "ts", "value", 30)
+    return T.seasonality(wave, ["s"], "ts", "value", 30).withColumn("strength", F.round("strength", 9))
 
 
 @R.add("decompose", f"""WITH {HOURLY}, {RN}, t AS (SELECT *, (i - 1) % 24 AS k, avg(value) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS trend FROM n), s AS (SELECT *, avg(value - trend) OVER (PARTITION BY event_type, k) AS seasonal FROM t)
@@ -135,9 +136,17 @@ def outliers_ewma(spark: SparkSession, d: str) -> DataFrame:
     return T.outliers_ewma(_hourly(spark, d), ["event_type"], "ts", "value", 0.3, 200.0).where("outlier").select("event_type", "ts")
 
 
-@R.add("holt_winters")
+_HW = f"""WITH RECURSIVE {HOURLY}, {RN}, b AS (SELECT event_type, list(value ORDER BY i) AS x FROM n GROUP BY event_type),
+s0 AS (SELECT event_type, x, list_sum(x[1:24]) / 24 AS l, list_sum(x[25:48]) / 24 AS l2 FROM b),
+z AS (SELECT event_type, 0 AS i, x, l AS level, (l2 - l) / 24 / 1.0 AS slope, list_transform(x[1:24], lambda v: v - l) AS s FROM s0
+UNION ALL SELECT event_type, i + 1, x, 0.3 * (x[i + 1] - s[i % 24 + 1]) + 0.7 * (level + slope), 0.1 * (0.3 * (x[i + 1] - s[i % 24 + 1]) + 0.7 * (level + slope) - level) + 0.9 * slope,
+ list_transform(s, lambda v, k: CASE WHEN k = i % 24 + 1 THEN 0.1 * (x[i + 1] - (0.3 * (x[i + 1] - s[i % 24 + 1]) + 0.7 * (level + slope))) + 0.9 * v ELSE v END) FROM z WHERE i < len(x))
+SELECT event_type, CAST(h AS INT) AS step, round(level + h * slope + s[(len(x) + h - 1) % 24 + 1], 6) AS forecast FROM z, (SELECT unnest(generate_series(1, 12)) AS h) WHERE i = len(x)"""
+
+
+@R.add("holt_winters", _HW)
 def holt_winters(spark: SparkSession, d: str) -> DataFrame:
-    return T.holt_winters(_hourly(spark, d), ["event_type"], "ts", "value", 12, season=24)
+    return T.holt_winters(_hourly(spark, d), ["event_type"], "ts", "value", 12, season=24).withColumn("forecast", F.round("forecast", 6))
 
 
 @R.add("autoregression")

@@ -91,6 +91,6 @@ def alerts(spark: SparkSession, d: str) -> DataFrame:
     return S.drain(S.alerts(_events(spark, d), {"high": F.col("value") > 150, "error": F.col("event_type") == "error"}).select("event_id", "alert"))
 
 
-@R.add("stream_stateful_sequence")
+@R.add("stream_stateful_sequence", "SELECT user_id AS k, count(*) FILTER (WHERE event_type = 'purchase' AND before = 'view') AS matches FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id, event_type IN ('view', 'purchase') ORDER BY ts) AS before FROM events) GROUP BY user_id")
 def stateful(spark: SparkSession, d: str) -> DataFrame:
     return S.drain(S.sequence_counts(_events(spark, d), "user_id", "ts", F.col("event_type") == "view", F.col("event_type") == "purchase"), "update")

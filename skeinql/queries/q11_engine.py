@@ -273,6 +273,16 @@ _classifier("random_forest", numTrees=10, seed=1)
 _classifier("neural_network", layers=[2, 6, 2], seed=1, maxIter=60)
 
 
+@R.add("ml_naive_bayes_rows", """WITH c AS (SELECT CASE WHEN l_extendedprice > 40000 THEN 1 ELSE 0 END AS k, l_quantity AS q, l_tax AS t FROM lineitem), e AS (SELECT 1e-9 * greatest(var_pop(q), var_pop(t)) AS eps FROM c),
+m AS (SELECT k, ln((count(*) + 1.0) / ((SELECT count(*) FROM c) + 2.0)) AS prior, avg(q) AS mq, avg(t) AS mt, var_pop(q) + max(eps) AS vq, var_pop(t) + max(eps) AS vt FROM c, e GROUP BY k),
+s AS (SELECT l_quantity, l_tax, k, prior - 0.5 * (ln(vq) + ln(vt) + power(l_quantity - mq, 2) / vq + power(l_tax - mt, 2) / vt) AS score FROM (SELECT DISTINCT l_quantity, l_tax FROM lineitem), m) SELECT l_quantity, l_tax, CAST(max_by(k, score) AS DOUBLE) AS prediction FROM s GROUP BY l_quantity, l_tax""")
+def ml_naive_bayes_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's prediction by the densities of both classes, for each pair of values that occurs."""
+    x = table(spark, d, "lineitem").select("l_quantity", "l_tax", (F.col("l_extendedprice") > 40000).cast("double").alias("dear"))
+    m = L.create_model(x, "naive_bayes", ["l_quantity", "l_tax"], "dear", scale=None, modelType="gaussian")
+    return L.predict(m, x).select("l_quantity", "l_tax", "prediction").distinct()
+
+
 @R.add("ml_kmeans", "SELECT 3 AS clusters")
 def ml_kmeans(spark: SparkSession, d: str) -> DataFrame:
     x = _features(spark, d)

@@ -1,4 +1,4 @@
-"""Every registered query of the engine runs, and equals its SQL on an independent engine where it has one."""
+"""Every registered query of the engine equals its SQL on an independent engine; the few that have none are held against plain loops in test_semantics and test_planar."""
 
 import pytest
 
@@ -15,8 +15,7 @@ def test_equals_oracle(name, spark, duck, same):
 
 @pytest.mark.parametrize("name", sorted(set(ALL) - set(ORACLES)))
 def test_runs(name, spark):
-    assert ALL[name](spark, DATA).columns is not None
-    assert ALL[name](spark, DATA).count() >= 0
+    assert ALL[name](spark, DATA).count() > 0
 
 
 def test_entry(spark):

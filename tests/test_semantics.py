@@ -27,6 +27,14 @@ def test_strings(spark):
         call("NO_SUCH", lit(1))
 
 
+def test_soundex_and_hashes(spark):
+    import xxhash
+
+    code = lambda x: call("SOUNDEX", F.lit(x))
+    assert one(spark, *map(code, ["Robert", "Tymczak", "Ashcraft", "", "123", "a"])) == ("R163", "T522", "A226", "0000", "0000", "A000")  # H separates equal codes here
+    assert one(spark, call("XXHASH64", F.lit("abc")))[0] == xxhash.xxh64_intdigest("abc", 42) - (1 << 64) * (xxhash.xxh64_intdigest("abc", 42) >> 63)
+
+
 def test_scalars(spark):
     f = SCALAR_FUNCTIONS
     assert one(spark, f["TRUNC"](F.lit(-2.57), 1), f["ROUND"](F.lit(2.5)), f["DECODE"](F.lit(None).cast("int"), None, "null", 1, "one", "other"), f["NVL2"](F.lit(None), 1, 2)) == (-2.5, 3.0, "null", 2)
@@ -120,6 +128,89 @@ def test_patterns_within_time_and_overlapping_conditions(spark):
     assert cep.match(six.withColumn("c", F.when(F.col("i") == 30, "B").otherwise(F.col("c"))), ["k"], "t", [no]).count() == 1
 
 
+def test_pattern_queries_against_plain_loops(spark):
+    """The registered pattern queries, event by event."""
+    from skeinql import queries as engine
+
+    folder = "/root/testdata/sf0.001"
+    by = {}
+    for r in sorted(spark.read.parquet(f"{folder}/events.parquet").collect(), key=lambda r: (r.user_id, r.ts, r.event_id)):
+        by.setdefault(r.user_id, []).append(r)
+    pattern, followed = [], []
+    for user, own in by.items():
+        at = 0
+        while at < len(own):
+            end = at + 1
+            if own[at].event_type == "view":
+                while end < len(own) and own[end].event_type == "click" and (own[end].ts - own[at].ts).total_seconds() <= 3 * 86400:
+                    end += 1
+                if end > at + 1 and end < len(own) and own[end].event_type == "purchase" and (own[end].ts - own[at].ts).total_seconds() <= 3 * 86400:
+                    pattern.append((user, own[at].ts, own[end].ts, end - at + 1, round(sum(r.value for r in own[at : end + 1]), 6)))
+                    at = end + 1
+                    continue
+            at += 1
+        at = 0
+        while at < len(own):
+            later = next((k for k in range(at + 1, len(own)) if own[k].event_type == "purchase"), None) if own[at].event_type == "signup" else None
+            if later is not None and (own[later].ts - own[at].ts).total_seconds() <= 86400:
+                followed.append((user, own[at].ts, own[later].ts))
+                at = later
+            at += 1
+    got = engine.queries()
+    assert sorted(pattern) == sorted((r.user_id, r.start, r.end, r.events, round(r.total, 6)) for r in got["cep_pattern"](spark, folder).collect())
+    assert sorted(followed) == sorted((r.user_id, r.start, r.end) for r in got["cep_followed_by"](spark, folder).collect())
+
+
+def test_pattern_skips_and_gaps(spark):
+    df = spark.createDataFrame([("u", t, "A") for t in (0, 1, 2, 10, 11)], "k string, i int, c string").withColumn("t", F.timestamp_seconds("i"))
+    run = cep.Step("a", F.col("c") == "A", "+")
+    sizes = lambda **how: [r.events for r in sorted(cep.match(df, ["k"], "t", [run], value="i", **how).collect(), key=lambda r: r.start)]
+    assert sizes(each_seconds=2) == [3, 2] and sizes(each_seconds=2, skip="to_next") == [3, 2, 1, 2, 1] and sizes(each_seconds=2, skip="no_prefix") == [3, 2]
+    assert sizes(each_seconds=2, skip="to_last") == [3, 1, 2, 1]
+    first = cep.match(df, ["k"], "t", [run], value="i", each_seconds=2).orderBy("start").first()
+    assert (first.total, first.mean, first.least, first.most, first["first"], first["last"]) == (3.0, 1.0, 0.0, 2.0, 0.0, 2.0)
+
+
+def test_forecasts_against_plain_least_squares(spark):
+    import numpy as np
+
+    from skeinql.operators import timeseries
+
+    rng = np.random.default_rng(8)
+    shocks, x = rng.normal(0, 1, 400), [5.0]
+    for k in range(1, 400):
+        x.append(2 + 0.6 * x[-1] + shocks[k] + 0.5 * shocks[k - 1])
+    df = spark.createDataFrame([("s", k, float(v)) for k, v in enumerate(x)], "s string, t long, v double")
+    rows = np.array([[1, x[k - 1], x[k - 2]] for k in range(2, 400)])
+    a, b, c = np.linalg.solve(rows.T @ rows, rows.T @ np.array(x[2:]))
+    want = [a + b * x[-1] + c * x[-2]]
+    want.append(a + b * want[0] + c * x[-1])
+    got = [r.forecast for r in timeseries.autoregression(df, ["s"], "t", "v", 2).orderBy("step").collect()]
+    assert np.allclose(got, want)
+    moving = [r.forecast for r in timeseries.autoregression(df, ["s"], "t", "v", 1, order=1, moving=1).collect()]
+    assert abs(moving[0] - (2 + 0.6 * x[-1] + 0.5 * shocks[-1])) < 0.4  # near what the true shocks give
+    d = spark.createDataFrame([("s", k, 3.0 * k + 1) for k in range(30)], "s string, t long, v double")
+    assert np.allclose([r.forecast for r in timeseries.autoregression(d, ["s"], "t", "v", 3, order=1, difference=1).orderBy("step").collect()], [91, 94, 97])
+
+
+def test_louvain_finds_planted_communities(spark):
+    cliques = [(10 * c + i, 10 * c + j) for c in range(6) for i in range(6) for j in range(i)]
+    bridges = [(10 * c, 10 * ((c + 1) % 6) + 1) for c in range(6)]
+    e = spark.createDataFrame(cliques + bridges, "src long, dst long")
+    v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    found = graph.louvain(v, e)
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.community, set()).add(r.id // 10)
+    assert all(len(own) <= 2 for own in groups.values()) and graph.modularity(e, found).first().q >= 0.68
+
+
+def test_sample_with_replacement(spark):
+    got = approximate.with_replacement(spark.range(20_000), 0.5, 3)
+    n = got.count()
+    assert abs(n - 10_000) < 500 and got.distinct().count() < n
+
+
 def test_text_search(spark):
     df = spark.createDataFrame([(1, "The quick brown fox"), (2, "quick and brown"), (3, None)], "id int, t string")
     ids = lambda c: [r.id for r in df.where(c).orderBy("id").collect()]
