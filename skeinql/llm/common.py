@@ -55,7 +55,8 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None
     """What is run inside goes to Python in batches of at most so many bytes; documents differ too much in length to bound rows only."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(size))
+    if not 0 < int(before.rstrip("b")) <= size:
+        spark.conf.set(name, str(size))
     try:
         yield
     finally:
