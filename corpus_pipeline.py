@@ -26,6 +26,17 @@ from skeinql.llm.op09_decontaminate import without_contaminated
 CACHE_CHUNKS = 75_000
 
 
+#: Bytes of a batch that goes to Python, in all stages: workers and JVM keep the memory of the largest one.
+BATCH_BYTES = 4 << 20
+
+
+def _modest(spark: SparkSession) -> None:
+    """From here on the session sends small batches to Python; a stage's result is computed after its function has ended."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells; those that it rejects go.
 
@@ -33,6 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal sizes (a tie) have no margin and are rejected; repeated rows stay or go together. Null lang,
     source and doc_id don't matter: dictionaries are learnt from the labelled rows there are.
     """
+    _modest(spark)
     return identified(docs, fit_dictionaries(docs))
 
 
@@ -42,6 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows with one doc_id one stays (with different texts: that with the smallest hash of the row); rows
     without a doc_id and texts without words are nobody's duplicates and stay; long texts are compared whole.
     """
+    _modest(spark)
     return one_of_each(docs)
 
 
@@ -50,6 +63,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have no words and stay; repeated rows stay or go together; long texts are searched whole.
     """
+    _modest(spark)
     return without_contaminated(docs, table_of(spark, sf_dir, "benchmark"))
 
 
@@ -67,6 +81,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null doc_ids come first; rows with one doc_id are all written; a null or empty text is the end id alone.
     """
+    _modest(spark)
     return digests(write_tokens(docs, scratch_path(spark, "corpus-tokens"), cache_chunks=CACHE_CHUNKS))
 
 
