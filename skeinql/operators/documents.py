@@ -129,7 +129,8 @@ def _udf(f: Callable, kind: str = "string"):
 
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
-        return s.map({x: f(x) for x in s.dropna().unique()})
+        known = {x: f(x) for x in s.dropna().unique()}
+        return pd.Series([known.get(x) if isinstance(x, str) else None for x in s], dtype=object)
 
     return run
 

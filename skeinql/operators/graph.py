@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinql.operators.joins import small_side
 from skeinql.session import shared_folder
 
 
@@ -90,8 +91,10 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(label.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
         step = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"))
-        up = step.select(F.col("id").alias("component"), F.col("component").alias("u"))
-        new = _cut(step.join(up, "component", "left").select("id", F.least("component", F.coalesce("u", "component")).alias("component")))
+        step = _cut(step)
+        # labels that point on are few; without the rows that stand for themselves no label is a hot key
+        up = step.select("component").distinct().join(step.where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("u")), "component")
+        new = _cut(step.join(small_side(up), "component", "left").select("id", F.least("component", F.coalesce("u", "component")).alias("component")))
         changed = new.join(label.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
         label = new
         if not changed:
@@ -102,16 +105,17 @@ def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c) with a < b < c, each two joined by an edge of either direction.
 
     Edges go from the vertex of smaller degree (of equals, the smaller id) to the other, so that no vertex has
-    more than sqrt(2 * edges) going out, hubs included, and the pairs of edges out of one vertex stay few.
+    more than sqrt(2 * edges) going out, hubs included; the lists of both ends of an edge are then intersected.
     """
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct()
     d = undirected(edges).groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
     e = e.join(d.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
     first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     e = _cut(e.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y")))
-    two = e.join(e.withColumnRenamed("y", "z"), "x").where("y <> z")
-    three = F.array_sort(F.array("x", "y", "z"))
-    return two.join(e.select(F.col("x").alias("y"), F.col("y").alias("z")), ["y", "z"]).select(three[0].alias("a"), three[1].alias("b"), three[2].alias("c"))
+    ahead = e.groupBy("x").agg(F.collect_list("y").alias("ys"))
+    both = e.join(ahead, "x").join(ahead.select(F.col("x").alias("y"), F.col("ys").alias("zs")), "y")
+    three = both.select("x", "y", F.explode(F.array_intersect("ys", "zs")).alias("z")).select(F.array_sort(F.array("x", "y", "z")).alias("t"))
+    return three.select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:

@@ -103,6 +103,26 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16, how
     return left.where(~is_hot).join(right.where(~is_hot), on, how).unionByName(spread)
 
 
+def bloom_filter(keys: DataFrame, on: str, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:
+    """(bloom): one row with the set bits of all keys as 64-bit words, so bits bounds what is broadcast (8 KB by default)."""
+    spots = F.array(*[F.pmod(F.xxhash64(F.col(on), F.lit(k)), F.lit(bits)) for k in range(hashes)])
+    one = keys.where(F.col(on).isNotNull()).select(F.explode(spots).alias("s"))
+    words = one.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+    held = F.map_from_entries(F.collect_list(F.struct("w", "b")))
+    return words.agg(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bits // 64 - 1).cast("long")), lambda w: F.coalesce(F.try_element_at(held, w), F.lit(0).cast("long"))).alias("bloom"))
+
+
+def bloom_join(left: DataFrame, right: DataFrame, on: str, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:
+    """Inner join of which left rows whose key is surely not on the right are dropped before anything is shuffled."""
+    k = F.col(on)
+    spots = [F.pmod(F.xxhash64(k, F.lit(n)), F.lit(bits)) for n in range(hashes)]
+    maybe = F.lit(True)
+    for s in spots:
+        maybe = maybe & (F.call_function("getbit", F.get("bloom", F.shiftright(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    few = left.crossJoin(F.broadcast(bloom_filter(right, on, bits, hashes))).where(maybe).select(*left.columns)
+    return few.join(right, on)
+
+
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 

@@ -87,7 +87,7 @@ def search(df: DataFrame, algorithm: str, numeric: Sequence[str], label: str, gr
 
 def feature_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """(feature, variance, correlation): of each numeric feature, in one pass."""
-    one = df.agg(*[F.struct(F.var_samp(c).alias("variance"), F.abs(F.corr(c, label)).alias("correlation")).alias(c) for c in features])
+    one = df.agg(*[F.struct(F.var_samp(c).alias("variance"), F.abs(F.covar_pop(c, label) / F.nullif(F.stddev_pop(c) * F.stddev_pop(label), F.lit(0.0))).alias("correlation")).alias(c) for c in features])
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["variance"].alias("variance"), F.col(c)["correlation"].alias("correlation")) for c in features])
     return one.select(F.inline(rows))
 

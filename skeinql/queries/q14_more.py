@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from skeinql.functions.scalars import SCALAR_FUNCTIONS as M
 from skeinql.operators import documents as D
 from skeinql.operators import learning as L
+from skeinql.operators import spatial
 from skeinql.operators.approximate import SampleCatalog
+from skeinql.operators.joins import bloom_join
 from skeinql.operators.olap import StarSchema
 from skeinql.plans.catalog import Catalog, ConstraintError
+from skeinql.plans.memory import ColumnStore, FragmentCache
 from skeinql.plans.materialized import RefreshPolicy, ViewStore
 from skeinql.plans.procedures import Cursor, Package, forall
 from skeinql.queries._base import Registry, table
@@ -270,3 +273,71 @@ def user_aggregate(spark: SparkSession, d: str) -> DataFrame:
     mean = UserAggregate("n long, s double", lambda: (0, 0.0), lambda state, x: (state[0] + len(x), state[1] + float(x.map(math.log).sum())), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: math.exp(s[1] / s[0]), "double")
     out = aggregate(table(spark, d, "orders"), ["o_orderstatus"], "o_totalprice", mean, "geometric_mean")
     return out.withColumn("geometric_mean", F.round("geometric_mean", 4))
+
+
+# --- memory, joins by Bloom filters, routes and features ------------------------------------------
+@R.add("column_store", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, true AS in_memory, false AS other_in_memory FROM orders WHERE o_totalprice > 50000 GROUP BY o_orderstatus")
+def column_store(spark: SparkSession, d: str) -> DataFrame:
+    """Two columns are populated, filtered and aggregated in memory; what wasn't populated comes from files."""
+    store = ColumnStore(1 << 40)
+    store.register("orders", table(spark, d, "orders"))
+    store.want("orders", ["o_orderstatus", "o_totalprice"], priority=5)
+    store.populate()
+    rows, here = store.scan("orders", ["o_orderstatus", "o_totalprice"], "o_totalprice > 50000")
+    _, other = store.scan("orders", ["o_custkey"])
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).withColumns({"in_memory": F.lit(here), "other_in_memory": F.lit(other)})
+
+
+@R.add("fragment_cache", "WITH f AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT (SELECT count(*) FROM f WHERE t > 100000) AS large, (SELECT count(*) FROM f WHERE t <= 100000) AS small, 1 AS hits")
+def fragment_cache(spark: SparkSession, d: str) -> DataFrame:
+    cache = FragmentCache()
+    part = lambda: table(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t"))
+    a, b = cache.shared(part()), cache.shared(part())
+    return a.where("t > 100000").agg(F.count("*").alias("large")).crossJoin(b.where("t <= 100000").agg(F.count("*").alias("small"))).withColumn("hits", F.lit(cache.hits))
+
+
+@R.add("join_bloom", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7")
+def join_bloom(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return bloom_join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), p, "l_partkey").select("l_orderkey", "l_linenumber", "p_name")
+
+
+@R.add("geo_service_area", "SELECT CAST(n_nationkey + 100 AS BIGINT) AS id, CAST(1 + n_nationkey AS DOUBLE) AS distance FROM nation WHERE n_regionkey = 1 AND 1 + n_nationkey <= 15 UNION ALL SELECT CAST(s_suppkey + 1000 AS BIGINT), 2.0 + n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 AND 2 + n_nationkey <= 15 UNION ALL SELECT CAST(1 AS BIGINT), 0.0")
+def service_area(spark: SparkSession, d: str) -> DataFrame:
+    """What lies within a cost of 15 of a region, over its nations (1 and their number) and suppliers (1 more)."""
+    n = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"), (1.0 + F.col("n_nationkey")).alias("w"))
+    s = table(spark, d, "supplier").select((F.col("s_nationkey") + 100).cast("long").alias("src"), (F.col("s_suppkey") + 1000).alias("dst"), F.lit(1.0).alias("w"))
+    return spatial.service_area(n.union(s), 1, 15.0, "w")
+
+
+@R.add("geo_formats", "SELECT n_nationkey, 'LINESTRING (' || n_nationkey || ' 0, 1 ' || n_regionkey || ')' AS wkt, 41 AS bytes, '{\"type\": \"LineString\", \"coordinates\": [[' || n_nationkey || ', 0], [1, ' || n_regionkey || ']]}' AS geojson, round(sqrt(power(n_nationkey - 1.0, 2) + power(n_regionkey, 2)), 9) AS length FROM nation")
+def formats(spark: SparkSession, d: str) -> DataFrame:
+    """WKT to WKB and GeoJSON."""
+    g = F.concat(F.lit("LINESTRING ("), F.col("n_nationkey"), F.lit(" 0, 1 "), F.col("n_regionkey"), F.lit(")"))
+    return table(spark, d, "nation").select("n_nationkey", g.alias("wkt"), F.octet_length(spatial.st_wkb(g)).alias("bytes"), spatial.st_geojson(g).alias("geojson"), F.round(spatial.st_length(g), 9).alias("length"))
+
+
+@R.add("pipeline_replace_root", "SELECT c_nationkey AS nation, c_mktsegment AS segment FROM customer WHERE c_acctbal > 0")
+def replace_root(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_acctbal", F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).alias("home"))
+    return D.aggregate(c, [{"$match": {"c_acctbal": {"$gt": 0}}}, {"$replaceRoot": {"newRoot": "$home"}}])
+
+
+@R.add("ml_impute_index", "WITH x AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS price FROM orders), r AS (SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS i FROM orders GROUP BY 1) SELECT o_orderkey, round(coalesce(price, (SELECT avg(price) FROM x)), 4) AS filled, CAST(i AS DOUBLE) AS code FROM x JOIN r USING (o_orderpriority)")
+def impute_index(spark: SparkSession, d: str) -> DataFrame:
+    """A column's nulls become its mean, and a category its place by frequency."""
+    from pyspark.ml import Pipeline
+
+    x = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("price"))
+    out = Pipeline(stages=L.preprocessing(["price"], ["o_orderpriority"], scale=None, impute="mean")).fit(x).transform(x)
+    return out.select("o_orderkey", F.round("price_filled", 4).alias("filled"), F.col("o_orderpriority_index").alias("code"))
+
+
+@R.add("ml_polynomial", "SELECT l_orderkey, l_linenumber, round(l_quantity + l_quantity * l_quantity + l_tax + l_tax * l_tax + l_quantity * l_tax, 6) AS total FROM lineitem")
+def polynomial(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    out = Pipeline(stages=L.preprocessing(["l_quantity", "l_tax"], scale=None, degree=2)).fit(x).transform(x)
+    return out.select("l_orderkey", "l_linenumber", F.round(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, v: s + v), 6).alias("total"))

@@ -104,17 +104,18 @@ class _SequenceStream(DataSourceStreamReader):
         yield from _rows(partition)
 
 
-class CallSink(DataSource):
-    """Hands rows to a function, some of a partition at a time, with retries: webhooks and other sinks. The function must bear repeats."""
+def call_sink(name: str, function: Callable[[list], None]) -> type[DataSource]:
+    """A sink of this name, to be registered, that hands rows to a function, some of a partition at a time and with retries: webhooks and others. The function must bear repeats."""
 
-    function: Callable[[list], None] | None = None
+    class CallSink(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
 
-    @classmethod
-    def name(cls) -> str:
-        return "skein_call"
+        def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+            return _CallWriter(function, int(self.options.get("retries", 3)), int(self.options.get("batch", 1000)))
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _CallWriter(type(self).function, int(self.options.get("retries", 3)), int(self.options.get("batch", 1000)))
+    return CallSink
 
 
 class _CallWriter(DataSourceWriter):

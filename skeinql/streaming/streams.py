@@ -152,3 +152,25 @@ def compatible(old, new, mode: str = "backward") -> list[str]:
         return out
 
     return (gaps(old, new) if mode in ("backward", "full") else []) + (gaps(new, old) if mode in ("forward", "full") else [])
+
+
+class SchemaRegistry:
+    """Versions of schemas by subject; a new one must be compatible with the last (backward, forward, full) or with all (transitive)."""
+
+    def __init__(self, mode: str = "backward", transitive: bool = False) -> None:
+        self.mode, self.transitive = mode, transitive
+        self._versions: dict[str, list] = {}
+
+    def register(self, subject: str, schema) -> int:
+        """The number of the version; that of an equal one if there is one."""
+        known = self._versions.setdefault(subject, [])
+        if schema in known:
+            return known.index(schema) + 1
+        gaps = [g for old in (known if self.transitive else known[-1:]) for g in compatible(old, schema, self.mode)] if self.mode != "none" else []
+        if gaps:
+            raise ValueError(f"{subject}: " + "; ".join(gaps))
+        known.append(schema)
+        return len(known)
+
+    def get(self, subject: str, version: int | None = None):
+        return self._versions[subject][(version or 0) - 1]
