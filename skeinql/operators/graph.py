@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinql.operators.joins import small_side
 from skeinql.session import shared_folder
 
 
@@ -85,18 +84,23 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, itera
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest vertex that edges reach in either direction."""
+    """(id, component): the smallest vertex that edges reach in either direction.
+
+    A round passes the smallest label along edges, lets each label's vertex take it as well (so whole trees
+    move at once), and halves the way to the smallest by following labels; long chains take few rounds.
+    """
     both = _cut(undirected(edges))
     label = _cut(vertices.select("id", F.col("id").alias("component")))
     while True:
         near = both.join(label.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
-        step = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"))
-        step = _cut(step)
+        hooked = label.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
+        roots = hooked.groupBy(F.col("old").alias("id")).agg(F.min("component").alias("new"))
+        step = _cut(hooked.join(roots, "id", "left").select("id", "old", F.least("component", F.coalesce("new", "component")).alias("component")))
         # labels that point on are few; without the rows that stand for themselves no label is a hot key
         up = step.select("component").distinct().join(step.where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("u")), "component")
-        new = _cut(step.join(small_side(up), "component", "left").select("id", F.least("component", F.coalesce("u", "component")).alias("component")))
-        changed = new.join(label.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        label = new
+        new = _cut(step.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("u", "component")).alias("component")))
+        changed = not new.where("component <> old").isEmpty()
+        label = new.select("id", "component")
         if not changed:
             return label
 

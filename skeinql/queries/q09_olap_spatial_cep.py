@@ -221,9 +221,9 @@ def geo_kmeans(spark: SparkSession, d: str) -> DataFrame:
     return G.kmeans(_points(spark, d), 4, 10)
 
 
-@R.add("geo_dbscan", f"WITH RECURSIVE {_P}, w AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 6.25), k AS MATERIALIZED (SELECT a AS id FROM w GROUP BY a HAVING count(*) >= 4), e AS MATERIALIZED (SELECT a, b FROM w SEMI JOIN k ON w.a = k.id WHERE b IN (SELECT id FROM k)), r(id, seen) AS (SELECT id, id FROM k UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen), c AS MATERIALIZED (SELECT id, min(seen) AS cluster FROM r GROUP BY id), o AS (SELECT w.a AS id, min(c.cluster) AS cluster FROM w JOIN c ON c.id = w.b WHERE w.a NOT IN (SELECT id FROM k) GROUP BY w.a) SELECT p.id, coalesce(c.cluster, o.cluster) AS cluster FROM p LEFT JOIN c ON c.id = p.id LEFT JOIN o ON o.id = p.id")
+@R.add("geo_dbscan", f"WITH RECURSIVE {_P}, w AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 2.25), k AS MATERIALIZED (SELECT a AS id FROM w GROUP BY a HAVING count(*) >= 3), e AS MATERIALIZED (SELECT a, b FROM w SEMI JOIN k ON w.a = k.id WHERE b IN (SELECT id FROM k)), r(id, seen) AS (SELECT id, id FROM k UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen), c AS MATERIALIZED (SELECT id, min(seen) AS cluster FROM r GROUP BY id), o AS (SELECT w.a AS id, min(c.cluster) AS cluster FROM w JOIN c ON c.id = w.b WHERE w.a NOT IN (SELECT id FROM k) GROUP BY w.a) SELECT p.id, coalesce(c.cluster, o.cluster) AS cluster FROM p LEFT JOIN c ON c.id = p.id LEFT JOIN o ON o.id = p.id")
 def geo_dbscan(spark: SparkSession, d: str) -> DataFrame:
-    return G.dbscan(_points(spark, d), 2.5, 4)
+    return G.dbscan(_points(spark, d), 1.5, 3)
 
 
 @R.add("geo_hilbert", f"WITH RECURSIVE {_P}, h(id, s, x, y, place) AS (SELECT id, 64, CAST(x AS BIGINT), CAST(y AS BIGINT), CAST(0 AS BIGINT) FROM p UNION ALL SELECT id, s // 2, CASE WHEN ry = 0 THEN (CASE WHEN rx = 1 THEN s - 1 - b ELSE b END) ELSE a END, CASE WHEN ry = 0 THEN (CASE WHEN rx = 1 THEN s - 1 - a ELSE a END) ELSE b END, place + s * s * xor(3 * rx, ry) FROM (SELECT id, s, place, x & (s - 1) AS a, y & (s - 1) AS b, CASE WHEN x & s > 0 THEN 1 ELSE 0 END AS rx, CASE WHEN y & s > 0 THEN 1 ELSE 0 END AS ry FROM h WHERE s > 0)) SELECT id, CAST(place AS BIGINT) AS place FROM h WHERE s = 0")
