@@ -23,7 +23,7 @@ def small_side(right: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(right) if right.limit(bound + 1).count() <= bound else right
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tolerance: str | None = None, pieces: int = 32) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tolerance: str | None = None, pieces: int = 8) -> DataFrame:
     """Each left row with the values of the last right row at or before it with the same keys (nulls if there is none).
 
     One union and one sort carry the last right row's values forward, within pieces of the time axis: at most
@@ -33,7 +33,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     cuts = right.select(F.unix_micros(F.col(right_time).cast("timestamp")).alias("t") if _is_time(right, right_time) else F.col(right_time).cast("double").alias("t"))
     bounds = sorted(set(cuts.agg(F.percentile_approx("t", [k / pieces for k in range(1, pieces)], 1000)).first()[0] or [])) if pieces > 1 else []
     number = lambda df, c: F.unix_micros(F.col(c).cast("timestamp")) if _is_time(df, c) else F.col(c).cast("double")
-    piece = lambda df, c: F.coalesce(F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + (number(df, c) >= b).cast("int")), F.lit(0)) if bounds else F.lit(0)
+    piece = lambda df, c: F.coalesce(sum(((number(df, c) >= b).cast("int") for b in bounds), F.lit(0)), F.lit(0))
     kept = F.struct(*[F.col(c) for c in left.columns])
     rows = left.select(*by, F.col(left_time).alias("_t"), piece(left, left_time).alias("_p"), F.lit(1).alias("_kind"), kept.alias("_row"), F.lit(None).alias("_v"))
     value = F.struct(F.col(right_time).alias("_at"), *values)

@@ -173,7 +173,8 @@ def _at_rank(df: DataFrame, by: Sequence[str], value: str, places: dict[str, flo
     Approximate percentiles bracket each place, values below a bracket are counted, and only the few inside
     are put in order (counted by value first), so no group is sorted or gathered in one task.
     """
-    slack, near = 2e-4, {n: (max(0.0, p - 2e-4), min(1.0, p + 2e-4)) for n, p in places.items()}
+    slack = 2e-3
+    near = {n: (max(0.0, p - slack), min(1.0, p + slack)) for n, p in places.items()}
     spark, path = df.sparkSession, scratch(df.sparkSession, "brackets")
     x = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     ends = [F.percentile_approx("_v", e, round(4 / slack)).alias(f"_{n}_{k}") for n, pair in near.items() for k, e in enumerate(pair)]
@@ -187,7 +188,9 @@ def _at_rank(df: DataFrame, by: Sequence[str], value: str, places: dict[str, flo
     counted = rows.groupBy(*by, "_place", "_at", "_x").agg(F.count("*").alias("_c"))
     up_to = Window.partitionBy(*by, "_place").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = counted.withColumn("_end", F.sum("_c").over(up_to)).where((F.col("_end") > F.col("_at")) & (F.col("_end") - F.col("_c") <= F.col("_at")))
-    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_place") == n, F.col("_x"))).alias(n) for n in places])
+    out = scratch(spark, "ranks")
+    found.groupBy(*by).agg(*[F.max(F.when(F.col("_place") == n, F.col("_x"))).alias(n) for n in places]).write.parquet(out)
+    return spark.read.parquet(out)
 
 
 def _beside(df: DataFrame, by: Sequence[str], one: DataFrame) -> DataFrame:
