@@ -712,6 +712,17 @@ def test_url_filter_hot_host_long_urls_and_repeats(spark):
     assert {r.page_id: r.verdict for r in got if r.page_id > 1} == {2: "block", 3: "block"} | {10 + k: "block" if k % 2 else "allow" for k in range(400)}
 
 
+def test_url_filter_query_has_the_rules_of_its_contract(spark, tmp_path):
+    """Inside net/de/ all is allowed but example.net/de/8; the other two pairs are the other way round."""
+    want = {
+        "https://a.com/en/1": ("com/en/", "block"), "https://example.com/en/70": ("example.com/en/7", "allow"), "https://a.net/de/8": ("net/de/", "allow"),
+        "https://example.net/de/7": ("net/de/", "allow"), "https://Sub.example.net/de/8#x": ("example.net/de/8", "block"), "https://org/es/": ("org/es/", "block"), "https://a.net/en/": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in QUERIES["op10_url_filter"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_url_filter_is_native(spark):
     plan = QUERIES["op10_url_filter"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|ExistingRDD", plan)
