@@ -88,14 +88,34 @@ def hilbert(x: Column, y: Column, order: int) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["d"])
 
 
-def near_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
-    """(a, b, distance) of points (id, x, y) at most radius apart, by grid cells."""
-    a = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
+#: Ids of one place that go through the grid in one row.
+CHUNK = 4096
+
+_PLACED = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
+
+
+def _near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """Places (x, y, what) at most radius apart, as (ax, ay, a, b, distance), by grid cells; a and b are what they carry."""
+    a = a.where(_PLACED).select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("what").alias("a"), F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = others.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(steps).alias("s"))
-    b = b.select("b", "bx", "by", (F.floor(F.col("bx") / radius) + F.col("s.i")).alias("cx"), (F.floor(F.col("by") / radius) + F.col("s.j")).alias("cy"))
+    b = b.where(_PLACED).select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("what").alias("b"), F.explode(steps).alias("s"))
+    b = b.select("bx", "by", "b", (F.floor(F.col("bx") / radius) + F.col("s.i")).alias("cx"), (F.floor(F.col("by") / radius) + F.col("s.j")).alias("cy"))
     d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("ay") - F.col("by"), F.lit(2.0)))
-    return a.join(b, ["cx", "cy"]).select("a", "b", d.alias("distance")).where(F.col("distance") <= radius)
+    # few rows may stand for much work, so they are dealt by cell and not by the size of a table
+    return a.join(b.hint("merge"), ["cx", "cy"]).select("ax", "ay", "a", "b", d.alias("distance")).where(F.col("distance") <= radius)
+
+
+def _ids(points: DataFrame) -> DataFrame:
+    """(x, y, what): the ids of each place in an array, in several where a place has very many."""
+    points = points.where(_PLACED).select("id", "x", "y")
+    parts = points.groupBy("x", "y").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("parts"))
+    return points.join(parts, ["x", "y"]).groupBy("x", "y", F.pmod(F.xxhash64("id"), "parts").alias("part")).agg(F.collect_list("id").alias("what")).drop("part")
+
+
+def near_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """(a, b, distance) of points (id, x, y) at most radius apart: places meet by grid cells, and their ids are paired last."""
+    near = _near(_ids(points), _ids(others), radius)
+    return near.select(F.explode("a").alias("a"), "b", "distance").select("a", F.explode("b").alias("b"), "distance")
 
 
 def nearest(points: DataFrame, others: DataFrame, k: int, radius: float | None = None) -> DataFrame:

@@ -438,3 +438,16 @@ def test_far_vertices_and_neighbours(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 50.0, 0.0)], "id long, x double, y double")
     got = sorted((r.a, r.b) for r in spatial.nearest(points, points, 2).collect())
     assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2), (3, 3)]
+
+
+def _stacked(spark, n=20_000):
+    """Very many points at one place, some one step away, one far off and two without a place; all pairs would be n * n."""
+    x = F.when(F.col("id") < n, 0.0).when(F.col("id") < n + 3, 1.0).when(F.col("id") == n + 3, 50.0).when(F.col("id") == n + 4, F.lit(float("nan")))
+    return spark.range(n + 6).select("id", x.alias("x"), F.lit(0.0).alias("y"), (F.col("id") % 7).cast("double").alias("v"))
+
+def test_near_pairs_of_places(spark, monkeypatch):
+    """Ids are paired after their places met: each pair once, also where a place is cut into chunks."""
+    monkeypatch.setattr(spatial, "CHUNK", 3)
+    points = _stacked(spark, 40)
+    got = sorted((r.a, r.b, r.distance) for r in spatial.near_pairs(points, points, 2.0).collect())
+    assert got == sorted((a, b, float((a < 40) != (b < 40))) for a in range(44) for b in range(44) if (a == 43) == (b == 43))
