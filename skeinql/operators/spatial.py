@@ -118,27 +118,36 @@ def near_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFrame
     return near.select(F.explode("a").alias("a"), "b", "distance").select("a", F.explode("b").alias("b"), "distance")
 
 
+def _nearest_within(points: DataFrame, others: DataFrame, k: int, radius: float) -> DataFrame:
+    """(a, b, distance) of the k nearest others within the radius (of equally near ones the smaller id), found once for each place."""
+    from pyspark.sql.window import Window
+
+    # more than k of one place are never among the k nearest
+    own = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    first = others.where(_PLACED).select("id", "x", "y").withColumn("n", own).where(F.col("n") <= k).groupBy("x", "y").agg(F.collect_list("id").alias("what"))
+    near = _near(points.select("x", "y", F.lit(None).alias("what")).distinct(), first, radius).select(F.col("ax").alias("x"), F.col("ay").alias("y"), F.explode("b").alias("b"), "distance")
+    rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("distance", "b"))
+    found = near.withColumn("n", rank).where(F.col("n") <= k).groupBy("x", "y").agg(F.collect_list(F.struct("b", "distance")).alias("found"))
+    return points.select(F.col("id").alias("a"), "x", "y").join(found, ["x", "y"]).select("a", F.inline("found"))
+
+
 def nearest(points: DataFrame, others: DataFrame, k: int, radius: float | None = None) -> DataFrame:
     """(a, b, distance) of the k nearest others: of all, or within the radius if one is given.
 
     Without one, a search radius doubles for the points that have fewer others within it.
     """
-    from pyspark.sql.window import Window
-
     from skeinql.operators.graph import _cut
 
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
     if radius is not None:
-        return near_pairs(points, others, radius).withColumn("n", rank).where(F.col("n") <= k).drop("n")
-    placed = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
-    points, others = points.where(placed), others.where(placed)
+        return _nearest_within(points, others, k, radius)
+    points, others = points.where(_PLACED), others.where(_PLACED)
     enough = others.limit(k).count()
     box = points.select("x", "y").union(others.select("x", "y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     far = 0.0 if box[0] is None else ((box[1] - box[0]) ** 2 + (box[3] - box[2]) ** 2) ** 0.5
     radius = far * (k / max(others.count(), 1)) ** 0.5 or 1.0
     out, left = None, points
     while True:
-        found = _cut(near_pairs(left, others, radius).withColumn("n", rank).where(F.col("n") <= k).drop("n"))
+        found = _cut(_nearest_within(left, others, k, radius))
         done = found.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select(F.col("a").alias("id"))
         left = _cut(left.join(done, "id", "left_anti"))
         last = radius > far or left.isEmpty()

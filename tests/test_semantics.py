@@ -451,3 +451,9 @@ def test_near_pairs_of_places(spark, monkeypatch):
     points = _stacked(spark, 40)
     got = sorted((r.a, r.b, r.distance) for r in spatial.near_pairs(points, points, 2.0).collect())
     assert got == sorted((a, b, float((a < 40) != (b < 40))) for a in range(44) for b in range(44) if (a == 43) == (b == 43))
+
+def test_nearest_of_places(spark):
+    points = _stacked(spark)
+    got = spatial.nearest(points, points, 3, 5.0)
+    assert [tuple(r) for r in got.where("a < 20000").groupBy("b", "distance").count().orderBy("b").collect()] == [(0, 0.0, 20_000), (1, 0.0, 20_000), (2, 0.0, 20_000)]
+    assert sorted((r.a, r.b, r.distance) for r in got.where("a >= 20000").collect()) == [(a, b, 0.0) for a in (20000, 20001, 20002) for b in (20000, 20001, 20002)] + [(20003, 20003, 0.0)]
