@@ -159,15 +159,20 @@ def nearest(points: DataFrame, others: DataFrame, k: int, radius: float | None =
 
 
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
-    """(id, cluster): the smallest core point reached; null for noise. A border point joins its smallest core neighbour's cluster."""
-    from skeinql.operators.graph import components
+    """(id, cluster): the smallest core point reached; null for noise. A border point joins its smallest core neighbour's cluster.
+
+    Points of one place have the same neighbours, so places are clustered, under the smallest id of each.
+    """
+    from skeinql.operators.graph import _cut, components
 
-    pairs = near_pairs(points, points, eps)
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
-    links = pairs.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    places = points.groupBy("x", "y").agg(F.struct(F.min("id").alias("id"), F.count("*").alias("n")).alias("what"))
+    near = _cut(_near(places, places, eps).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("b.n").alias("n")))
+    core = near.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
+    links = near.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = components(core, links)
-    border = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(found.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"))
-    return points.select("id").join(found.union(border), "id", "left").withColumnRenamed("component", "cluster")
+    border = near.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(found.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"))
+    of = places.where(_PLACED).select("x", "y", F.col("what.id").alias("id")).join(found.union(border), "id").select("x", "y", F.col("component").alias("cluster"))
+    return points.select("id", "x", "y").join(of, ["x", "y"], "left").select("id", "cluster")
 
 
 def morans_i(points: DataFrame, value: str, radius: float) -> DataFrame:

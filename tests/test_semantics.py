@@ -457,3 +457,10 @@ def test_nearest_of_places(spark):
     got = spatial.nearest(points, points, 3, 5.0)
     assert [tuple(r) for r in got.where("a < 20000").groupBy("b", "distance").count().orderBy("b").collect()] == [(0, 0.0, 20_000), (1, 0.0, 20_000), (2, 0.0, 20_000)]
     assert sorted((r.a, r.b, r.distance) for r in got.where("a >= 20000").collect()) == [(a, b, 0.0) for a in (20000, 20001, 20002) for b in (20000, 20001, 20002)] + [(20003, 20003, 0.0)]
+
+def test_dbscan_of_places(spark):
+    """Copies count as neighbours; noise and points without a place have no cluster."""
+    got = spatial.dbscan(_stacked(spark), 1.5, 5).groupBy("cluster").agg(F.count("*").alias("n"), F.max("id").alias("last")).collect()
+    assert sorted((r.cluster, r.n, r.last) for r in got if r.cluster is not None) == [(0, 20_003, 20_002)] and [(r.n, r.last) for r in got if r.cluster is None] == [(3, 20_005)]
+    got = {r.id: r.cluster for r in spatial.dbscan(spark.createDataFrame([(9, 0.0, 0.0), (3, 0.0, 0.0), (4, 1.0, 0.0), (1, 2.0, 0.0)], "id long, x double, y double"), 1.0, 4).collect()}
+    assert got == {9: 4, 3: 4, 4: 4, 1: 4}
