@@ -185,9 +185,11 @@ def morans_i(points: DataFrame, value: str, radius: float) -> DataFrame:
 
 
 def hot_spots(points: DataFrame, value: str, radius: float) -> DataFrame:
-    """(id, z): Getis-Ord Gi* of each point, itself among its neighbours."""
+    """(id, z): Getis-Ord Gi* of each point, itself among its neighbours. Sums are taken by place."""
     stats = points.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.count("*").alias("n"))
-    w = near_pairs(points, points, radius).join(points.select(F.col("id").alias("b"), F.col(value).alias("v")), "b").groupBy(F.col("a").alias("id")).agg(F.sum("v").alias("t"), F.count("*").alias("k"))
+    places = points.groupBy("x", "y").agg(F.struct(F.sum(value).alias("v"), F.count("*").alias("n")).alias("what"))
+    near = _near(places, places, radius).groupBy(F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.sum("b.v").alias("t"), F.sum("b.n").alias("k"))
+    w = points.select("id", "x", "y").join(near, ["x", "y"]).groupBy("id").agg(F.sum("t").alias("t"), F.sum("k").alias("k"))
     z = (F.col("t") - F.col("m") * F.col("k")) / (F.col("s") * F.sqrt((F.col("n") * F.col("k") - F.col("k") * F.col("k")) / (F.col("n") - 1)))
     return w.crossJoin(F.broadcast(stats)).select("id", z.alias("z"))
 

@@ -464,3 +464,12 @@ def test_dbscan_of_places(spark):
     assert sorted((r.cluster, r.n, r.last) for r in got if r.cluster is not None) == [(0, 20_003, 20_002)] and [(r.n, r.last) for r in got if r.cluster is None] == [(3, 20_005)]
     got = {r.id: r.cluster for r in spatial.dbscan(spark.createDataFrame([(9, 0.0, 0.0), (3, 0.0, 0.0), (4, 1.0, 0.0), (1, 2.0, 0.0)], "id long, x double, y double"), 1.0, 4).collect()}
     assert got == {9: 4, 3: 4, 4: 4, 1: 4}
+
+def test_hot_spots_of_places(spark):
+    """As the SQL has it, with repeated ids too: their rows add up."""
+    rows = [(1, 0.0, 0.0, 1.0), (1, 0.0, 0.0, 2.0), (2, 1.0, 0.0, 5.0), (3, 9.0, 0.0, 4.0), (4, 30.0, 0.0, None)]
+    got = {r.id: r.z for r in spatial.hot_spots(spark.createDataFrame(rows, "id long, x double, y double, v double"), "v", 3.0).collect()}
+    m, sd, n = 3.0, (10 / 4) ** 0.5, 5
+    z = lambda t, k: (t - m * k) / (sd * ((n * k - k * k) / (n - 1)) ** 0.5)
+    assert got[2] == pytest.approx(z(8.0, 3)) and got[3] == pytest.approx(z(4.0, 1)) and got[4] is None and 1 in got
+    assert spatial.hot_spots(_stacked(spark), "v", 3.0).count() == 20_004
