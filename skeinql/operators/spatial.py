@@ -176,12 +176,15 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
 
 
 def morans_i(points: DataFrame, value: str, radius: float) -> DataFrame:
-    """(i) over points (id, x, y, value), neighbours within the radius."""
-    stats = points.agg(F.avg(value).alias("m"), F.count("*").alias("n"), F.var_pop(value).alias("_var"))
-    z = points.crossJoin(F.broadcast(stats)).select("id", (F.col(value) - F.col("m")).alias("z"))
-    w = near_pairs(points, points, radius).where("a <> b")
-    x = w.join(z.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-    return x.agg(F.sum(F.col("za") * F.col("zb")).alias("s"), F.count("*").alias("w")).crossJoin(stats).select((F.col("s") / F.col("w") / F.col("_var")).alias("i"))
+    """(i) over points (id, x, y, value), neighbours within the radius. Sums of places are multiplied, and a point's pairs with itself taken off."""
+    stats = points.agg(F.avg(value).alias("m"), F.var_pop(value).alias("_var"))
+    z = points.crossJoin(F.broadcast(stats)).select("id", "x", "y", (F.col(value) - F.col("m")).alias("z"))
+    places = z.groupBy("x", "y").agg(F.struct(F.coalesce(F.sum("z"), F.lit(0.0)).alias("z"), F.count("*").alias("n")).alias("what"))
+    pairs = _near(places, places, radius).agg(F.sum(F.col("a.z") * F.col("b.z")).alias("s"), F.sum(F.col("a.n") * F.col("b.n")).alias("w"))
+    far = F.pow(F.col("x") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("by"), F.lit(2.0))
+    same = z.join(z.select("id", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("zb")), "id").where(F.sqrt(far) <= radius)
+    own = same.agg(F.coalesce(F.sum(F.col("z") * F.col("zb")), F.lit(0.0)).alias("s0"), F.count("*").alias("w0"))
+    return pairs.crossJoin(own).crossJoin(stats).select(((F.col("s") - F.col("s0")) / F.nullif(F.col("w") - F.col("w0"), F.lit(0)) / F.nullif("_var", F.lit(0.0))).alias("i"))
 
 
 def hot_spots(points: DataFrame, value: str, radius: float) -> DataFrame:

@@ -473,3 +473,12 @@ def test_hot_spots_of_places(spark):
     z = lambda t, k: (t - m * k) / (sd * ((n * k - k * k) / (n - 1)) ** 0.5)
     assert got[2] == pytest.approx(z(8.0, 3)) and got[3] == pytest.approx(z(4.0, 1)) and got[4] is None and 1 in got
     assert spatial.hot_spots(_stacked(spark), "v", 3.0).count() == 20_004
+
+def test_morans_i_of_places(spark):
+    rows = [(1, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 2.0), (3, 1.0, 0.0, 5.0), (4, 2.0, 0.0, None), (5, 30.0, 0.0, 4.0)]
+    pairs = [(a, b) for a in rows for b in rows if a[0] != b[0] and abs(a[1] - b[1]) <= 1.0]
+    want = sum((a[3] - 3) * (b[3] - 3) for a, b in pairs if a[3] and b[3]) / len(pairs) / (10 / 4)
+    frame = spark.createDataFrame(rows, "id long, x double, y double, v double")
+    assert spatial.morans_i(frame, "v", 1.0).first().i == pytest.approx(want)
+    assert spatial.morans_i(frame.where("id > 3"), "v", 1.0).first().i is None
+    assert spatial.morans_i(_stacked(spark), "v", 3.0).first().i == pytest.approx(0.0, abs=1e-3)
