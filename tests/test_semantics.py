@@ -482,3 +482,20 @@ def test_morans_i_of_places(spark):
     assert spatial.morans_i(frame, "v", 1.0).first().i == pytest.approx(want)
     assert spatial.morans_i(frame.where("id > 3"), "v", 1.0).first().i is None
     assert spatial.morans_i(_stacked(spark), "v", 3.0).first().i == pytest.approx(0.0, abs=1e-3)
+
+
+def _star(spark, leaves):
+    """A vertex 0 with many twins around it, both ways, and one more vertex behind one of them."""
+    e = spark.range(1, leaves + 1).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).union(spark.createDataFrame([(1, -1)], "src long, dst long"))
+    return e.union(e.select("dst", "src"))
+
+def test_distances_of_twins(spark, monkeypatch):
+    """Twins are searched as one class; every pair is there, and twins that are too far from one another are not."""
+    monkeypatch.setattr(graph, "CLASS_CHUNK", 2)
+    e, v = _star(spark, 5), spark.range(-1, 6)
+    of, reduced = graph._classes(e, v)
+    assert of.select("rep").distinct().count() == 4 and reduced.count() == 6
+    far = lambda a, b: 0 if a == b else 1 if 0 in (a, b) and -1 not in (a, b) or {a, b} == {1, -1} else 2 if -1 not in (a, b) or 0 in (a, b) else 3
+    every = {(a, b): float(far(a, b)) for a in range(-1, 6) for b in range(-1, 6)}
+    assert {(r.source, r.id): r.distance for r in graph.distances(e, v).collect()} == every
+    assert {(r.source, r.id): r.distance for r in graph.distances(e, v, 1).collect()} == {k: d for k, d in every.items() if d <= 1}
