@@ -499,3 +499,7 @@ def test_distances_of_twins(spark, monkeypatch):
     every = {(a, b): float(far(a, b)) for a in range(-1, 6) for b in range(-1, 6)}
     assert {(r.source, r.id): r.distance for r in graph.distances(e, v).collect()} == every
     assert {(r.source, r.id): r.distance for r in graph.distances(e, v, 1).collect()} == {k: d for k, d in every.items() if d <= 1}
+
+def test_closeness_of_twins(spark):
+    got = {r.id: r.closeness for r in graph.closeness(spark.range(-1, 3), _star(spark, 3000)).collect()}
+    assert got == {0: pytest.approx(3001 / 3002), 1: pytest.approx(3001 / (2 + 2 * 2999)), 2: pytest.approx(3001 / (1 + 2 * 2999 + 3)), -1: pytest.approx(3001 / (1 + 2 + 3 * 2999))}
