@@ -503,3 +503,11 @@ def test_distances_of_twins(spark, monkeypatch):
 def test_closeness_of_twins(spark):
     got = {r.id: r.closeness for r in graph.closeness(spark.range(-1, 3), _star(spark, 3000)).collect()}
     assert got == {0: pytest.approx(3001 / 3002), 1: pytest.approx(3001 / (2 + 2 * 2999)), 2: pytest.approx(3001 / (1 + 2 * 2999 + 3)), -1: pytest.approx(3001 / (1 + 2 + 3 * 2999))}
+
+def test_betweenness_of_twins(spark):
+    """Of k equal ways each vertex gets a k-th."""
+    e, v = _star(spark, 3000), spark.range(-1, 3001)
+    got = {r.id: r.betweenness for r in graph.betweenness(v, e).where("id < 4").collect()}
+    assert got == {0: 3000 * 2999 + 2 * 2999, 1: 2 * 3000, 2: 0, 3: 0, -1: 0}
+    ways = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 9), (2, 9), (3, 9)], "src long, dst long")
+    assert {r.id: round(r.betweenness, 9) for r in graph.betweenness(spark.createDataFrame([(0,), (1,), (9,)], "id long"), ways).collect()} == {0: 0, 1: round(1 / 3, 9), 9: 0}
