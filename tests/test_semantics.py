@@ -511,3 +511,8 @@ def test_betweenness_of_twins(spark):
     assert got == {0: 3000 * 2999 + 2 * 2999, 1: 2 * 3000, 2: 0, 3: 0, -1: 0}
     ways = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 9), (2, 9), (3, 9)], "src long, dst long")
     assert {r.id: round(r.betweenness, 9) for r in graph.betweenness(spark.createDataFrame([(0,), (1,), (9,)], "id long"), ways).collect()} == {0: 0, 1: round(1 / 3, 9), 9: 0}
+
+def test_influence_of_twins(spark):
+    e = _star(spark, 3000)
+    assert graph.influence(e, 3, 2) == [0] and graph.influence(e, 3, 1) == [0, -1]
+    assert graph.influence(spark.createDataFrame([(5, 9), (4, 9), (7, 8)], "src long, dst long"), 9, 2) == [4, 7, 5]
