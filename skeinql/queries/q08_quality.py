@@ -110,7 +110,7 @@ def heavy_hitters(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("heavy_hitters_approx", "SELECT l_suppkey AS item, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def heavy_hitters_approx(spark: SparkSession, d: str) -> DataFrame:
-    """A sketch of the frequencies, from which the ten largest are taken; with as many counters as suppliers it is exact."""
+    """A sketch of the frequencies says which suppliers are counted; of these the ten largest are taken."""
     found = A.heavy_hitters(table(spark, d, "lineitem"), "l_suppkey", 1000, True)
     return found.orderBy(F.desc("count"), "item").limit(10)
 

@@ -516,3 +516,10 @@ def test_influence_of_twins(spark):
     e = _star(spark, 3000)
     assert graph.influence(e, 3, 2) == [0] and graph.influence(e, 3, 1) == [0, -1]
     assert graph.influence(spark.createDataFrame([(5, 9), (4, 9), (7, 8)], "src long, dst long"), 9, 2) == [4, 7, 5]
+
+
+def test_heavy_hitters_of_many_values(spark):
+    """Far more values than a sketch has counters, nearly equally frequent: the most frequent are found and counted exactly."""
+    rows = spark.range(40_000).select((F.col("id") % 20_000).alias("v")).union(spark.createDataFrame([(7,), (7,), (11,), (None,), (None,), (None,), (None,)], "v long"))
+    assert {tuple(r) for r in approximate.heavy_hitters(rows, "v", 3, True).collect()} == {(7, 4), (None, 4), (11, 3)}
+    assert approximate.heavy_hitters(rows.limit(0), "v", 3, True).count() == 0
