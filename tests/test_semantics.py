@@ -523,3 +523,13 @@ def test_heavy_hitters_of_many_values(spark):
     rows = spark.range(40_000).select((F.col("id") % 20_000).alias("v")).union(spark.createDataFrame([(7,), (7,), (11,), (None,), (None,), (None,), (None,)], "v long"))
     assert {tuple(r) for r in approximate.heavy_hitters(rows, "v", 3, True).collect()} == {(7, 4), (None, 4), (11, 3)}
     assert approximate.heavy_hitters(rows.limit(0), "v", 3, True).count() == 0
+
+
+def test_k_shortest_query_keeps_the_bound_of_its_sql(spark, duck, same, tmp_path):
+    """A chain of four edges: the SQL has no path of so many."""
+    from skeinql.queries import q07_graph
+
+    rows = [(o, p + o) for o in range(1, 5) for p in (0, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    same(q07_graph.QUERIES["graph_k_shortest"](spark, str(tmp_path)), duck.execute(q07_graph.ORACLES["graph_k_shortest"]))
