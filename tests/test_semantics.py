@@ -533,3 +533,10 @@ def test_k_shortest_query_keeps_the_bound_of_its_sql(spark, duck, same, tmp_path
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     duck.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     same(q07_graph.QUERIES["graph_k_shortest"](spark, str(tmp_path)), duck.execute(q07_graph.ORACLES["graph_k_shortest"]))
+
+
+def test_approx_distinct_query_keeps_no_sketch_for_each_value(spark):
+    from skeinql.queries import q08_quality
+
+    plan = q08_quality.QUERIES["approx_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "approx_count_distinct" in line and "count(distinct" in line]
