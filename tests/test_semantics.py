@@ -540,3 +540,12 @@ def test_approx_distinct_query_keeps_no_sketch_for_each_value(spark):
 
     plan = q08_quality.QUERIES["approx_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "approx_count_distinct" in line and "count(distinct" in line]
+
+
+def test_edges_are_made_in_tasks_that_grow_in_number(spark, duck, same, monkeypatch):
+    from skeinql.queries import q07_graph
+
+    monkeypatch.setattr(q07_graph, "EDGE_ROWS", 1000)
+    edges = q07_graph._edges(spark, "/root/testdata/sf0.001")
+    assert edges.rdd.getNumPartitions() == 2 * (6000 // 1000 + 1)
+    same(q07_graph.QUERIES["graph_csr"](spark, "/root/testdata/sf0.001"), duck.execute(q07_graph.ORACLES["graph_csr"]))
