@@ -549,3 +549,35 @@ def test_edges_are_made_in_tasks_that_grow_in_number(spark, duck, same, monkeypa
     edges = q07_graph._edges(spark, "/root/testdata/sf0.001")
     assert edges.rdd.getNumPartitions() == 2 * (6000 // 1000 + 1)
     same(q07_graph.QUERIES["graph_csr"](spark, "/root/testdata/sf0.001"), duck.execute(q07_graph.ORACLES["graph_csr"]))
+
+
+def test_lists_of_neighbours_meet_in_blocks(spark, monkeypatch):
+    """Against plain loops, with hubs, repeated and reversed edges and loops, cut into many blocks; no list is joined to each edge."""
+    import random
+
+    from skeinql.operators import adjacency
+
+    for name, value in {"BLOCK_EDGES": 60, "LIST_EDGES": 100, "MARKS": 64, "LOOKS": 50}.items():
+        monkeypatch.setattr(adjacency, name, value)
+    r = random.Random(5)
+    rows = [(r.randrange(60), r.randrange(60)) for _ in range(300)] + [(30, i) for i in range(200)] + [(i, 31) for i in range(0, 200, 2)] + [(4, 4), (4, 9), (9, 4), (4, 9)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    near = {v: {b for a, b in rows + [(b, a) for a, b in rows] if a == v != b} for v in range(200)}
+    three = {(a, b, c) for a in near for b in near[a] if a < b for c in near[a] & near[b] if b < c}
+    found = graph.triangles(e)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(t) for t in found.collect()) == sorted(three)
+    words = graph.triangles(e.select(F.concat(F.lit("v"), "src").alias("src"), F.concat(F.lit("v"), "dst").alias("dst"))).collect()
+    assert sorted(tuple(t) for t in words) == sorted(tuple(sorted(f"v{i}" for i in t)) for t in three)
+    want = {v: 2 * sum(v in t for t in three) / (len(n) * (len(n) - 1)) if len(n) > 1 else 0.0 for v, n in near.items() if n}
+    assert {c.id: c.coefficient for c in graph.clustering(e).collect()} == pytest.approx(want)
+    out = {v: {b for a, b in rows if a == v} for v in range(205)}
+    pairs = sorted({(a, b) for a in (0, 4, 30, 204) for b in range(0, 60, 3)})
+    got = {(s.a, s.b): (s.common, s.jaccard, s.cosine) for s in graph.similarity(e, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert sorted(got) == pairs
+    for (a, b), (common, jaccard, cosine) in got.items():
+        both, either = len(out[a] & out[b]), len(out[a] | out[b])
+        assert (common, jaccard) == (both, pytest.approx(both / either if either else 0.0))
+        assert cosine == pytest.approx(both / (len(out[a]) * len(out[b])) ** 0.5 if out[a] and out[b] else 0.0)
+    assert {(s.a, s.b) for s in graph.similarity(e).collect()} == set(rows)
+    assert graph.triangles(e.limit(0)).count() == 0
