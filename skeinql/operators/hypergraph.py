@@ -12,10 +12,26 @@ from pyspark.sql.window import Window
 # --- hyperedges: (edge, vertex) rows --------------------------------------------------------------
 
 
+#: Rows of a task that pairs the vertices of an edge.
+MEMBER_ROWS = 500_000
+
+
+def _pairs(members: DataFrame) -> tuple[DataFrame, int]:
+    """((src, dst) for each edge that has both, src < dst; tasks): equal pairs are in one task. Tasks grow in number with the rows, not in size."""
+    n = members.count() // MEMBER_ROWS + 1
+    one = members.select("edge", "vertex")
+    one = (one.repartition(n, "edge") if n > 1 else one).distinct()
+    pairs = one.select("edge", F.col("vertex").alias("src")).join(one.select("edge", F.col("vertex").alias("dst")), "edge").where("src < dst").select("src", "dst")
+    # not aggregated before the exchange, where each task would keep all of its own
+    return (pairs.repartition(4 * n, "src", "dst") if n > 1 else pairs), n
+
+
 def hyper_degrees(members: DataFrame) -> DataFrame:
     """(vertex, degree, neighbours): edges of each vertex, and other vertices that share one."""
-    one = members.select("edge", "vertex").distinct()
-    near = one.join(one.withColumnRenamed("vertex", "other"), "edge").where("vertex <> other").groupBy("vertex").agg(F.count_distinct("other").alias("neighbours"))
+    pairs, n = _pairs(members)
+    near = pairs.distinct().select(F.explode(F.array("src", "dst")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("neighbours"))
+    one = members.select("edge", "vertex")
+    one = (one.repartition(n, "edge", "vertex") if n > 1 else one).distinct()
     return one.groupBy("vertex").agg(F.count("*").alias("degree")).join(near, "vertex", "left").fillna(0, ["neighbours"])
 
 
@@ -27,9 +43,7 @@ def incident(members: DataFrame, vertices: Sequence) -> DataFrame:
 
 def clique_expansion(members: DataFrame) -> DataFrame:
     """(src, dst, weight): vertices of a common hyperedge, src < dst; weight: how many they share."""
-    one = members.select("edge", "vertex").distinct()
-    pairs = one.select("edge", F.col("vertex").alias("src")).join(one.select("edge", F.col("vertex").alias("dst")), "edge").where("src < dst")
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return _pairs(members)[0].groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def star_expansion(members: DataFrame) -> DataFrame:

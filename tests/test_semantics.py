@@ -581,3 +581,13 @@ def test_lists_of_neighbours_meet_in_blocks(spark, monkeypatch):
         assert cosine == pytest.approx(both / (len(out[a]) * len(out[b])) ** 0.5 if out[a] and out[b] else 0.0)
     assert {(s.a, s.b) for s in graph.similarity(e).collect()} == set(rows)
     assert graph.triangles(e.limit(0)).count() == 0
+
+
+def test_hyperedges_are_paired_in_tasks_that_grow_in_number(spark, duck, same, monkeypatch):
+    from skeinql.operators import hypergraph
+    from skeinql.queries import q07_graph
+
+    monkeypatch.setattr(hypergraph, "MEMBER_ROWS", 1000)
+    assert hypergraph._pairs(q07_graph._baskets(spark, "/root/testdata/sf0.001"))[0].rdd.getNumPartitions() == 4 * (6000 // 1000 + 1)
+    for name in ("hyper_degrees", "hyper_expansion"):
+        same(q07_graph.QUERIES[name](spark, "/root/testdata/sf0.001"), duck.execute(q07_graph.ORACLES[name]))
