@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skeinql.operators.windows import in_pieces
+
 # --- bitmaps --------------------------------------------------------------------------------------
 
 
@@ -193,9 +195,12 @@ def framed(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
 
 
 def best_encoding(df: DataFrame, column: str, order: str) -> DataFrame:
-    """(encoding, bytes): the estimated size of an integer column under each encoding, smallest first; one pass and one sort."""
-    w = Window.orderBy(order)
-    x = df.select(F.col(column).cast("long").alias("v"), F.lag(F.col(column).cast("long")).over(w).alias("p"))
+    """(encoding, bytes): the estimated size of an integer column under each encoding, smallest first; one pass and one sort, in pieces of the order."""
+    x, _ = in_pieces(df.select(F.col(order).alias("o"), F.col(column).cast("long").alias("v")), ["o"])
+    last = x.groupBy("_piece").agg(F.max_by(F.struct("v"), "o").alias("l"))  # a row for each piece
+    last = last.select("_piece", F.lag("l").over(Window.orderBy("_piece"))["v"].alias("b"))
+    w = Window.partitionBy("_piece").orderBy("o")
+    x = x.join(F.broadcast(last), "_piece").select("v", F.when(F.row_number().over(w) == 1, F.col("b")).otherwise(F.lag("v").over(w)).alias("p"))
     wide = lambda c: F.length(F.bin(F.greatest(c, F.lit(1))))
     s = x.agg(F.count("*").alias("n"), F.count_distinct("v").alias("d"), F.count_if(~F.col("v").eqNullSafe(F.col("p"))).alias("runs"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(F.abs(F.col("v") - F.col("p"))).alias("step"))
     sizes = {"plain": F.col("n") * 8, "dictionary": F.col("d") * 8 + F.ceil(F.col("n") * wide(F.col("d") - 1) / 8), "run-length": F.col("runs") * 12, "frame of reference": 8 + F.ceil(F.col("n") * wide(F.col("hi") - F.col("lo")) / 8), "delta": 8 + F.ceil(F.col("n") * (wide(F.coalesce("step", F.lit(0).cast("long"))) + 1) / 8)}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from skeinql.session import scratch
+
 
 class WindowBuilder:
     """Partition, order and frame, put together step by step."""
@@ -70,3 +72,20 @@ def sum_excluding(value: str, by: Sequence[str], order: Sequence[str], exclude:
     group, m = F.coalesce(F.sum(value).over(peers), F.lit(0.0)), F.count(one).over(peers)
     left, rows = {"current row": (total - own, n - 1), "group": (total - group, n - m), "ties": (total - group + own, n - m + 1)}[exclude]
     return F.when(rows > 0, left)
+
+
+#: Rows of a piece of an order.
+PIECE_ROWS = 500_000
+
+
+def in_pieces(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
+    """(df with _piece, pieces): consecutive rows of an order are one piece, so that an order over all rows needs no task for all.
+
+    Rows are written once, as ranges found by sampling differ from one reading to the next. One piece is left as it is.
+    """
+    n = df.count() // PIECE_ROWS + 1
+    if n == 1:
+        return df.withColumn("_piece", F.lit(0)), 1
+    path = scratch(df.sparkSession, "pieces")
+    df.repartitionByRange(n, *order).withColumn("_piece", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path), n

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skeinql.operators.windows import in_pieces
 from skeinql.session import scratch
 
 
@@ -128,8 +129,14 @@ def lateness(df: DataFrame, ts: str, arrival: str, allowed: str, buffered: str =
 
     What a stream does with each row, told for rows with an order of arrival; keys: sources with a watermark each.
     """
-    seen = F.max(ts).over(Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
-    out = df.withColumn("watermark", seen - F.expr(f"INTERVAL {allowed}"))
+    x, n = in_pieces(df, [*keys, arrival])
+    seen = F.max(ts).over(Window.partitionBy(*keys, "_piece").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    if n > 1:  # what the pieces before had seen
+        before = F.max("_m").over(Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+        ends = x.groupBy(*keys, "_piece").agg(F.max(ts).alias("_m")).select(*keys, "_piece", before.alias("_before"))
+        x = x.alias("l").join(ends.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*keys, "_piece")]).select("l.*", "r._before")
+        seen = F.greatest(seen, F.col("_before"))
+    out = x.withColumn("watermark", seen - F.expr(f"INTERVAL {allowed}")).select(*df.columns, "watermark")
     late = F.col(ts) < F.col("watermark")
     return out.withColumn("handling", F.when(F.coalesce(late, F.lit(False)) & (F.col(ts) < F.col("watermark") - F.expr(f"INTERVAL {buffered}")), "dropped").when(F.coalesce(late, F.lit(False)), "buffered").otherwise("on time"))
 

@@ -591,3 +591,21 @@ def test_hyperedges_are_paired_in_tasks_that_grow_in_number(spark, duck, same, m
     assert hypergraph._pairs(q07_graph._baskets(spark, "/root/testdata/sf0.001"))[0].rdd.getNumPartitions() == 4 * (6000 // 1000 + 1)
     for name in ("hyper_degrees", "hyper_expansion"):
         same(q07_graph.QUERIES[name](spark, "/root/testdata/sf0.001"), duck.execute(q07_graph.ORACLES[name]))
+
+
+def test_orders_over_all_rows_are_cut_in_pieces(spark, duck, same, monkeypatch):
+    from skeinql.operators import windows
+    from skeinql.queries import q12_storage, q13_events
+    from skeinql.streaming import continuous
+
+    monkeypatch.setattr(windows, "PIECE_ROWS", 30)
+    assert windows.in_pieces(spark.range(100), ["id"])[0].select("_piece").distinct().count() == 4
+    folder = "/root/testdata/sf0.001"
+    same(q12_storage.QUERIES["encode_choice"](spark, folder), duck.execute(q12_storage.ORACLES["encode_choice"]))
+    same(q13_events.QUERIES["stream_lateness"](spark, folder), duck.execute(q13_events.ORACLES["stream_lateness"]))
+    rows = spark.range(200).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.expr("timestamp '2020-01-01' + make_interval(0, 0, 0, 0, 0, pmod(id * 37, 101))").alias("t"))
+    sql = "SELECT id, max(t) OVER (PARTITION BY k ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 5 MINUTES AS w FROM rows"
+    rows.createOrReplaceTempView("rows")
+    late = continuous.lateness(rows, "t", "id", "5 minutes", keys=["k"])
+    assert late.columns == ["id", "k", "t", "watermark", "handling"]
+    assert {(r.id, r.watermark) for r in late.collect()} == {(r.id, r.w) for r in spark.sql(sql).collect()}
