@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinql.operators.joins import small_side
+from skeinql.operators.windows import in_pieces
 from skeinql.session import scratch
 
 
@@ -193,6 +194,30 @@ def _at_rank(df: DataFrame, by: Sequence[str], value: str, places: dict[str, flo
     return spark.read.parquet(out)
 
 
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], lower: Sequence[str] = ()) -> DataFrame:
+    """(by, names of shares): a row for each group. A quantile lies between the values at places floor and ceil of share * (n - 1);
+    those named in lower are the first value whose share of the rows up to it is reached. Null where a group has no value.
+
+    Values are counted first and then added up in pieces of their order, so no group is sorted or gathered in one task.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "counted")
+    df.select(*by, F.col(value).alias("_x")).groupBy(*by, "_x").agg(F.count("_x").alias("_c")).write.parquet(path)
+    x, _ = in_pieces(spark.read.parquet(path), [*by, "_x"])
+    sums = x.groupBy(*by, "_piece").agg(F.sum("_c").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*by, "_piece", F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_s").over(Window.partitionBy(*by)).alias("_n"))
+    up_to = Window.partitionBy(*by, "_piece").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = _beside(x, [*by, "_piece"], sums).withColumn("_end", F.col("_base") + F.sum("_c").over(up_to))
+    at = lambda place: F.max(F.when((F.col("_end") > place) & (F.col("_end") - F.col("_c") <= place), F.col("_x")))
+    found = []
+    for name, p in shares.items():
+        place = (F.col("_n") - 1) * F.lit(p)
+        found += [at(F.greatest(F.ceil(F.col("_n") * F.lit(p)) - 1, F.lit(0))).alias(f"{name}_lo")] if name in lower else [at(F.floor(place)).alias(f"{name}_lo"), at(F.ceil(place)).alias(f"{name}_hi"), F.max(place - F.floor(place)).alias(f"{name}_part")]
+    # equal ends give themselves, infinite ones too
+    between = lambda c: F.when(F.col(f"{c}_lo") == F.col(f"{c}_hi"), F.col(f"{c}_lo")).otherwise((1 - F.col(f"{c}_part")) * F.col(f"{c}_lo") + F.col(f"{c}_part") * F.col(f"{c}_hi"))
+    return x.groupBy(*by).agg(*found).select(*by, *[(F.col(f"{c}_lo") if c in lower else between(c)).alias(c) for c in shares])
+
+
 def _beside(df: DataFrame, by: Sequence[str], one: DataFrame) -> DataFrame:
     """df with the columns of one row for each group."""
     new = [c for c in one.columns if c not in by]

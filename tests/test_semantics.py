@@ -609,3 +609,20 @@ def test_orders_over_all_rows_are_cut_in_pieces(spark, duck, same, monkeypatch):
     late = continuous.lateness(rows, "t", "id", "5 minutes", keys=["k"])
     assert late.columns == ["id", "k", "t", "watermark", "handling"]
     assert {(r.id, r.watermark) for r in late.collect()} == {(r.id, r.w) for r in spark.sql(sql).collect()}
+
+
+def test_quantiles_are_exact_in_pieces(spark, duck, same, monkeypatch):
+    """As Spark's own percentile, with nulls, equal values and a group without values, but no task has all values of a group."""
+    from skeinql.operators import timeseries, windows
+    from skeinql.queries import q02_relational, q08_quality
+
+    monkeypatch.setattr(windows, "PIECE_ROWS", 40)
+    rows = spark.range(500).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 11 > 0, F.pmod(F.col("id") * 37, F.lit(211)) / 7).alias("v")).union(spark.createDataFrame([(None, 2.0), (None, 3.0), (9, None)], "k long, v double"))
+    got = {r.k: tuple(r)[1:] for r in timeseries.exact_quantiles(rows, ["k"], "v", {"a": 0.5, "b": 0.9, "c": 0.5}, ["c"]).collect()}
+    want = rows.groupBy("k").agg(F.percentile("v", 0.5), F.percentile("v", 0.9), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)")).collect()
+    assert got == {r.k: tuple(r)[1:] for r in want}
+    folder = "/root/testdata/sf0.001"
+    for module, name in ((q02_relational, "agg_median_mode"), (q08_quality, "percentile_interval")):
+        found = module.QUERIES[name](spark, folder)
+        assert not [p for p in ("percentile(", "median(") if p in found._jdf.queryExecution().optimizedPlan().toString()]
+        same(found, duck.execute(module.ORACLES[name]))
