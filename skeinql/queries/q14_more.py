@@ -117,15 +117,23 @@ def row_triggers(spark: SparkSession, d: str) -> DataFrame:
     return c.table("t")
 
 
+#: Fetched rows that one statement changes.
+STATEMENT_ROWS = 10_000
+
+
 @R.add("cursor_bulk_forall", "SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN s_nationkey = 5 THEN 6 ELSE s_nationkey END AS nation FROM supplier WHERE s_nationkey <> 4")
 def cursors(spark: SparkSession, d: str) -> DataFrame:
     """A package's procedure fetches keys in bulk and changes and deletes their rows in one statement each."""
     c = _geography(spark, d)
 
     def move(own: Package, source: int, target: int) -> int:
-        cursor, n = Cursor(lambda: c.table("supplier").where(F.col("nation") == source).select("id").orderBy("id")).open(), 0
-        while rows := cursor.fetch_bulk(50):
-            n += forall(c, "supplier", "update", spark.createDataFrame([(r.id, target) for r in rows], "id bigint, nation int"), ["id"])
+        cursor, n, held = Cursor(lambda: c.table("supplier").where(F.col("nation") == source).select("id").orderBy("id")).open(), 0, []
+        # a statement writes the table anew, so it takes many fetches
+        while (rows := cursor.fetch_bulk(50)) or held:
+            held += rows
+            if not rows or len(held) >= STATEMENT_ROWS:
+                n += forall(c, "supplier", "update", spark.createDataFrame([(r.id, target) for r in held], "id bigint, nation int"), ["id"])
+                held = []
         cursor.close()
         return n
 

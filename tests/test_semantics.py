@@ -626,3 +626,16 @@ def test_quantiles_are_exact_in_pieces(spark, duck, same, monkeypatch):
         found = module.QUERIES[name](spark, folder)
         assert not [p for p in ("percentile(", "median(") if p in found._jdf.queryExecution().optimizedPlan().toString()]
         same(found, duck.execute(module.ORACLES[name]))
+
+
+def test_one_statement_takes_many_fetches(spark, monkeypatch, tmp_path):
+    from skeinql.queries import q14_more
+
+    for name in ("region", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.range(120).select(F.col("id").alias("s_suppkey"), F.when(F.col("id") == 7, 4).otherwise(5).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    sizes, plain = [], q14_more.forall
+    monkeypatch.setattr(q14_more, "forall", lambda c, name, event, rows, key: sizes.append((event, rows.count())) or plain(c, name, event, rows, key))
+    got = q14_more.QUERIES["cursor_bulk_forall"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, 6) for i in range(120) if i != 7]
+    assert sizes == [("update", 119), ("delete", 1)]
