@@ -90,6 +90,25 @@ def test_graph(spark):
     assert graph.pagerank(v, e, iterations=3).count() == 6
 
 
+def test_pagerank_reads_edges_once(spark, monkeypatch):
+    """Also lists in pieces, repeated edges, edges to null, from unknown vertices and to vertices that repeat."""
+    rows = [(1, 2), (1, 2), (1, 3), (2, 3), (3, 1), (3, None), (9, 1), (4, 9)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(graph, "LIST_EDGES", 1, raising=False)
+    e = spark.createDataFrame(rows, "src long, dst long").mapInArrow(counted, "src long, dst long")
+    got = {r.id: r.rank for r in graph.pagerank(spark.range(1, 6), e, iterations=3, tolerance=0.0).collect()}
+    rank = dict.fromkeys(range(1, 6), 0.2)
+    for _ in range(3):
+        rank = {v: 0.15 * 0.2 + 0.85 * sum(rank.get(s, 0) / sum(a == s for a, _ in rows) for s, t in rows if t == v) for v in rank}
+    assert got == pytest.approx(rank) and seen.value == len(rows)
+
+
 def test_geometry():
     square = spatial.parse_wkt("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))")
     assert spatial.area(*square) == 15 and planar.contains(square, ("POINT", [3, 3])) and not planar.contains(square, ("POINT", [1.5, 1.5]))
