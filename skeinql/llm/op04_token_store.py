@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +38,8 @@ PAGE_BYTES = 256 << 10
 DICTIONARY_BYTES = 1 << 20
 #: Chunks in each of the two generations of the cache.
 CACHE_CHUNKS = 200_000
+#: Texts encoded at once.
+TEXTS = 2048
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
@@ -77,15 +80,16 @@ class ChunkEncoder:
     def _one(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _fill(self, chunks: set[str]) -> None:
+    def _fill(self, chunks: list[str]) -> None:
         """Learn the ids of new chunks, most of them in one call of the tokenizer."""
         rest = []
-        tokenize, older, plain, written = self.tokenizer.model.tokenize, self.older, self._PLAIN.fullmatch, self._BYTES
+        tokenize, seen, older, plain, written = self.tokenizer.model.tokenize, self.seen, self.older.get, self._PLAIN.fullmatch, self._BYTES
         for c in chunks:
-            if c in older:
-                self.seen[c] = older[c]
+            ids = older(c)
+            if ids is not None:
+                seen[c] = ids
             elif plain(c):
-                self.seen[c] = array("I", [t.id for t in tokenize(c if c.isascii() else c.translate(written))]).tobytes()
+                seen[c] = array("I", [t.id for t in tokenize(c if c.isascii() else c.translate(written))]).tobytes()
             else:
                 rest.append(c)
         joined = [c for c in rest if c and self._BETWEEN not in c and "<|" not in c]
@@ -95,27 +99,44 @@ class ChunkEncoder:
             starts, ends, raw = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], ids.tobytes()
             for c, a, b in zip(joined, starts, ends, strict=True):
                 self.seen[c] = raw[4 * a : 4 * b]
-        for c in chunks.difference(self.seen):
+        for c in set(rest).difference(joined):
             self.seen[c] = self._one(c)
 
-    def _chunks(self, text: str | None) -> list[str]:
+    def _spaced(self, text: str | None) -> str:
+        """The text with spaces alone between its chunks."""
         if not text:
-            return []
+            return ""
         if "<|" not in text and (text.isascii() or not self._OTHER.search(text)):
             text = self._MARKS.sub(r" \1", text.lower())
-        return text.replace("\n", " ").split(" ")
+        return text.replace("\n", " ")
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; what is new in all of them is learnt at once."""
-        chunks = [self._chunks(t) for t in texts]
+    def encode_all(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts as unsigned 32-bit integers, and where those of each end; end_id is put after each.
+
+        Each different chunk is looked up once, what is new in all texts is learnt at once, and ids are copied by position.
+        """
+        words = pc.split_pattern(pa.array([self._spaced(t) for t in texts], pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.seen) > self.cache_chunks:
             self.seen, self.older = {}, self.seen
-        self._fill(set().union(*chunks).difference(self.seen))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        self._fill([c for c in chunks if c not in self.seen])
+        known = list(map(self.seen.__getitem__, chunks))
+        # ids of chunks, then the end id, which stands after each text as if it were a chunk
+        known.append(b"" if end_id is None else np.array([end_id], "<u4").tobytes())
+        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start = np.cumsum(length) - length
+        last = words.offsets.to_numpy()[1:]
+        at = np.insert(at, last, len(chunks))
+        n = length.astype(np.int32)[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        kind = np.int32 if len(at) and max(ends[-1], start[-1]) < 1 << 31 else np.int64  # of half the memory, where it does
+        places = np.repeat(start.astype(kind)[at] - (ends - n).astype(kind), n)
+        places += np.arange(len(places), dtype=kind)
+        return np.frombuffer(b"".join(known), "<u4")[places], ends[last + np.arange(len(last))]
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tobytes()
 
 
 def default_tokenizer() -> str:
@@ -136,15 +157,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, start, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, start = TaskContext.get().partitionId(), 0
         encoder = ChunkEncoder.of(file, cache_chunks)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # so that ids of a few texts are held at a time
-                piece = batch.slice(at, 512)
-                ids = [x + end for x in encoder.encode_all(piece.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int32)
-                ends = np.cumsum(n, dtype=np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            for at in range(0, batch.num_rows, TEXTS):  # so that ids of a few texts are held at a time
+                piece = batch.slice(at, TEXTS)
+                ids, ends = encoder.encode_all(piece.column("text").to_pylist(), end_id)
+                n = np.diff(ends, prepend=0).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends - n), pa.array(n), lists],
                     names=["doc_id", "part", "start_in_part", "n_tokens", "ids"],

@@ -316,6 +316,22 @@ def test_chunk_encoder_is_the_tokenizer():
         assert e.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_chunks_are_looked_up_once_for_all_texts():
+    """Texts of a call are encoded together: places of a chunk cost a copy by position, and ends tell the texts apart, over generations of the cache."""
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(store.default_tokenizer()), store.ChunkEncoder(store.default_tokenizer(), cache_chunks=3)
+    asked, learn = [], e._fill
+    e._fill = lambda chunks: (asked.extend(chunks), learn(chunks))
+    for end in (None, 1):
+        for some in ([None, *ODD_TEXTS, None], ["b a a b"] * 3, [None], ["a"], []):
+            asked.clear()
+            ids, ends = e.encode_all(some, end)
+            want = [[*t.encode(x or "", add_special_tokens=False).ids, *([] if end is None else [end])] for x in some]
+            assert ids.dtype == np.uint32 and ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+            assert len(asked) == len(set(asked))
+
+
 def test_prefix_counts_are_the_model(spark):
     import sentencepiece
 
