@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
@@ -24,6 +26,25 @@ ALGORITHMS = {
     "kmeans": K.KMeans, "gaussian_mixture": K.GaussianMixture, "bisecting_kmeans": K.BisectingKMeans,
 }
 
+#: These need one pass over the rows; all others keep them in memory, unpacked, and go through them many times.
+ONE_PASS = ("linear_regression", "naive_bayes")
+#: Rows of a task that keeps them.
+TASK_ROWS = 1_000_000
+
+
+@contextmanager
+def _dealt(df: DataFrame, algorithm: str, columns: set) -> Iterator[DataFrame]:
+    """The rows in tasks of bounded size: a split of a file may hold many millions of them, packed. They are dealt once, and kept on disk meanwhile."""
+    n = 1 if algorithm in ONE_PASS else -(-df.count() // TASK_ROWS)
+    if n <= 1:
+        yield df
+        return
+    dealt = df.select([c for c in df.columns if c in columns]).repartition(max(n, df.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.DISK_ONLY)
+    try:
+        yield dealt
+    finally:
+        dealt.unpersist()
+
 
 def preprocessing(numeric: Sequence[str], categories: Sequence[str] = (), scale: str | None = "standard", impute: str | None = None, degree: int = 1) -> list:
     """Stages that put features into a column features. scale: standard, minmax or None; impute: mean, median, mode or None."""
@@ -47,7 +68,9 @@ def preprocessing(numeric: Sequence[str], categories: Sequence[str] = (), scale:
 def create_model(df: DataFrame, algorithm: str, numeric: Sequence[str], label: str | None = None, categories: Sequence[str] = (), scale: str | None = "standard", impute: str | None = None, degree: int = 1, **params) -> PipelineModel:
     """CREATE MODEL: preprocessing and the algorithm as one fitted pipeline."""
     estimator = ALGORITHMS[algorithm](featuresCol="features", **({"labelCol": label} if label else {}), **params)
-    return Pipeline(stages=[*preprocessing(numeric, categories, scale, impute, degree), estimator]).fit(df)
+    before = Pipeline(stages=preprocessing(numeric, categories, scale, impute, degree)).fit(df)
+    with _dealt(df, algorithm, {*numeric, *categories, label, *(v for v in params.values() if isinstance(v, str))}) as rows:
+        return PipelineModel([*before.stages, estimator.fit(before.transform(rows))])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -80,7 +103,8 @@ def search(df: DataFrame, algorithm: str, numeric: Sequence[str], label: str, gr
         params = params.addGrid(getattr(estimator, name), list(values))
     judge = E.RegressionEvaluator(labelCol=label, metricName=metric) if metric in ("rmse", "mae", "r2", "mse") else E.MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
     cv = CrossValidator(estimator=Pipeline(stages=[*preprocessing(numeric), estimator]), estimatorParamMaps=params.build(), evaluator=judge, numFolds=folds, seed=seed)
-    fitted = cv.fit(df)
+    with _dealt(df, algorithm, {*numeric, label}) as rows:
+        fitted = cv.fit(rows)
     scores = fitted.avgMetrics
     return fitted.bestModel, max(scores) if judge.isLargerBetter() else min(scores)
 

@@ -196,6 +196,23 @@ def test_star_schema_and_features(spark):
     assert abs(n["a"] - 3000) < 200
 
 
+def test_models_keep_rows_in_tasks_of_bounded_size(spark, monkeypatch):
+    """All rows of one split are dealt to many tasks before an algorithm keeps them; the rows and the model's stages stay."""
+    sizes = []
+
+    class Spy(learning.K.KMeans):
+        def _fit(self, dataset):
+            sizes.extend(r["count"] for r in dataset.groupBy(F.spark_partition_id()).count().collect())
+            return super()._fit(dataset)
+
+    monkeypatch.setitem(learning.ALGORITHMS, "kmeans", Spy)
+    monkeypatch.setattr(learning, "TASK_ROWS", 100, raising=False)
+    df = spark.range(0, 1000, 1, 1).select((F.col("id") % 2 * 100.0).alias("a"), F.lit(1.0).alias("b"), "id")
+    m = learning.create_model(df, "kmeans", ["a", "b"], k=2, seed=1)
+    assert sum(sizes) == 1000 and max(sizes) <= 200 and len(m.stages) == 3
+    assert sorted(r["count"] for r in learning.predict(m, df).groupBy("prediction").count().collect()) == [500, 500]
+
+
 def test_user_aggregate_merges_states(spark):
     longest = UserAggregate("best string", lambda: ("",), lambda s, x: (max([s[0], *x.dropna()], key=len),), lambda a, b: max(a, b, key=lambda s: len(s[0])), lambda s: s[0], "string", deterministic=False)
     df = spark.createDataFrame([("a", "x"), ("a", "xyz"), (None, "q"), ("a", None)], "k string, v string").repartition(3)
