@@ -19,10 +19,12 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinql.operators.perceptron import Perceptron
+
 #: Algorithm name -> estimator.
 ALGORITHMS = {
     "linear_regression": G.LinearRegression, "tree_regression": G.DecisionTreeRegressor, "forest_regression": G.RandomForestRegressor, "boosted_regression": G.GBTRegressor,
-    "logistic_regression": C.LogisticRegression, "naive_bayes": C.NaiveBayes, "decision_tree": C.DecisionTreeClassifier, "random_forest": C.RandomForestClassifier, "svm": C.LinearSVC, "neural_network": C.MultilayerPerceptronClassifier,
+    "logistic_regression": C.LogisticRegression, "naive_bayes": C.NaiveBayes, "decision_tree": C.DecisionTreeClassifier, "random_forest": C.RandomForestClassifier, "svm": C.LinearSVC, "neural_network": Perceptron,
     "kmeans": K.KMeans, "gaussian_mixture": K.GaussianMixture, "bisecting_kmeans": K.BisectingKMeans,
 }
 

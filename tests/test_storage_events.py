@@ -3,10 +3,13 @@
 import datetime
 
 import pytest
+from pyspark.errors import PythonException
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from skeinql.functions.aggregates import UserAggregate, aggregate
-from skeinql.operators import documents, hypergraph, indexes, joins, learning, olap, partitioning, timeseries
+from skeinql.operators import documents, hypergraph, indexes, joins, learning, olap, partitioning, perceptron, timeseries
 from skeinql.streaming import continuous, streams
 from skeinql.streaming.event_store import ChangeLog, EventStore, ReadModel, VersionConflict
 
@@ -213,6 +216,38 @@ def test_models_keep_rows_in_tasks_of_bounded_size(spark, monkeypatch):
     assert sorted(r["count"] for r in learning.predict(m, df).groupBy("prediction").count().collect()) == [500, 500]
 
 
+def test_perceptron_counts_each_row_once(spark):
+    """However rows are split, the model is the same; Spark's own gives the one row of a short block the weight of a full one."""
+    df = spark.range(0, 257, 1, 1).select((F.col("id") % 16 / 8.0).alias("a"), (F.col("id") % 5 * 1.0).alias("b"), (F.col("id") % 16 > F.col("id") % 5 * 2).cast("double").alias("y"))
+    fit = lambda rows: learning.create_model(rows, "neural_network", ["a", "b"], "y", scale=None, layers=[2, 3, 2], seed=1, maxIter=8).stages[-1]
+    one, many = fit(df), fit(df.repartition(7))
+    assert abs(one.weights.toArray() - many.weights.toArray()).max() < 1e-9
+    assert one.getMaxIter() == 8 and one.getLayers() == [2, 3, 2] and not one.isSet(one.initialWeights)
+
+
+def test_perceptron_is_sparks(spark, monkeypatch):
+    """Over full blocks, the weights after some rounds are those of Spark's own; gradients added up in tasks first change nothing."""
+    df = spark.range(0, 512, 1, 1).select(F.array((F.col("id") % 16 / 8.0), (F.col("id") % 5 * 1.0)).alias("v"), (F.col("id") % 3).cast("double").alias("y"))
+    df = df.select(array_to_vector("v").alias("features"), "y")
+    params = {"labelCol": "y", "layers": [2, 4, 3, 3], "seed": 1, "maxIter": 12}
+    theirs = MultilayerPerceptronClassifier(**params).fit(df)
+    for limit in (1 << 24, 0):
+        monkeypatch.setattr(perceptron, "GRADIENT_BYTES", limit)
+        ours = perceptron.Perceptron(**params).fit(df)
+        assert abs(ours.weights.toArray() - theirs.weights.toArray()).max() < 1e-8
+    assert ours.transform(df).select("prediction").collect() == theirs.transform(df).select("prediction").collect()
+    assert perceptron._packed(df, "features", "y", [2, 4, 3, 3]).count() == 1
+
+
+@pytest.mark.parametrize("label", ["3.0", "-1.0", "0.5", "cast(null as double)"])
+def test_perceptron_refuses_labels_that_are_no_class(spark, label):
+    df = spark.range(4).select(array_to_vector(F.array(F.lit(1.0), F.lit(2.0))).alias("features"), F.expr(label).alias("label"))
+    with pytest.raises(PythonException, match="not a whole number from 0 to 2"):
+        perceptron.Perceptron(layers=[2, 3, 3], maxIter=1).fit(df)
+    with pytest.raises(ValueError, match="no rows"):
+        perceptron.Perceptron(layers=[2, 3, 3], maxIter=1).fit(df.where("false"))
+
+
 def test_user_aggregate_merges_states(spark):
     longest = UserAggregate("best string", lambda: ("",), lambda s, x: (max([s[0], *x.dropna()], key=len),), lambda a, b: max(a, b, key=lambda s: len(s[0])), lambda s: s[0], "string", deterministic=False)
     df = spark.createDataFrame([("a", "x"), ("a", "xyz"), (None, "q"), ("a", None)], "k string, v string").repartition(3)
