@@ -27,36 +27,44 @@ GRADIENT_BYTES = 1 << 24
 _SUMS = "n long, loss double, gradient binary"
 
 
-def loss_and_gradient(w: np.ndarray, layers: Sequence[int], x: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
-    """Sums over the columns of x of the cross-entropy and of its gradient; sigmoid layers, softmax on top, w as Spark lays it out."""
-    steps, at = [], 0
-    for i, o in pairwise(layers):
-        steps.append((w[at : at + i * o].reshape(i, o).T, w[at + i * o : at + i * o + o, None]))
-        at += i * o + o
-    values = [x]
-    with np.errstate(over="ignore"):  # exp of a large number is infinite and its reciprocal 0, as it should be
-        for m, b in steps[:-1]:
-            z = m @ values[-1] + b
-            np.exp(np.negative(z, out=z), out=z)
-            z += 1
-            values.append(np.reciprocal(z, out=z))
-    z = steps[-1][0] @ values[-1] + steps[-1][1]
-    z -= z.max(axis=0)
-    row = np.arange(z.shape[1])
-    own = z[label, row]
-    np.exp(z, out=z)
-    total = z.sum(axis=0)
-    loss = float((np.log(total) - own).sum())
-    z /= total
-    z[label, row] -= 1
-    parts = []
-    for at in range(len(steps) - 1, -1, -1):
-        parts += [z.sum(axis=1), (values[at] @ z.T).ravel()]
-        if at:
-            z = steps[at][0].T @ z
-            z *= values[at]
-            z *= 1 - values[at]
-    return loss, np.concatenate(parts[::-1])
+def _kernel() -> Callable:
+    """A function that goes to executors whole: they need not have this module."""
+
+    def loss_and_gradient(w: np.ndarray, layers: Sequence[int], x: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sums over the columns of x of the cross-entropy and of its gradient; sigmoid layers, softmax on top, w as Spark lays it out."""
+        steps, at = [], 0
+        for i, o in pairwise(layers):
+            steps.append((w[at : at + i * o].reshape(i, o).T, w[at + i * o : at + i * o + o, None]))
+            at += i * o + o
+        values = [x]
+        with np.errstate(over="ignore"):  # exp of a large number is infinite and its reciprocal 0, as it should be
+            for m, b in steps[:-1]:
+                z = m @ values[-1] + b
+                np.exp(np.negative(z, out=z), out=z)
+                z += 1
+                values.append(np.reciprocal(z, out=z))
+        z = steps[-1][0] @ values[-1] + steps[-1][1]
+        z -= z.max(axis=0)
+        row = np.arange(z.shape[1])
+        own = z[label, row]
+        np.exp(z, out=z)
+        total = z.sum(axis=0)
+        loss = float((np.log(total) - own).sum())
+        z /= total
+        z[label, row] -= 1
+        parts = []
+        for at in range(len(steps) - 1, -1, -1):
+            parts += [z.sum(axis=1), (values[at] @ z.T).ravel()]
+            if at:
+                z = steps[at][0].T @ z
+                z *= values[at]
+                z *= 1 - values[at]
+        return loss, np.concatenate(parts[::-1])
+
+    return loss_and_gradient
+
+
+loss_and_gradient = _kernel()
 
 
 def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int, tol: float, memory: int = 10) -> np.ndarray:

@@ -1,8 +1,13 @@
 """Indexes, partitions, shards, event stores, continuous queries, JSON schemas, samples and users' aggregates: odd cases and errors."""
 
 import datetime
+import math
+import os
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.errors import PythonException
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
@@ -248,6 +253,13 @@ def test_perceptron_refuses_labels_that_are_no_class(spark, label):
         perceptron.Perceptron(layers=[2, 3, 3], maxIter=1).fit(df.where("false"))
 
 
+def test_perceptron_kernel_runs_without_this_package(tmp_path):
+    """Executors need not have the repository: what goes there brings its own code."""
+    code = "import pickle, sys, numpy as np; f = pickle.load(sys.stdin.buffer); print(f(np.zeros(6), [2, 2], np.ones((2, 3)), np.array([0, 1, 1]))[0])"
+    said = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(perceptron.loss_and_gradient), cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, timeout=60)
+    assert said.returncode == 0 and abs(float(said.stdout) - 3 * math.log(2)) < 1e-12, said.stderr
+
+
 def test_user_aggregate_merges_states(spark):
     longest = UserAggregate("best string", lambda: ("",), lambda s, x: (max([s[0], *x.dropna()], key=len),), lambda a, b: max(a, b, key=lambda s: len(s[0])), lambda s: s[0], "string", deterministic=False)
     df = spark.createDataFrame([("a", "x"), ("a", "xyz"), (None, "q"), ("a", None)], "k string, v string").repartition(3)
